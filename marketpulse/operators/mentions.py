@@ -24,28 +24,38 @@ SALTS = 16
 
 
 def substring_join(
-    posts: DataFrame, needles: DataFrame, text: str = "text", inline_limit: int = INLINE_NEEDLES
+    posts: DataFrame, needles: DataFrame, carry: tuple[str, ...] = (), same: dict[str, str] | None = None,
+    inline_limit: int = INLINE_NEEDLES,
 ) -> DataFrame:
-    """Pairs of post and needle with the needle inside the upper-cased text: post key plus all needle columns.
+    """Posts with each needle found in their upper-cased text: post key, carried post columns, needle columns.
 
-    `needles` has a column `needle`, upper-cased and not empty. No pair is tried that does not share a piece of text.
+    `needles` has a column `needle`, upper-cased and not empty, which the result leaves out; equal results of one post
+    appear once. `same` names needle columns that must equal a post column. No pair is tried that does not share a
+    piece of text, but for a list of needles short enough to be tested in place.
     """
+    upper = posts.select(*POST_KEY, *carry, F.upper("text").alias("_upper"))
     probe = needles.limit(inline_limit + 1).collect()
     if len(probe) <= inline_limit:
-        return _inline(posts, needles, probe, text)
-    return _by_pieces(posts, needles, text)
+        return _inline(upper, needles, probe, same or {}).drop("_upper")
+    return _by_pieces(upper, needles, same or {})
 
 
-def _inline(posts: DataFrame, needles: DataFrame, rows: list, text: str) -> DataFrame:
+def _inline(upper: DataFrame, needles: DataFrame, rows: list, same: dict[str, str]) -> DataFrame:
     """Few needles: tested row by row, without any join or shuffle."""
     fields = needles.schema.fields
-    if not rows:
-        literal = F.array().cast(f"array<{needles.schema.simpleString()}>")
-    else:
-        literal = F.array(*[
-            F.struct(*[F.lit(row[f.name]).cast(f.dataType).alias(f.name) for f in fields]) for row in rows])
-    upper = posts.select(*POST_KEY, F.upper(text).alias("_upper"))
-    return upper.select(*POST_KEY, F.inline(F.filter(literal, lambda n: F.contains(F.col("_upper"), n["needle"]))))
+    out = [f.name for f in fields if f.name != "needle"]
+    literal = F.array(*[
+        F.struct(*[F.lit(row[f.name]).cast(f.dataType).alias(f.name) for f in fields]) for row in rows])
+    literal = literal.cast(f"array<{needles.schema.simpleString()}>")
+
+    def found(n: Column) -> Column:
+        condition = F.contains(F.col("_upper"), n["needle"])
+        for needle_column, post_column in same.items():
+            condition = (n[needle_column] == F.col(post_column)) & condition
+        return condition
+
+    kept = F.transform(F.filter(literal, found), lambda n: F.struct(*[n[c].alias(c) for c in out]))
+    return upper.select("*", F.inline(F.array_distinct(kept)))
 
 
 def _piece_length(needle: Column) -> Column:
@@ -55,7 +65,7 @@ def _piece_length(needle: Column) -> Column:
     return length
 
 
-def _by_pieces(posts: DataFrame, needles: DataFrame, text: str) -> DataFrame:
+def _by_pieces(upper: DataFrame, needles: DataFrame, same: dict[str, str]) -> DataFrame:
     """Many needles: an equi join of text pieces with the heads of the needles, then an exact test.
 
     Each post yields every distinct piece once per length in use, without its text. Pieces that many posts share are
@@ -66,7 +76,6 @@ def _by_pieces(posts: DataFrame, needles: DataFrame, text: str) -> DataFrame:
         "_piece", F.substring(F.col("needle"), F.lit(1), F.col("_length")))
     lengths = sorted(row["_length"] for row in heads.select("_length").distinct().collect())
 
-    upper = posts.select(*POST_KEY, F.upper(text).alias("_upper"))
     # A look-ahead takes the piece at every place in one pass over the text.
     pieces = F.array_distinct(F.flatten(F.array(*[
         F.regexp_extract_all(F.col("_upper"), F.lit(rf"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in lengths])))
@@ -75,10 +84,10 @@ def _by_pieces(posts: DataFrame, needles: DataFrame, text: str) -> DataFrame:
     right = heads.drop("_length").withColumn(
         "_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
     candidates = left.join(right, ["_piece", "_salt"]).drop("_piece", "_salt")
-    return (
-        candidates.join(upper, list(POST_KEY))
-        .filter(F.contains(F.col("_upper"), F.col("needle"))).drop("_upper")
-    )
+    tested = candidates.join(upper, list(POST_KEY)).filter(F.contains(F.col("_upper"), F.col("needle")))
+    for needle_column, post_column in same.items():
+        tested = tested.filter(F.col(needle_column) == F.col(post_column))
+    return tested.drop("_upper", "needle").distinct()
 
 
 def mention_join(posts: DataFrame, instruments: DataFrame, inline_limit: int = INLINE_NEEDLES) -> DataFrame:
@@ -86,8 +95,7 @@ def mention_join(posts: DataFrame, instruments: DataFrame, inline_limit: int = I
     by_symbol = instruments.select("symbol", F.col("symbol").alias("needle"))
     by_company = instruments.select(F.coalesce("symbol", F.lit("")).alias("symbol"), F.upper("company_name").alias("needle"))
     needles = by_symbol.unionByName(by_company).filter(F.col("needle") != "").distinct()
-    found = substring_join(posts, needles, inline_limit=inline_limit)
-    return found.select(*POST_KEY, "symbol").distinct()
+    return substring_join(posts, needles, inline_limit=inline_limit)
 
 
 def search_terms(instruments: DataFrame) -> DataFrame:
@@ -149,15 +157,12 @@ def search_match(
         | ((F.col("source") == "reddit") & F.col("subreddit").isin(*SUBREDDITS) & (F.col("created_at") >= week))
         | (F.col("source") == "stocktwits")
     )
-    found = (
-        substring_join(searchable, needles, inline_limit=inline_limit)
-        .filter(F.col("source") == F.col("term_source"))
-        .select(*POST_KEY, "symbol", "term_no")
-    )
-    # The X search is one query over both terms, so a post that holds both comes back once.
-    elsewhere = found.filter(F.col("source") != "reddit").distinct()
-    dated = found.filter(F.col("source") == "reddit").join(
-        searchable.select(*POST_KEY, "subreddit", "created_at"), list(POST_KEY))
+    found = substring_join(
+        searchable, needles, carry=("subreddit", "created_at"), same={"term_source": "source"}, inline_limit=inline_limit)
     newest = Window.partitionBy("symbol", "term_no", "subreddit").orderBy(F.desc("created_at"), "platform_id")
-    reddit = dated.withColumn("_rank", F.row_number().over(newest)).filter(F.col("_rank") <= per_term)
-    return elsewhere.unionByName(reddit.select(*POST_KEY, "symbol", "term_no"))
+    reddit = (
+        found.filter(F.col("source") == "reddit")
+        .withColumn("_rank", F.row_number().over(newest)).filter(F.col("_rank") <= per_term)
+    )
+    columns = [*POST_KEY, "symbol", "term_no"]
+    return found.filter(F.col("source") != "reddit").select(*columns).unionByName(reddit.select(*columns))

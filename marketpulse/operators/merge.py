@@ -1,8 +1,8 @@
 """Keyed merges over snapshots.
 
 A merge is a function of the stored table and the incoming rows. The incoming side is first reduced to one row per
-key, by an aggregation that combines copies before the shuffle. The stored side is only joined: when the incoming side
-is small the adaptive plan broadcasts it, by its measured size, and the stored table is not shuffled at all.
+key, by an aggregation that combines copies before the shuffle. The stored side is only joined: if the incoming keys
+are few, by a count, they are broadcast and the stored table is not shuffled at all.
 Stored tables keep one row per key. The key is the natural one: a 64-bit surrogate would collide at this scale.
 """
 
@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marketpulse.operators.sizes import broadcast_if_small
 from marketpulse.schemas import POST_KEY
 
 
@@ -33,7 +34,8 @@ def merge_latest(
     newest = latest(incoming, key, order, drop)
     if existing is None:
         return newest
-    return existing.join(newest.select(*key), list(key), "left_anti").unionByName(newest)
+    replaced = broadcast_if_small(newest.select(*key))
+    return existing.join(replaced, list(key), "left_anti").unionByName(newest)
 
 
 def first_writes(incoming: DataFrame, order: Column, drop: tuple[str, ...] = ()) -> DataFrame:
@@ -53,7 +55,7 @@ def unseen(incoming: DataFrame, existing: DataFrame) -> DataFrame:
     broadcast, so the stored keys are only scanned. The anti join then has two small sides.
     """
     key = list(POST_KEY)
-    again = existing.select(*key).join(incoming.select(*key), key, "left_semi")
+    again = existing.select(*key).join(broadcast_if_small(incoming.select(*key)), key, "left_semi")
     return incoming.join(again, key, "left_anti")
 
 
@@ -64,10 +66,9 @@ def merge_posts(
     first = first_writes(incoming, order, drop)
     if existing is None:
         return first
-    key = list(POST_KEY)
-    seen = first.select(*key, F.col("ingested_at").alias("_seen"))
+    seen = broadcast_if_small(first.select(*POST_KEY, F.col("ingested_at").alias("_seen")))
     touched = (
-        existing.join(seen, key, "left")
+        existing.join(seen, list(POST_KEY), "left")
         .withColumn("ingested_at", F.greatest("ingested_at", "_seen")).drop("_seen")
     )
     return touched.unionByName(unseen(first, existing))

@@ -30,14 +30,16 @@ def _run(model: Model, texts: list[str]) -> list:
     try:
         return list(np.asarray(model(texts)))
     except Exception:  # noqa: BLE001 - one bad text must not lose the batch
-        rows = []
-        for text in texts:
-            try:
-                rows.append(np.asarray(model([text]))[0])
-            except Exception as error:  # noqa: BLE001
-                log.warning("model failed on a text: %s", error)
-                rows.append(None)
-        return rows
+        pass
+    rows, error = [], None
+    for text in texts:
+        try:
+            rows.append(np.asarray(model([text]))[0])
+        except Exception as failure:  # noqa: BLE001
+            rows.append(None)
+            error = failure
+    log.debug("model failed on some of %d texts, last: %s", len(texts), error)
+    return rows
 
 
 def _apply(batches: Iterator[pd.Series], factory: Factory, max_chars: int | None) -> Iterator[list]:

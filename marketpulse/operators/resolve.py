@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from marketpulse.constants import CACHE_TTL_DAYS, COMPANY_TICKERS
 from marketpulse.functions.windows import request_reason, window_hours
 from marketpulse.operators.merge import merge_latest
+from marketpulse.operators.sizes import broadcast_if_small
 from marketpulse.sources.parsing import literal_time
 
 _FIELDS = ("symbol", "cik", "isin", "figi", "company_name")
@@ -50,6 +51,7 @@ def resolve_symbols(requests: DataFrame, cache: DataFrame | None = None, as_of:
         return requests.withColumn("instrument", computed).withColumn("cache_hit", F.lit(False))
     fresh = cache.filter(F.col("cached_at") > literal_time(as_of - dt.timedelta(days=CACHE_TTL_DAYS))).select(
         F.col("query").alias("_key"), F.struct(*_FIELDS).alias("_cached"))
+    fresh = broadcast_if_small(fresh)
     return (
         requests.join(fresh, F.upper("query") == F.col("_key"), "left")
         .withColumn("cache_hit", F.col("_cached").isNotNull())

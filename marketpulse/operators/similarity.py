@@ -15,10 +15,15 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marketpulse.functions.vectors import l2_normalize
+from marketpulse.operators.sizes import broadcast_if_small
+
 # A query set up to this many numbers is sent to all tasks; a larger one is shuffled in blocks.
 BROADCAST_NUMBERS = 4_000_000
 # Vectors per block side in the shuffled form.
 BLOCK_ROWS = 20_000
+# Scores held at a time within a task.
+PRODUCT_NUMBERS = 4_000_000
 _RESULT = "query_id string, vec_id long, score double"
 
 
@@ -30,17 +35,29 @@ def _unit_rows(vectors: pd.Series) -> np.ndarray:
 
 def _best(query_ids: np.ndarray, units: np.ndarray, corpus_ids: np.ndarray, corpus: np.ndarray, k: int) -> pd.DataFrame:
     """The k best of this block per query; scores to nine places, ties by id."""
-    scores = np.round(units @ corpus.T, 9)
-    if scores.shape[1] > k:
-        kth = -np.partition(-scores, k - 1, axis=1)[:, k - 1:k]
-        q, c = np.nonzero(scores >= kth)
-    else:
-        q, c = np.nonzero(np.ones_like(scores, dtype=bool))
-    found = pd.DataFrame({"query_id": query_ids[q], "vec_id": corpus_ids[c], "score": scores[q, c]})
+    parts = []
+    step = max(1, PRODUCT_NUMBERS // max(1, len(corpus_ids)))
+    for start in range(0, len(query_ids), step):
+        scores = np.round(units[start:start + step] @ corpus.T, 9)
+        if scores.shape[1] > k:
+            kth = -np.partition(-scores, k - 1, axis=1)[:, k - 1:k]
+            q, c = np.nonzero(scores >= kth)
+        else:
+            q, c = np.nonzero(np.ones_like(scores, dtype=bool))
+        parts.append(_top(pd.DataFrame({
+            "query_id": query_ids[start:start + step][q], "vec_id": corpus_ids[c], "score": scores[q, c]}), k))
+    return pd.concat(parts) if parts else _nothing()
+
+
+def _top(found: pd.DataFrame, k: int) -> pd.DataFrame:
     found = found.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True])
     return found.groupby("query_id", sort=False).head(k)
 
 
+def _nothing() -> pd.DataFrame:
+    return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+
+
 def _final_rank(partial: DataFrame, k: int) -> DataFrame:
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return partial.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
@@ -71,13 +88,11 @@ def _with_sent_queries(queries: DataFrame, corpus: DataFrame, k: int) -> DataFra
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         query_ids, query_units = sent.value
-        kept = pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+        kept = _nothing()
         for batch in batches:
             if len(batch) and len(query_ids):
                 found = _best(query_ids, query_units, batch["vec_id"].to_numpy(), _unit_rows(batch["vector"]), k)
-                kept = pd.concat([kept, found]) if len(kept) else found
-                kept = kept.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True])
-                kept = kept.groupby("query_id", sort=False).head(k)
+                kept = _top(pd.concat([kept, found]), k) if len(kept) else found
         yield kept
 
     return corpus.select("vec_id", "vector").mapInPandas(search, _RESULT)
@@ -92,8 +107,9 @@ def _blocked(queries: DataFrame, corpus: DataFrame, k: int, block_rows: int) ->
     def blocks(side: DataFrame, name: str) -> DataFrame:
         return side.groupBy("list_id").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias(name))
 
-    # One row per list; lists that only one side has find no partner.
-    sizes = blocks(queries, "q_blocks").join(blocks(corpus, "c_blocks"), "list_id")
+    # One row per list; lists that only one side has find no partner. Broadcast, as the rows of a list must not meet
+    # in one task for this join.
+    sizes = broadcast_if_small(blocks(queries, "q_blocks").join(blocks(corpus, "c_blocks"), "list_id"))
 
     def spread(side: DataFrame, own: str, other: str, row_id: Column) -> DataFrame:
         block = F.pmod(F.xxhash64(row_id), F.col(f"{own}_blocks").cast("bigint")).cast("int")
@@ -107,7 +123,7 @@ def _blocked(queries: DataFrame, corpus: DataFrame, k: int, block_rows: int) ->
 
     def meet(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(c):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+            return _nothing()
         return _best(q["query_id"].to_numpy(), _unit_rows(q["vector"]), c["vec_id"].to_numpy(), _unit_rows(c["vector"]), k)
 
     key = ["list_id", "q_block", "c_block"]
@@ -117,8 +133,6 @@ def _blocked(queries: DataFrame, corpus: DataFrame, k: int, block_rows: int) ->
 
 def train_lists(corpus: DataFrame, lists: int = 100, seed: int = 7) -> DataFrame:
     """Centroids of `lists` k-means clusters over the unit vectors: (list_id, centroid)."""
-    from marketpulse.functions.vectors import l2_normalize
-
     points = corpus.select(array_to_vector(l2_normalize(F.col("vector"))).alias("features"))
     model = KMeans(k=lists, seed=seed, maxIter=20).fit(points)
     centers = [(i, [float(x) for x in center]) for i, center in enumerate(model.clusterCenters())]

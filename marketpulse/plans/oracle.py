@@ -210,9 +210,9 @@ CTES["record"] = """SELECT symbol, coalesce(days, 0) AS days, coalesce(related_q
 CTES["todo"] = f"""SELECT * EXCLUDE (symbol0) FROM ({resolved('''(SELECT DISTINCT upper(symbol) AS query, "window", hours, NULL AS symbol0
     FROM checked WHERE reason IS NULL)''')})"""
 CTES["keys"] = "SELECT DISTINCT symbol, hours FROM todo"
-CTES["found"] = f"""SELECT k.symbol, k.hours, count(*) AS posts_found, count_if(outcome = 'no_symbols') AS no_symbols,
-    count_if(outcome = 'probable_bots') AS probable_bots, count_if(outcome = 'processed') AS posts_processed,
-    count_if(source = 'x') AS x, count_if(source = 'reddit') AS reddit, count_if(source = 'stocktwits') AS stocktwits
+CTES["found"] = f"""SELECT k.symbol, k.hours, count(*) AS posts_found, count(*) FILTER (WHERE outcome = 'no_symbols') AS no_symbols,
+    count(*) FILTER (WHERE outcome = 'probable_bots') AS probable_bots, count(*) FILTER (WHERE outcome = 'processed') AS posts_processed,
+    count(*) FILTER (WHERE source = 'x') AS x, count(*) FILTER (WHERE source = 'reddit') AS reddit, count(*) FILTER (WHERE source = 'stocktwits') AS stocktwits
     FROM keys k JOIN landed_clean l ON l.symbol = k.symbol AND l.created_at >= {AS_OF} - to_hours(k.hours) GROUP BY ALL"""
 CTES["answers"] = f"""SELECT symbol, hours, sum(n)::BIGINT AS count, sum(coalesce(a, 0) * n) / sum(n) AS weighted_sentiment FROM (
     SELECT k.symbol, k.hours, l.source, count(*) AS n, avg(polarity::DOUBLE) AS a
@@ -396,8 +396,8 @@ SELECTS: dict[str, str] = {
     "source_counts": """SELECT s.symbol, k.source, count(l.symbol) AS n FROM (SELECT DISTINCT symbol FROM landed) s
         CROSS JOIN (VALUES ('x'), ('reddit'), ('stocktwits')) k(source)
         LEFT JOIN landed l ON l.symbol = s.symbol AND l.source = k.source AND (l.symbol <> 'META' OR l.source <> 'x') GROUP BY ALL""",
-    "filter_stats": """SELECT ticker AS symbol, count(*) AS total_input, count_if(outcome = 'no_symbols') AS no_symbols,
-        count_if(outcome = 'probable_bots') AS probable_bots, count_if(outcome = 'processed') AS processed FROM cleaned GROUP BY ticker""",
+    "filter_stats": """SELECT ticker AS symbol, count(*) AS total_input, count(*) FILTER (WHERE outcome = 'no_symbols') AS no_symbols,
+        count(*) FILTER (WHERE outcome = 'probable_bots') AS probable_bots, count(*) FILTER (WHERE outcome = 'processed') AS processed FROM cleaned GROUP BY ticker""",
     "avg_scores": """SELECT symbol, round(avg(polarity::DOUBLE), 6) AS avg_polarity, round(avg(subjectivity::DOUBLE), 6) AS avg_subjectivity,
         round(avg(confidence::DOUBLE), 6) AS avg_confidence
         FROM (SELECT unnest(symbols) AS symbol, polarity, subjectivity, confidence FROM recent) GROUP BY symbol""",
@@ -407,8 +407,8 @@ SELECTS: dict[str, str] = {
         CASE WHEN error IS NULL THEN round(coalesce(weighted_sentiment, 0), 6) END AS weighted_sentiment, company_name,
         posts_found, posts_processed, x, reddit, stocktwits, CASE WHEN error IS NULL THEN days END AS trend_days,
         no_symbols, probable_bots, error FROM report""",
-    "report_status": """SELECT error, count(*) AS n, count_if(posts_found > 0) AS with_stats,
-        count_if(error IS NULL AND days IS NOT NULL) AS with_trends FROM report GROUP BY error""",
+    "report_status": """SELECT error, count(*) AS n, count(*) FILTER (WHERE posts_found > 0) AS with_stats,
+        count(*) FILTER (WHERE error IS NULL AND days IS NOT NULL) AS with_trends FROM report GROUP BY error""",
     "report_dry_run": """SELECT query, "window", CASE WHEN error IS NULL THEN inst_symbol ELSE query END AS symbol,
         CASE WHEN error IS NULL THEN 0.0::DOUBLE END AS avg_polarity, CASE WHEN error IS NULL THEN 0.0::DOUBLE END AS avg_subjectivity,
         CASE WHEN error IS NULL THEN 0.0::DOUBLE END AS avg_confidence,

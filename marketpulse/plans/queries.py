@@ -19,7 +19,7 @@ from marketpulse.functions import scoring, text, vectors, windows
 from marketpulse.operators import aggregate, mentions, merge, models, resolve, similarity, trends
 from marketpulse.plans import views as v
 from marketpulse.plans.report import report_json, sentiment_report
-from marketpulse.session import configure, scratch_path
+from marketpulse.session import configure, materialize, scratch_path
 from marketpulse.sources import landed, reddit, stocktwits, x
 from marketpulse.sources.parsing import literal_time
 from marketpulse.sources.timestamps import stocktwits_created_at, x_created_at
@@ -152,8 +152,7 @@ def page_cap(spark, sf):
 @query
 def page_take_while(spark, sf):
     pages = _of(v.landed_pages(spark, sf), "stocktwits")
-    kept = landed.page_take_while(pages, stocktwits.posts(pages, v.AS_OF, v.WEEK_AGO).withColumn("source", F.lit("stocktwits")))
-    return kept.select("symbol", "page_no")
+    return landed.page_take_while(pages, stocktwits.page_yields(v.AS_OF, v.WEEK_AGO)).select("symbol", "page_no")
 
 
 @query
@@ -202,7 +201,7 @@ def quarantine(spark, sf):
 def scan_landed(spark, sf):
     """Land the responses as JSON lines, scan them again, and count their posts."""
     path = scratch_path(spark, "landed")
-    v.landed_pages(spark, sf).write.json(path)
+    landed.write_landed(v.landed_pages(spark, sf), path)
     posts = landed.collect_posts(landed.scan_landed(spark, path), v.AS_OF)
     return posts.groupBy("source", "symbol").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
 
@@ -508,7 +507,8 @@ def _report(spark: SparkSession, sf: str, dry_run: bool = False) -> DataFrame:
     asked = resolve.validate_requests(v.requests(spark, sf)).filter(F.col("reason").isNull())
     asked = resolve.with_window(asked.select("query", "window").distinct())
     asked = resolve.resolve_symbols(asked)
-    cleaned = aggregate.clean(_landed_posts(spark, sf))
+    # The posts are looked at twice, as collected and as stored, so they are written once, as an ingesting job would.
+    cleaned = materialize(aggregate.clean(_landed_posts(spark, sf)), "cleaned")
     stored = aggregate.scored(cleaned.filter(F.col("outcome") == "processed"))
     return sentiment_report(asked, cleaned, stored, _trends(spark, sf), v.AS_OF, dry_run)
 

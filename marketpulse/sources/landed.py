@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketpulse.constants import MAX_PAGES, SOURCES
+from marketpulse.operators.sizes import broadcast_if_small
 from marketpulse.schemas import LANDED_PAGE, REDDIT_LISTING, REQUIRED_POST_FIELDS, STOCKTWITS_STREAM, X_PAGE
 from marketpulse.sources import reddit, stocktwits, x
 from marketpulse.sources.parsing import bad_pages, literal_time
@@ -36,6 +37,11 @@ def register_parser(source: str, parser: Parser) -> None:
     PARSERS[source] = parser
 
 
+def write_landed(pages: DataFrame, path: str) -> None:
+    """Append responses as JSON lines, by source, so that each parser reads only its own."""
+    pages.write.mode("append").partitionBy("source").json(path)
+
+
 def scan_landed(spark: SparkSession, path: str) -> DataFrame:
     """Landed responses, one JSON object per line."""
     return spark.read.schema(LANDED_PAGE).json(path)
@@ -102,9 +108,8 @@ PAGE_KEY = ("source", "symbol", "term_no")
 def _until(pages: DataFrame, stops: Column) -> DataFrame:
     """Pages up to and including the first one that stops its sequence.
 
-    Only sequences that go on after a stop can lose pages. These are found by a narrow pre-aggregated pass, so the
-    page bodies need no shuffle while that list is small enough for a broadcast, which the adaptive plan decides by
-    its measured size.
+    Only sequences that go on after a stop can lose pages. These are found by a narrow pre-aggregated pass; while
+    there are few of them, by a count, the page bodies need no shuffle.
     """
     marked = pages.withColumn("_stops", stops)
     cut = (
@@ -113,7 +118,7 @@ def _until(pages: DataFrame, stops: Column) -> DataFrame:
         .filter(F.col("_max") > F.col("_last"))
         .select(*[F.col(c).alias(f"_{c}") for c in PAGE_KEY], "_last")
     )
-    return pages.join(cut, _same(PAGE_KEY) & (F.col("page_no") > F.col("_last")), "left_anti")
+    return pages.join(broadcast_if_small(cut), _same(PAGE_KEY) & (F.col("page_no") > F.col("_last")), "left_anti")
 
 
 def _same(columns: tuple[str, ...]) -> Column:
@@ -125,15 +130,9 @@ def page_cap(pages: DataFrame, max_pages: int = MAX_PAGES) -> DataFrame:
     return _until(pages.filter(F.col("page_no") < max_pages), ~next_cursor(pages))
 
 
-def page_take_while(pages: DataFrame, accepted_posts: DataFrame) -> DataFrame:
-    """Pages up to and including the first that yielded no accepted post."""
-    on = (*PAGE_KEY, "page_no")
-    yielded = (
-        accepted_posts.groupBy(*on).agg(F.lit(True).alias("_yielded"))
-        .select(*[F.col(c).alias(f"_{c}") for c in on], "_yielded")
-    )
-    marked = pages.join(yielded, _same(on), "left").select(*pages.columns, "_yielded")
-    return _until(marked, F.col("_yielded").isNull()).drop("_yielded")
+def page_take_while(pages: DataFrame, yields: Column) -> DataFrame:
+    """Pages up to and including the first that yields no accepted post. `yields` is tested on the page itself."""
+    return _until(pages, ~yields)
 
 
 def validate_posts(posts: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketpulse.schemas import STOCKTWITS_STREAM
@@ -12,28 +12,37 @@ from marketpulse.sources.parsing import accepted, as_candidates, literal_time, m
 from marketpulse.sources.timestamps import stocktwits_created_at
 
 
+def _reason(message: Column, as_of: dt.datetime, since: dt.datetime | None) -> Column:
+    created_at = stocktwits_created_at(message["created_at"], literal_time(as_of))
+    too_old = F.lit(False) if since is None else created_at < literal_time(since)
+    return (
+        F.when(too_old, "too_old")
+        .when(message["id"].isNull() | (message["id"] == 0), "missing_id")
+        .when(missing(message["body"]), "missing_text")
+    )
+
+
+def page_yields(as_of: dt.datetime, since: dt.datetime) -> Column:
+    """Whether a page holds any message that would be accepted."""
+    messages = F.from_json("body", STOCKTWITS_STREAM)["messages"]
+    return F.coalesce(F.exists(messages, lambda m: _reason(m, as_of, since).isNull()), F.lit(False))
+
+
 def candidates(raw: DataFrame, as_of: dt.datetime, since: dt.datetime | None = None) -> DataFrame:
     df = page_items(raw, STOCKTWITS_STREAM, F.col("page")["messages"])
     message = F.col("item")
     user = message["user"]
-    created_at = stocktwits_created_at(message["created_at"], literal_time(as_of))
     tag = message["entities"]["sentiment"]["basic"]
     tagged = F.concat(F.lit("["), F.upper(tag), F.lit("] "), message["body"])
     handle = F.coalesce(user["username"], F.lit(""))
     message_id = message["id"].cast("string")
-    too_old = F.lit(False) if since is None else created_at < literal_time(since)
-    reason = (
-        F.when(too_old, "too_old")
-        .when(message["id"].isNull() | (message["id"] == 0), "missing_id")
-        .when(missing(message["body"]), "missing_text")
-    )
     return as_candidates(
-        df, reason,
+        df, _reason(message, as_of, since),
         source=F.lit("stocktwits"),
         platform_id=message_id,
         author_id=F.coalesce(user["id"].cast("string"), F.lit("")),
         author_handle=handle,
-        created_at=created_at,
+        created_at=stocktwits_created_at(message["created_at"], literal_time(as_of)),
         text=F.when(missing(tag), message["body"]).otherwise(tagged),
         lang=F.lit("en"),
         like_count=F.coalesce(message["likes"]["total"], F.lit(0)),
