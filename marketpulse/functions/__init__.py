@@ -1 +1 @@
-"""Column functions: everything here stays inside the JVM."""
+"""Column functions. All but the drawn vectors are built-in expressions."""

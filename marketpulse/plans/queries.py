@@ -293,7 +293,7 @@ def score_empty(spark, sf):
     """Documents where some texts are missing or blank."""
     d = F.col("doc_id")
     blanked = F.when(d % 5 == 0, F.lit(None)).when(d % 5 == 1, F.lit(" \t\n ")).otherwise(F.col("text"))
-    df = v.table(spark, sf, "documents").select("doc_id", blanked.alias("text"))
+    df = v.documents(spark, sf).select("doc_id", blanked.alias("text"))
     return scoring.score_posts(df).select("doc_id", *[f"score.{c}" for c in _SCORES])
 
 

@@ -35,6 +35,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents. A file with one row group is one task however many cores there are, so a table that has fewer
+    partitions than cores is dealt out; one of many files, as on a cluster, is read as it is."""
+    df, cores = table(spark, sf_dir, "documents"), spark.sparkContext.defaultParallelism
+    return df.repartition(cores, "doc_id") if df.rdd.getNumPartitions() < cores else df
+
+
 def post_columns(documents: DataFrame) -> DataFrame:
     """Posts made of documents; also used on a stream of documents."""
     d = F.col("doc_id")
@@ -66,7 +73,7 @@ def post_columns(documents: DataFrame) -> DataFrame:
 
 
 def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return post_columns(table(spark, sf_dir, "documents"))
+    return post_columns(documents(spark, sf_dir))
 
 
 def collected(spark: SparkSession, sf_dir: str) -> DataFrame:
