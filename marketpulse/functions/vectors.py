@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -12,11 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from marketpulse.constants import EMBEDDING_DIM
-
-
-def _bind(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluate `value` once and use it in `body`: inside a lambda an expression is evaluated at each mention."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+from marketpulse.functions.binding import bind
 
 
 def l2_norm(vector: Column) -> Column:
@@ -25,14 +20,14 @@ def l2_norm(vector: Column) -> Column:
 
 def l2_normalize(vector: Column) -> Column:
     """Unit length; a zero vector stays as it is."""
-    with_norm = _bind(vector, lambda v: F.struct(v.alias("v"), l2_norm(v).alias("norm")))
+    with_norm = bind(vector, lambda v: F.struct(v.alias("v"), l2_norm(v).alias("norm")))
 
     def scale(s: Column) -> Column:
         by = F.when(s["norm"] > 0, s["norm"]).otherwise(F.lit(1.0))
-        return _bind(F.struct(s["v"].alias("v"), by.alias("by")),
+        return bind(F.struct(s["v"].alias("v"), by.alias("by")),
                      lambda t: F.transform(t["v"], lambda x: x.cast("double") / t["by"]))
 
-    return _bind(with_norm, scale)
+    return bind(with_norm, scale)
 
 
 def _gaussian_rows(seeds: list[str], dim: int) -> np.ndarray:

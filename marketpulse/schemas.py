@@ -30,41 +30,31 @@ LANDED_PAGE = _struct(
 )
 
 CORRUPT = "_bad"
-
-X_PAGE = _struct(
-    data=T.ArrayType(_struct(
-        id=_S, text=_S, created_at=_S, author_id=_S, lang=_S,
-        public_metrics=_struct(like_count=_I, reply_count=_I, retweet_count=_I),
-    )),
-    includes=_struct(users=T.ArrayType(_struct(
-        id=_S, username=_S, public_metrics=_struct(followers_count=_I),
-    ))),
-    meta=_struct(next_token=_S),
-    **{CORRUPT: _S},
+_ITEMS = T.ArrayType(_S)
+
+# Pages keep their items as JSON text, and each item is read by itself: a field of the wrong kind then costs that field
+# of that item, and not its neighbours.
+X_PAGE = _struct(data=_ITEMS, includes=_struct(users=_ITEMS), **{CORRUPT: _S})
+X_POST = _struct(
+    id=_S, text=_S, created_at=_S, author_id=_S, lang=_S,
+    public_metrics=_struct(like_count=_I, reply_count=_I, retweet_count=_I),
 )
+X_USER = _struct(id=_S, username=_S, public_metrics=_struct(followers_count=_I))
 
-REDDIT_LISTING = _struct(
-    data=_struct(
-        after=_S,
-        children=T.ArrayType(_struct(data=_struct(
-            id=_S, title=_S, selftext=_S, author=_S, created_utc=_D, ups=_I, num_comments=_I, permalink=_S,
-        ))),
-    ),
-    **{CORRUPT: _S},
-)
+REDDIT_LISTING = _struct(data=_struct(children=_ITEMS), **{CORRUPT: _S})
+REDDIT_POST = _struct(data=_struct(
+    id=_S, title=_S, selftext=_S, author=_S, created_utc=_D, ups=_I, num_comments=_I, permalink=_S,
+))
 
-REDDIT_THREAD = T.ArrayType(_struct(data=_struct(children=T.ArrayType(_struct(
-    kind=_S,
-    data=_struct(id=_S, body=_S, author=_S, created_utc=_D, ups=_I, permalink=_S),
-)))))
+REDDIT_THREAD = T.ArrayType(_struct(data=_struct(children=_ITEMS)))
+REDDIT_COMMENT = _struct(
+    kind=_S, data=_struct(id=_S, body=_S, author=_S, created_utc=_D, ups=_I, permalink=_S),
+)
 
-STOCKTWITS_STREAM = _struct(
-    messages=T.ArrayType(_struct(
-        id=_L, body=_S, created_at=_S,
-        entities=_struct(sentiment=_struct(basic=_S)),
-        likes=_struct(total=_I),
-        user=_struct(id=_L, username=_S, followers=_I),
-    )),
-    cursor=_struct(max=_L),
-    **{CORRUPT: _S},
+STOCKTWITS_STREAM = _struct(messages=_ITEMS, **{CORRUPT: _S})
+STOCKTWITS_MESSAGE = _struct(
+    id=_L, body=_S, created_at=_S, entities=_struct(sentiment=_struct(basic=_S)),
+    # Not always an object; read in a second step.
+    likes=_S,
+    user=_struct(id=_L, username=_S, followers=_I),
 )

@@ -23,14 +23,18 @@ def literal_time(value: dt.datetime) -> Column:
     return F.lit(value if value.tzinfo else value.replace(tzinfo=dt.timezone.utc)).cast("timestamp")
 
 
-def page_items(raw: DataFrame, schema: T.DataType, items: Column, *carry: str) -> DataFrame:
-    """One row per item of a page: origin, the item, its place. `items` may use the column `page`."""
+def page_items(raw: DataFrame, schema: T.DataType, items: Column, item: T.DataType | None = None, *carry: str) -> DataFrame:
+    """One row per item of a page: origin, the item, its place. `items` may use the column `page`.
+
+    Items that are still JSON text are read by the schema `item`, each by itself.
+    """
     options = {"columnNameOfCorruptRecord": CORRUPT, "mode": "PERMISSIVE"}
     parsed = raw.withColumn("page", F.from_json("body", schema, options))
     if isinstance(schema, T.StructType):
         parsed = parsed.filter(F.col("page")[CORRUPT].isNull())
     origin = [c for c in ORIGIN if c != "pos"]
-    return parsed.select(*origin, *carry, F.posexplode(items).alias("pos", "item"))
+    rows = parsed.select(*origin, *carry, F.posexplode(items).alias("pos", "item"))
+    return rows if item is None else rows.withColumn("item", F.from_json("item", item))
 
 
 def bad_pages(raw: DataFrame, schema: T.StructType) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from marketpulse.constants import COMMENTS_PER_POST
 from marketpulse.functions.text import strip
-from marketpulse.schemas import REDDIT_LISTING, REDDIT_THREAD
+from marketpulse.schemas import REDDIT_COMMENT, REDDIT_LISTING, REDDIT_POST, REDDIT_THREAD
 from marketpulse.sources.parsing import accepted, as_candidates, literal_time, missing, page_items
 from marketpulse.sources.timestamps import reddit_created_at
 
@@ -25,7 +25,7 @@ def _permalink(path: Column) -> Column:
 
 
 def post_candidates(raw: DataFrame, as_of: dt.datetime, since: dt.datetime | None = None) -> DataFrame:
-    df = page_items(raw, REDDIT_LISTING, F.col("page")["data"]["children"])
+    df = page_items(raw, REDDIT_LISTING, F.col("page")["data"]["children"], REDDIT_POST)
     post = F.col("item")["data"]
     author = F.coalesce(post["author"], F.lit("[deleted]"))
     selftext = F.coalesce(post["selftext"], F.lit(""))
@@ -62,7 +62,7 @@ def comment_candidates(
 ) -> DataFrame:
     """Comments of landed threads. The first `per_post` children are looked at, then those that are comments kept."""
     children = F.slice(F.try_element_at(F.col("page"), F.lit(2))["data"]["children"], 1, per_post)
-    df = page_items(threads, REDDIT_THREAD, children, "post_id").filter(F.col("item")["kind"] == "t1")
+    df = page_items(threads, REDDIT_THREAD, children, REDDIT_COMMENT, "post_id").filter(F.col("item")["kind"] == "t1")
     comment = F.col("item")["data"]
     author = F.coalesce(comment["author"], F.lit("[deleted]"))
     created_utc = F.coalesce(comment["created_utc"], F.lit(0.0))

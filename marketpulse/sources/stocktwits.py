@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketpulse.schemas import STOCKTWITS_STREAM
+from marketpulse.schemas import STOCKTWITS_MESSAGE, STOCKTWITS_STREAM
 from marketpulse.sources.parsing import accepted, as_candidates, literal_time, missing, page_items
 from marketpulse.sources.timestamps import stocktwits_created_at
 
@@ -25,11 +25,14 @@ def _reason(message: Column, as_of: dt.datetime, since: dt.datetime | None) -> C
 def page_yields(as_of: dt.datetime, since: dt.datetime) -> Column:
     """Whether a page holds any message that would be accepted."""
     messages = F.from_json("body", STOCKTWITS_STREAM)["messages"]
-    return F.coalesce(F.exists(messages, lambda m: _reason(m, as_of, since).isNull()), F.lit(False))
+    accepted_one = F.exists(
+        F.transform(messages, lambda text: F.from_json(text, STOCKTWITS_MESSAGE)),
+        lambda message: _reason(message, as_of, since).isNull())
+    return F.coalesce(accepted_one, F.lit(False))
 
 
 def candidates(raw: DataFrame, as_of: dt.datetime, since: dt.datetime | None = None) -> DataFrame:
-    df = page_items(raw, STOCKTWITS_STREAM, F.col("page")["messages"])
+    df = page_items(raw, STOCKTWITS_STREAM, F.col("page")["messages"], STOCKTWITS_MESSAGE)
     message = F.col("item")
     user = message["user"]
     tag = message["entities"]["sentiment"]["basic"]
@@ -45,7 +48,7 @@ def candidates(raw: DataFrame, as_of: dt.datetime, since: dt.datetime | None = N
         created_at=stocktwits_created_at(message["created_at"], literal_time(as_of)),
         text=F.when(missing(tag), message["body"]).otherwise(tagged),
         lang=F.lit("en"),
-        like_count=F.coalesce(message["likes"]["total"], F.lit(0)),
+        like_count=F.coalesce(F.get_json_object(message["likes"], "$.total").try_cast("int"), F.lit(0)),
         follower_count=F.coalesce(user["followers"], F.lit(0)),
         permalink=F.when(handle != "", F.concat(
             F.lit("https://stocktwits.com/"), handle, F.lit("/message/"), message_id)),

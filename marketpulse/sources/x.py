@@ -7,20 +7,23 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketpulse.schemas import X_PAGE
+from marketpulse.functions.binding import bind
+from marketpulse.schemas import X_PAGE, X_POST, X_USER
 from marketpulse.sources.parsing import accepted, as_candidates, literal_time, missing, page_items
 from marketpulse.sources.timestamps import x_created_at
 
 
 def candidates(raw: DataFrame, as_of: dt.datetime, since: dt.datetime | None = None) -> DataFrame:
     page = F.col("page")
+    read = F.struct(
+        F.transform(page["data"], lambda text: F.from_json(text, X_POST)).alias("posts"),
+        F.transform(page["includes"]["users"], lambda text: F.from_json(text, X_USER)).alias("users"),
+    )
     # A page lists its authors beside the posts; the last entry of an id counts. A page holds at most a hundred posts.
-    with_author = F.transform(page["data"], lambda post: F.struct(
+    with_author = bind(read, lambda p: F.transform(p["posts"], lambda post: F.struct(
         post.alias("post"),
-        F.try_element_at(
-            F.filter(page["includes"]["users"], lambda user: user["id"] == post["author_id"]), F.lit(-1)
-        ).alias("author"),
-    ))
+        F.try_element_at(F.filter(p["users"], lambda user: user["id"] == post["author_id"]), F.lit(-1)).alias("author"),
+    )))
     df = page_items(raw, X_PAGE, with_author)
     post, author = F.col("item")["post"], F.col("item")["author"]
     handle = F.coalesce(author["username"], F.lit(""))
