@@ -13,6 +13,7 @@ from marketpulse.operators.aggregate import clean, scored
 from marketpulse.operators.merge import first_writes, unseen
 from marketpulse.schemas import LANDED_PAGE, POST_KEY, SENTIMENT_SCORE, SOCIAL_POST
 from marketpulse.sources.landed import collect_posts
+from marketpulse.sources.parsing import literal_time
 
 _KEY = "source string, platform_id string"
 _CONTENT = [f"{f.name} {f.dataType.simpleString()}" for f in SOCIAL_POST if f.name not in (*POST_KEY, "urls")]
@@ -26,6 +27,8 @@ TABLES = {
     "sentiment": ", ".join([_KEY, *_SCORE]),
     "embeddings": f"{_KEY}, emb array<float>",
 }
+# Kept in one folder per day within the batch.
+DATED = ("posts",)
 
 
 def _columns(table: str) -> list[str]:
@@ -35,17 +38,32 @@ def _columns(table: str) -> list[str]:
 def create_store(spark: SparkSession, store: str) -> None:
     """Empty tables to start from."""
     for table, schema in TABLES.items():
-        spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{store}/{table}/batch_id=-1")
+        path = f"{store}/{table}/batch_id=-1" + ("/created_date=1970-01-01" if table in DATED else "")
+        spark.createDataFrame([], schema).write.mode("ignore").parquet(path)
 
 
 def read_table(spark: SparkSession, store: str, table: str) -> DataFrame:
-    return spark.read.schema(TABLES[table] + ", batch_id bigint").parquet(f"{store}/{table}")
+    folders = ", batch_id bigint" + (", created_date date" if table in DATED else "")
+    return spark.read.schema(TABLES[table] + folders).parquet(f"{store}/{table}")
 
 
-def stored_posts(spark: SparkSession, store: str) -> DataFrame:
-    """Stored posts with the time of their latest delivery."""
+def stored_posts(spark: SparkSession, store: str, since: dt.datetime | None = None) -> DataFrame:
+    """Stored posts with the time of their latest delivery. `since` leaves out whole folders of earlier days."""
+    posts = read_table(spark, store, "posts")
+    if since is not None:
+        posts = posts.filter((F.col("created_date") >= F.lit(since.date())) & (F.col("created_at") >= literal_time(since)))
     latest = read_table(spark, store, "deliveries").groupBy(*POST_KEY).agg(F.max("ingested_at").alias("ingested_at"))
-    return read_table(spark, store, "posts").drop("batch_id").join(latest, list(POST_KEY), "left")
+    return posts.drop("batch_id", "created_date").join(latest, list(POST_KEY), "left")
+
+
+def _write(rows: DataFrame, table: str, path: str) -> None:
+    if table not in DATED:
+        rows.write.mode("overwrite").parquet(path)
+        return
+    # Rows of a day go to the same tasks, so that a batch of few rows makes few files; a crowded day is split by the
+    # adaptive plan.
+    dated = rows.withColumn("created_date", F.to_date("created_at")).hint("rebalance", "created_date")
+    dated.write.mode("overwrite").partitionBy("created_date").parquet(path)
 
 
 def write_batch(
@@ -70,7 +88,7 @@ def write_batch(
                 **({"embeddings": new.withColumn("emb", hash_embedding(F.col("text")))} if embed else {}),
             }
             for table, rows in outputs.items():
-                rows.select(*_columns(table)).write.mode("overwrite").parquet(f"{store}/{table}/batch_id={batch_id}")
+                _write(rows.select(*_columns(table)), table, f"{store}/{table}/batch_id={batch_id}")
         finally:
             new.unpersist()
     finally:

@@ -41,10 +41,12 @@ def test_tweet_without_user_and_last_duplicate_user_counts(pages):
     assert second["author_handle"] == "later"
 
 
-@pytest.mark.parametrize("body", [{}, {"meta": {"result_count": 0}}, None, "null", "not valid json", {"data": None}, '{"data": [', "[]", "5"])
-def test_pages_without_posts(pages, body):
+EMPTY = [{}, {"meta": {"result_count": 0}}, None, "null", "not valid json", {"data": None}, '{"data": [', "[]", "5"]
+
+
+def test_pages_without_posts(pages):
     for source in ("x", "reddit", "stocktwits"):
-        assert landed.collect_posts(pages(source, body), AS_OF, SINCE).count() == 0
+        assert landed.collect_posts(pages(source, *EMPTY), AS_OF, SINCE).count() == 0
 
 
 def test_items_without_id_or_text(pages):
@@ -53,19 +55,21 @@ def test_items_without_id_or_text(pages):
     assert reasons == ["missing_id", "missing_id", "missing_text", None]
 
 
-@pytest.mark.parametrize("written,on_x,on_stocktwits", [
+WRITTEN = [
     ("2025-01-15T10:00:00Z", "10:00:00", "10:00:00"), ("2025-01-15T10:00:00.250Z", "10:00:00.25", "10:00:00.25"),
     ("2025-01-15T10:00:00.123456Z", "10:00:00.123456", "10:00:00.123456"), ("2025-01-15T10:00:00+02:00", None, "10:00:00"),
     ("yesterday", None, None), ("", None, None), (None, None, None), ("2025-13-45T10:00:00Z", None, None),
-])
-def test_created_at(pages, written, on_x, on_stocktwits):
+]
+
+
+def test_created_at(pages):
     def expected(t):
         return AS_OF if t is None else dt.datetime.fromisoformat(f"2025-01-15T{t}")
 
-    tweet = x.posts(pages("x", {"data": [{**TWEET, "created_at": written}]}), AS_OF).first()
-    assert tweet["created_at"] == expected(on_x)
-    message = stocktwits.posts(pages("stocktwits", {"messages": [{**MESSAGE, "created_at": written}]}), AS_OF).first()
-    assert message["created_at"] == expected(on_stocktwits)
+    tweets = x.posts(pages("x", {"data": [{**TWEET, "created_at": w} for w, _, _ in WRITTEN]}), AS_OF).orderBy("pos")
+    assert [r["created_at"] for r in tweets.collect()] == [expected(t) for _, t, _ in WRITTEN]
+    messages = stocktwits.posts(pages("stocktwits", {"messages": [{**MESSAGE, "created_at": w} for w, _, _ in WRITTEN]}), AS_OF)
+    assert [r["created_at"] for r in messages.orderBy("pos").collect()] == [expected(t) for _, _, t in WRITTEN]
 
 
 MESSAGE = {"id": 123456, "body": "AAPL looking strong today", "created_at": "2025-01-15T10:00:00Z",

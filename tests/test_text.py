@@ -1,6 +1,5 @@
 import re
 
-import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -62,29 +61,27 @@ def test_cashtags(texts):
     assert got[2] == []
 
 
-def symbols_of(texts, text, symbol, company):
-    df = texts([text]).withColumn("s", F.lit(symbol).cast("string")).withColumn("c", F.lit(company).cast("string"))
-    return df.select(T.extract_symbols(F.col("text"), F.upper("text"), F.col("s"), F.col("c"))).first()[0]
-
-
-@pytest.mark.parametrize("text,symbol,company,expected", [
+# Mentions are substrings, not words.
+MENTIONS = [
     ("Apple is doing great", "AAPL", "Apple", ["AAPL"]),
-    ("a fine page", "GE", "General Electric", []),
-    ("a fine page about GEnes", "GE", "General Electric", ["GE"]),
-    ("update on ge", "GE", "General Electric", ["GE"]),
+    ("a fine page", "GE", "General Electric", ["GE"]),
+    ("a fine day", "GE", "General Electric", []),
     ("$TSLA and apple", "AAPL", "Apple", ["AAPL", "TSLA"]),
     ("apple pie", "", "Apple", [""]),
     ("nothing here", None, None, []),
     ("$MSFT", "msft", "x-corp", ["MSFT"]),
-])
-def test_extract_symbols(texts, text, symbol, company, expected):
-    # Mentions are substrings, not words: "page" holds no "GE" once upper-cased as PAGE does.
-    if text == "a fine page":
-        expected = ["GE"]
-    assert symbols_of(texts, text, symbol, company) == expected
+    ("straße", "SS", "x", ["SS"]),
+]
+
 
+def test_extract_symbols(spark):
+    rows = [(i, *m[:3]) for i, m in enumerate(MENTIONS)]
+    df = spark.createDataFrame(rows, "i int, text string, s string, c string")
+    got = evaluate(df, T.extract_symbols(F.col("text"), F.upper("text"), F.col("s"), F.col("c")))
+    assert [list(g) for g in got] == [m[3] for m in MENTIONS]
 
-@pytest.mark.parametrize("text,symbols,expected", [
+
+FILTERED = [
     ("$AAPL up", ["AAPL"], "probable_bots"),
     ("x" * 19, ["AAPL"], "probable_bots"),
     ("x" * 20, ["AAPL"], "processed"),
@@ -93,7 +90,9 @@ def test_extract_symbols(texts, text, symbol, company, expected):
     ("$A $B $C $D $E $F and a longer text", ["A"], "probable_bots"),
     ("$A $B $C $D $E $F and a longer text", [], "no_symbols"),
     ("\U0001F644" * 19, ["A"], "probable_bots"),
-])
-def test_first_failing_filter(spark, text, symbols, expected):
-    df = spark.createDataFrame([(text, symbols)], "text string, symbols array<string>")
-    assert df.select(T.outcome(F.col("text"), F.col("symbols"))).first()[0] == expected
+]
+
+
+def test_first_failing_filter(spark):
+    df = spark.createDataFrame([(i, t, s) for i, (t, s, _) in enumerate(FILTERED)], "i int, text string, symbols array<string>")
+    assert evaluate(df, T.outcome(F.col("text"), F.col("symbols"))) == [f[2] for f in FILTERED]
