@@ -13,6 +13,7 @@ from marketpulse.constants import (
     SUBREDDITS,
 )
 from marketpulse.functions.text import strip
+from marketpulse.operators.sizes import is_small
 from marketpulse.schemas import POST_KEY
 from marketpulse.sources.parsing import literal_time
 
@@ -68,23 +69,28 @@ def _piece_length(needle: Column) -> Column:
 def _by_pieces(upper: DataFrame, needles: DataFrame, same: dict[str, str]) -> DataFrame:
     """Many needles: an equi join of text pieces with the heads of the needles, then an exact test.
 
-    Each post yields every distinct piece once per length in use, without its text. Pieces that many posts share are
-    spread over salts, and the needles, the smaller side, are repeated per salt. Only pairs with an equal piece go
-    on to the exact test, which fetches the text by key.
+    Each post yields every distinct piece once per length in use. Needles that can be broadcast are looked up as the
+    pieces come, with the text still at hand, so no piece is ever shuffled. More needles than that are joined by a
+    shuffle of the pieces without the text, which is fetched by key for the pairs that have a piece in common; pieces
+    that many posts share are spread over salts, and the needles, the smaller side, are repeated per salt.
     """
     heads = needles.withColumn("_length", _piece_length(F.col("needle"))).withColumn(
         "_piece", F.substring(F.col("needle"), F.lit(1), F.col("_length")))
     lengths = sorted(row["_length"] for row in heads.select("_length").distinct().collect())
+    heads = heads.drop("_length")
 
     # A look-ahead takes the piece at every place in one pass over the text.
-    pieces = F.array_distinct(F.flatten(F.array(*[
-        F.regexp_extract_all(F.col("_upper"), F.lit(rf"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in lengths])))
-    salt = F.pmod(F.xxhash64(*POST_KEY), F.lit(SALTS))
-    left = upper.select(*POST_KEY, salt.alias("_salt"), F.explode(pieces).alias("_piece"))
-    right = heads.drop("_length").withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
-    candidates = left.join(right, ["_piece", "_salt"]).drop("_piece", "_salt")
-    tested = candidates.join(upper, list(POST_KEY)).filter(F.contains(F.col("_upper"), F.col("needle")))
+    pieces = F.explode(F.array_distinct(F.flatten(F.array(*[
+        F.regexp_extract_all(F.col("_upper"), F.lit(rf"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in lengths])))).alias("_piece")
+    if is_small(heads):
+        met = upper.select("*", pieces).join(F.broadcast(heads), "_piece").drop("_piece")
+    else:
+        salt = F.pmod(F.xxhash64(*POST_KEY), F.lit(SALTS))
+        left = upper.select(*POST_KEY, salt.alias("_salt"), pieces)
+        right = heads.withColumn(
+            "_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
+        met = left.join(right, ["_piece", "_salt"]).drop("_piece", "_salt").join(upper, list(POST_KEY))
+    tested = met.filter(F.contains(F.col("_upper"), F.col("needle")))
     for needle_column, post_column in same.items():
         tested = tested.filter(F.col(needle_column) == F.col(post_column))
     return tested.drop("_upper", "needle").distinct()

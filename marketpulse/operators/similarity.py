@@ -164,10 +164,13 @@ def nearest_lists(vectors: DataFrame, id_column: str, centroids: DataFrame, prob
         assign, f"{id_column} {id_type}, vector array<float>, list_id int")
 
 
+def assign_lists(corpus: DataFrame, centroids: DataFrame) -> DataFrame:
+    """The index: each vector with its nearest list. To be stored once, by list, and searched many times."""
+    return nearest_lists(corpus, "vec_id", centroids, 1)
+
+
 def ivf_topk(
-    queries: DataFrame, corpus: DataFrame, centroids: DataFrame, k: int, probes: int, block_rows: int = BLOCK_ROWS
+    queries: DataFrame, index: DataFrame, centroids: DataFrame, k: int, probes: int, block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
     """Approximate top-k: each query looks only into its `probes` nearest lists. All lists give the exact answer."""
-    listed = nearest_lists(corpus, "vec_id", centroids, 1)
-    probing = nearest_lists(queries, "query_id", centroids, probes)
-    return _blocked(probing, listed, k, block_rows)
+    return _blocked(nearest_lists(queries, "query_id", centroids, probes), index, k, block_rows)

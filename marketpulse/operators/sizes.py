@@ -9,15 +9,18 @@ MAX_ROWS = 1_000_000
 MAX_BYTES = 64 * 1024 * 1024
 
 
+def is_small(df: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> bool:
+    """Whether the measured rows and bytes stay within the bounds. One pass that only adds up, so no row is moved."""
+    width = F.octet_length(F.to_json(F.struct(*df.columns)))
+    size = df.agg(F.count(F.lit(1)).alias("rows"), F.sum(width).alias("bytes")).first()
+    return size["rows"] <= max_rows and (size["bytes"] or 0) <= max_bytes
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """Mark the frame for broadcast if its measured rows and bytes stay below the bounds, else leave it as it is.
+    """Mark the frame for broadcast if it is small, else leave it as it is.
 
     For the small-looking side of a join with a stored table: a shuffle of the stored table, which the planner would
     otherwise start before it knows the size, costs far more than computing this side twice. Beyond the bounds the
     join is an ordinary shuffled one.
     """
-    width = F.octet_length(F.to_json(F.struct(*df.columns)))
-    size = df.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("rows"), F.sum(width).alias("bytes")).first()
-    if size["rows"] <= max_rows and (size["bytes"] or 0) <= max_bytes:
-        return F.broadcast(df)
-    return df
+    return F.broadcast(df) if is_small(df, max_rows, max_bytes) else df

@@ -390,18 +390,21 @@ def cosine_topk(spark, sf):
     return similarity.cosine_topk(v.source_queries(spark, sf), v.vectors(spark, sf), 10)
 
 
+def _ivf(spark: SparkSession, sf: str, centroids: DataFrame, probes: int) -> DataFrame:
+    index = materialize(similarity.assign_lists(v.vectors(spark, sf), centroids), "lists", partition_by="list_id")
+    return similarity.ivf_topk(materialize(v.source_queries(spark, sf), "queries"), index, centroids, k=10, probes=probes)
+
+
 @query
 def ivf_topk(spark, sf):
     """Lists around the label means, three probed."""
-    centroids = v.label_centroids(spark, sf)
-    return similarity.ivf_topk(v.source_queries(spark, sf), v.vectors(spark, sf), centroids, k=10, probes=3)
+    return _ivf(spark, sf, v.label_centroids(spark, sf), 3)
 
 
 @query
 def ivf_topk_kmeans(spark, sf):
     """Lists from k-means, four of sixteen probed."""
-    corpus = v.vectors(spark, sf)
-    return similarity.ivf_topk(v.source_queries(spark, sf), corpus, similarity.train_lists(corpus, 16), k=10, probes=4)
+    return _ivf(spark, sf, similarity.train_lists(v.vectors(spark, sf), 16), 4)
 
 
 # ---- resolution ----------------------------------------------------------------------------------------------------

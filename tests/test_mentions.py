@@ -11,7 +11,7 @@ def make(spark, rows):
     return spark.createDataFrame(rows, POSTS)
 
 
-def test_inline_and_distributed_agree_with_brute_force(spark):
+def test_all_three_forms_agree_with_brute_force(spark, monkeypatch):
     rng = random.Random(3)
     alphabet = "abcABC $éß\U0001F644"
     texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 60))) for _ in range(150)] + ["", "ABCABCABC" * 3]
@@ -22,7 +22,8 @@ def test_inline_and_distributed_agree_with_brute_force(spark):
     expected = {
         (str(i), s or "") for i, t in enumerate(texts) for s, c in instruments
         if (s and s in t.upper()) or (c and c.upper() in t.upper())}
-    for limit in (1000, 0):
+    for limit, small in ((1000, None), (0, True), (0, False)):
+        monkeypatch.setattr(N, "is_small", lambda df, small=small: small)
         rows = N.mention_join(posts, table, inline_limit=limit).collect()
         assert {(r["platform_id"], r["symbol"]) for r in rows} == expected
         assert len(rows) == len(expected)
@@ -44,7 +45,7 @@ def test_search_terms(spark):
     assert got["", "x"] == [(0, '("Acme") -is:retweet lang:en')] and got["", "reddit"] == [(2, "Acme")]
 
 
-def test_search_match(spark):
+def test_search_match(spark, monkeypatch):
     day = dt.timedelta(days=1)
     rows = [
         ("x", "1", "about $aapl and Apple", "en", None, None, NOW), ("x", "2", "$AAPL", "de", None, None, NOW),
@@ -55,6 +56,7 @@ def test_search_match(spark):
         *[("reddit", f"n{i}", "apple", "en", None, "stocks", NOW - i * dt.timedelta(hours=1)) for i in range(6)],
     ]
     table = spark.createDataFrame([("AAPL", "Apple")], "symbol string, company_name string")
-    for limit in (100, 0):
+    for limit, small in ((100, None), (0, True), (0, False)):
+        monkeypatch.setattr(N, "is_small", lambda df, small=small: small)
         got = sorted((r["platform_id"], r["term_no"]) for r in N.search_match(make(spark, rows), table, NOW, per_term=3, inline_limit=limit).collect())
         assert got == [("1", 0), ("5", 0), ("7", 1), ("n0", 2), ("n1", 2), ("n2", 2)]

@@ -53,8 +53,9 @@ def test_small_products_give_the_same(data, monkeypatch):
 def test_all_lists_probed_is_exact_and_few_are_a_part(data):
     q, c, expected = data
     lists = Y.train_lists(c, 6)
-    assert answer(Y.ivf_topk(q, c, lists, 9, probes=6, block_rows=60)) == expected
-    part = answer(Y.ivf_topk(q, c, lists, 9, probes=2, block_rows=60))
+    index = Y.assign_lists(c, lists)
+    assert answer(Y.ivf_topk(q, index, lists, 9, probes=6, block_rows=60)) == expected
+    part = answer(Y.ivf_topk(q, index, lists, 9, probes=2, block_rows=60))
     recall = sum(len(set(part[k]) & set(expected[k])) for k in expected) / (9 * len(expected))
     assert 0.3 < recall <= 1
 
