@@ -446,9 +446,9 @@ SELECTS: dict[str, str] = {
           WHERE query NOT IN (SELECT upper(query) FROM cached WHERE NOT cache_hit)
         UNION ALL SELECT upper(query), arg_max(symbol, query), arg_max(company_name, query), {stamp(AS_OF)}
           FROM cached WHERE NOT cache_hit GROUP BY upper(query)""",
-    "cosine_topk": """SELECT query_id, vec_id, round(score, 6) AS score, rank FROM (SELECT *,
+    "cosine_topk": """SELECT query_id, vec_id, score, rank FROM (SELECT *,
         row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pairs) WHERE rank <= 10""",
-    "ivf_topk": """SELECT query_id, vec_id, round(score, 6) AS score, rank FROM (SELECT *,
+    "ivf_topk": """SELECT query_id, vec_id, score, rank FROM (SELECT *,
         row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pairs JOIN (
           SELECT vec_id, label AS list_id FROM (SELECT v.vec_id, m.label, row_number() OVER (PARTITION BY v.vec_id
             ORDER BY round(list_cosine_similarity(v.vector, m.mean), 9) DESC, m.label) AS r FROM vec v, label_mean m) WHERE r = 1) USING (vec_id)

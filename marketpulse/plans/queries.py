@@ -31,6 +31,10 @@ REGISTRY: dict[str, Query] = {}
 DIM = 64
 
 
+# Already rounded, to nine places; rounding again would turn many values into ties.
+ROUNDED = ("score",)
+
+
 def flat(df: DataFrame) -> DataFrame:
     """Plain columns for comparison by value."""
     out = []
@@ -38,7 +42,7 @@ def flat(df: DataFrame) -> DataFrame:
         column, kind = F.col(f"`{field.name}`"), field.dataType
         if isinstance(kind, (T.IntegerType, T.ShortType, T.ByteType)):
             column = column.cast("bigint")
-        elif isinstance(kind, (T.FloatType, T.DoubleType)):
+        elif isinstance(kind, (T.FloatType, T.DoubleType)) and field.name not in ROUNDED:
             column = F.round(column.cast("double"), 6)
         elif isinstance(kind, T.TimestampType):
             column = F.date_format(column, "yyyy-MM-dd HH:mm:ss")
