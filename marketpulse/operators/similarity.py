@@ -146,7 +146,7 @@ def nearest_lists(vectors: DataFrame, id_column: str, centroids: DataFrame, prob
     ids = np.array([rows[i]["list_id"] for i in order])
     units = _unit_rows(pd.Series([rows[i]["centroid"] for i in order]))
     sent = vectors.sparkSession.sparkContext.broadcast((ids, units))
-    id_type = vectors.schema[id_column].dataType.simpleString()
+    id_type, vector_type = (vectors.schema[c].dataType.simpleString() for c in (id_column, "vector"))
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         list_ids, list_units = sent.value
@@ -161,7 +161,7 @@ def nearest_lists(vectors: DataFrame, id_column: str, centroids: DataFrame, prob
                 "list_id": list_ids[nearest.ravel()].astype("int32")})
 
     return vectors.select(id_column, "vector").mapInPandas(
-        assign, f"{id_column} {id_type}, vector array<float>, list_id int")
+        assign, f"{id_column} {id_type}, vector {vector_type}, list_id int")
 
 
 def assign_lists(corpus: DataFrame, centroids: DataFrame) -> DataFrame:
