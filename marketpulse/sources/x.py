@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketpulse.functions.binding import bind
+from marketpulse.operators.sizes import broadcast_if_small
 from marketpulse.schemas import X_PAGE, X_POST, X_USER
 from marketpulse.sources.parsing import accepted, as_candidates, literal_time, missing, page_items
 from marketpulse.sources.timestamps import x_created_at
@@ -55,9 +56,12 @@ def posts(raw: DataFrame, as_of: dt.datetime, since: dt.datetime | None = None)
 
 
 def with_authors(tweets: DataFrame, users: DataFrame) -> DataFrame:
-    """Author lookup across pages: `users` has one row per id, and posts of unknown authors stay."""
-    authors = users.select(
-        F.col("id").alias("author_id"), F.col("username").alias("_handle"), F.col("followers_count").alias("_followers"))
+    """Author lookup across pages: `users` has one row per id, and posts of unknown authors stay.
+
+    While the users are few, by a count, busy authors' posts need not meet in one task.
+    """
+    authors = broadcast_if_small(users.select(
+        F.col("id").alias("author_id"), F.col("username").alias("_handle"), F.col("followers_count").alias("_followers")))
     return (
         tweets.join(authors, "author_id", "left")
         .withColumn("author_handle", F.coalesce("_handle", F.lit("")))
