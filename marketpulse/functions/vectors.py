@@ -45,7 +45,7 @@ def hash_embedding(text: Column, dim: int = EMBEDDING_DIM) -> Column:
     """Unit vector in single precision that depends on the text alone: the embedding used where no model is given.
 
     The whole text is hashed in the JVM; only the digest goes to Python, where a batch of vectors is drawn at once.
-    The same as nested array functions takes more than ten times as long, since those are interpreted per element.
+    Nested array functions could do the same, but are interpreted per element.
     """
     @F.pandas_udf("array<float>")
     def draw(seeds: pd.Series) -> pd.Series:
