@@ -24,7 +24,8 @@ BUCKETS = 1 << 16
 #: Trigrams of a piece of text.
 PIECE = 48
 ROUNDS = 15
-SMOOTHING = 0.02
+#: Share of each model that is spread evenly over all buckets.
+EVEN = 0.01
 CHUNK = 1 << 20
 UNKNOWN = "und"
 #: ASCII that is no letter reads as a space; bytes of other letters stay.
@@ -72,7 +73,7 @@ def learn(docs: DataFrame, learning: Column, text: str = "text", lang: str = "la
     langs = sorted(counts["lang"].unique())
     seen = np.zeros((BUCKETS, len(langs)))
     seen[counts["bucket"], pd.Categorical(counts["lang"], categories=langs).codes] = counts["n"]
-    model = np.log((seen + SMOOTHING) / (seen.sum(axis=0) + SMOOTHING * BUCKETS))
+    model = np.log((1 - EVEN) * seen / np.maximum(seen.sum(axis=0), 1) + EVEN / BUCKETS)
     return langs, model.astype(np.float32)
 
 
