@@ -13,28 +13,33 @@ from marketpulse.constants import DEFAULT_WINDOW_HOURS
 # Hours per unit.
 HOURS_PER_UNIT = {"h": 1, "d": 24, "w": 168}
 
+#: Longest window, 2,000 years: any longer one would begin before the year 1, which no timestamp can say.
+MAX_HOURS = 2000 * 8766
+
 _NUMBER = r"^\s*[+-]?[0-9]+(_[0-9]+)*\s*$"
 
 
 def parse_window(window: str) -> dt.timedelta:
-    """Length of one window such as 24h, 7d or 1w. Unknown units count as 24 hours."""
+    """Length of one window such as 24h, 7d or 1w. Unknown units count as 24 hours; too long a window is an error."""
     amount, unit = window[:-1], window[-1:].lower()
     if not re.match(_NUMBER, amount):
         raise ValueError(f"invalid window: {window!r}")
     hours = int(amount) * HOURS_PER_UNIT[unit] if unit in HOURS_PER_UNIT else DEFAULT_WINDOW_HOURS
+    if abs(hours) > MAX_HOURS:
+        raise ValueError(f"window too long: {window!r}")
     return dt.timedelta(hours=hours)
 
 
 def window_hours(window: Column) -> Column:
-    """Column form of parse_window: hours, or null for an invalid window."""
+    """Column form of parse_window: hours, or null for a window that is invalid or too long."""
     amount = F.substring(window, F.lit(1), F.length(window) - 1)
     unit = F.lower(F.right(window, F.lit(1)))
     number = F.replace(F.trim(amount), F.lit("_"), F.lit("")).try_cast("bigint")
     per_unit = F.lit(None).cast("bigint")
     for name, hours in HOURS_PER_UNIT.items():
         per_unit = F.when(unit == name, F.lit(hours)).otherwise(per_unit)
-    hours = F.coalesce(number * per_unit, F.lit(DEFAULT_WINDOW_HOURS).cast("bigint"))
-    return F.when(F.rlike(amount, F.lit(_NUMBER)), hours)
+    hours = F.when(per_unit.isNull(), DEFAULT_WINDOW_HOURS).otherwise(F.try_multiply(number, per_unit)).cast("bigint")
+    return F.when(F.rlike(amount, F.lit(_NUMBER)) & hours.between(-MAX_HOURS, MAX_HOURS), hours)
 
 
 def age_hours(created_at: Column, as_of: Column) -> Column:
@@ -51,5 +56,5 @@ def request_reason(symbol: Column, window: Column) -> Column:
     return (
         F.when(symbol.isNull() | (F.length(symbol) < 1), "symbol_missing")
         .when(F.length(symbol) > 10, "symbol_too_long")
-        .when(window.isNull() | ~F.rlike(window, F.lit("^[0-9]+[hd]$")), "window_invalid")
+        .when(window.isNull() | ~F.rlike(window, F.lit("^[0-9]+[hd]$")) | window_hours(window).isNull(), "window_invalid")
     )

@@ -104,6 +104,11 @@ def mention_join(posts: DataFrame, instruments: DataFrame, inline_limit: int = I
     return substring_join(posts, needles, inline_limit=inline_limit)
 
 
+def _stream_symbol(symbol: Column) -> Column:
+    """The name of a symbol's StockTwits stream."""
+    return F.regexp_replace(F.upper(strip(symbol)), r"^\$+", "")
+
+
 def search_terms(instruments: DataFrame) -> DataFrame:
     """What each platform is asked for an instrument: (symbol, source, term_no, term)."""
     symbol, company = F.coalesce("symbol", F.lit("")), F.coalesce("company_name", F.lit(""))
@@ -113,7 +118,7 @@ def search_terms(instruments: DataFrame) -> DataFrame:
     either = F.array_compact(F.array(
         F.when(symbol != "", tagged), F.when((company != "") & (company != symbol), quoted)))
     x_query = F.concat(F.lit("("), F.array_join(either, " OR "), F.lit(") -is:retweet lang:en"))
-    stream = F.regexp_replace(F.upper(strip(symbol)), r"^\$+", "")
+    stream = _stream_symbol(symbol)
 
     def term(source: str, number: int, value: Column, condition: Column) -> Column:
         return F.when(condition, F.struct(
@@ -142,7 +147,7 @@ def search_match(
     """
     symbol, company = F.coalesce("symbol", F.lit("")), F.coalesce("company_name", F.lit(""))
     differs = (company != "") & (F.upper(company) != symbol)
-    tagged = F.concat(F.lit("$"), symbol)
+    tagged, stream = F.concat(F.lit("$"), symbol), _stream_symbol(symbol)
 
     def term(source: str, number: int, value: Column, condition: Column) -> Column:
         return F.when(condition, F.struct(F.lit(source).alias("term_source"), F.lit(number).alias("term_no"),
@@ -154,7 +159,7 @@ def search_match(
         term("reddit", 0, tagged, symbol != ""),
         term("reddit", 1, symbol, symbol != ""),
         term("reddit", 2, company, differs),
-        term("stocktwits", 0, tagged, F.length(symbol).between(1, 5)),
+        term("stocktwits", 0, F.concat(F.lit("$"), stream), F.length(stream).between(1, 5)),
     ))
     needles = instruments.select("symbol", F.inline(terms)).distinct()
     week = literal_time(as_of - dt.timedelta(days=SEARCH_LOOKBACK_DAYS))

@@ -303,7 +303,7 @@ SEARCHES = " UNION ALL ".join([
           SELECT DISTINCT source, platform_id, symbol, term_no, subreddit, created_at FROM p, (
             SELECT symbol, 0 AS term_no, '$' || symbol AS term FROM instruments UNION ALL SELECT symbol, 1, symbol FROM instruments
             UNION ALL SELECT symbol, 2, upper(company_name) FROM instruments WHERE upper(company_name) <> symbol)
-          WHERE source = 'reddit' AND subreddit IN {tuple(SUBREDDITS)} AND created_at >= {WEEK} AND contains({U}, term))) WHERE rank <= 5""",
+          WHERE source = 'reddit' AND subreddit IN {tuple(SUBREDDITS)} AND created_at >= {WEEK} AND contains({U}, term))) WHERE rank <= 300""",
 ])
 
 CURSOR = "(page_no * 7 + length(ticker)) % 3 <> 2 AND NOT broken"
@@ -414,7 +414,11 @@ SELECTS: dict[str, str] = {
         CASE WHEN error IS NULL THEN 0.0::DOUBLE END AS avg_confidence,
         CASE WHEN error IS NULL THEN posts_processed END AS total_posts, posts_found, true AS dry_run FROM report""",
     "report_json": """SELECT query, "window", CASE WHEN error IS NULL THEN inst_symbol ELSE query END AS symbol, posts_found, reddit,
-        CASE WHEN error IS NULL THEN round(coalesce(weighted_sentiment, 0), 6) END AS weighted_sentiment, error FROM report""",
+        CASE WHEN error IS NULL THEN round(coalesce(weighted_sentiment, 0), 6) END AS weighted_sentiment, error,
+        company_name, CASE WHEN error IS NULL THEN
+          'count,filter_stats,posts_found,posts_processed,resolved_instrument,search_interest,sources,symbol,weighted_sentiment,window_since'
+          ELSE concat('error,', CASE WHEN posts_found > 0 THEN 'filter_stats,' ELSE '' END,
+            'posts_found,posts_processed,resolved_instrument,search_interest,sources,symbol') END AS fields FROM report""",
     "interest_over_time": "SELECT symbol, strftime(date, '%Y-%m-%d') AS date, round(value, 6) AS value FROM daily",
     "trend_series_pick": "SELECT symbol, term FROM series WHERE term <> 'isPartial'",
     "related_queries": "SELECT symbol, related_queries FROM related",

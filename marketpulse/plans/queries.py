@@ -19,6 +19,7 @@ from marketpulse.functions import scoring, text, vectors, windows
 from marketpulse.operators import aggregate, mentions, merge, models, resolve, similarity, trends
 from marketpulse.plans import views as v
 from marketpulse.plans.report import report_json, sentiment_report
+from marketpulse.schemas import POST_KEY
 from marketpulse.session import configure, materialize, scratch_path
 from marketpulse.sources import landed, reddit, stocktwits, x
 from marketpulse.sources.parsing import literal_time
@@ -168,7 +169,7 @@ def search_terms(spark, sf):
 
 @query
 def search_match(spark, sf):
-    return mentions.search_match(v.posts(spark, sf), v.instruments(spark, sf), v.AS_OF, per_term=5)
+    return mentions.search_match(v.posts(spark, sf), v.instruments(spark, sf), v.AS_OF)
 
 
 @query
@@ -516,7 +517,9 @@ def _report(spark: SparkSession, sf: str, dry_run: bool = False) -> DataFrame:
     asked = resolve.resolve_symbols(asked)
     # The posts are looked at twice, as collected and as stored, so they are written once, as an ingesting job would.
     cleaned = materialize(aggregate.clean(_landed_posts(spark, sf)), "cleaned")
-    stored = aggregate.scored(cleaned.filter(F.col("outcome") == "processed"))
+    # A post that was landed for several instruments is stored once, as first written.
+    stored = landed.dedupe_keep_first(cleaned.filter(F.col("outcome") == "processed"), *POST_KEY)
+    stored = aggregate.scored(stored)
     return sentiment_report(asked, cleaned, stored, _trends(spark, sf), v.AS_OF, dry_run)
 
 
@@ -551,7 +554,9 @@ def report_json_rows(spark, sf):
         F.get_json_object(body, "$.posts_found").cast("bigint").alias("posts_found"),
         F.get_json_object(body, "$.sources.reddit").cast("bigint").alias("reddit"),
         F.get_json_object(body, "$.weighted_sentiment").cast("double").alias("weighted_sentiment"),
-        F.get_json_object(body, "$.error").alias("error"))
+        F.get_json_object(body, "$.error").alias("error"),
+        F.get_json_object(body, "$.resolved_instrument.company_name").alias("company_name"),
+        F.array_join(F.array_sort(F.json_object_keys(body)), ",").alias("fields"))
 
 
 REGISTRY["report_json"] = REGISTRY.pop("report_json_rows")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketpulse.constants import SOURCES
@@ -98,6 +98,19 @@ def sentiment_report(
 
 
 def report_json(report: DataFrame) -> DataFrame:
-    """The report in wire form: one JSON text per request."""
-    return report.select("query", "window", F.to_json(F.struct(
-        *[c for c in report.columns if c not in ("query", "window")])).alias("body"))
+    """The report in wire form: one JSON text per request.
+
+    Fields depend on how the request ended: an answer, an early end without posts or without valid posts, or a dry run. A
+    field of the branch that has no value is an explicit null.
+    """
+    common = ("symbol", "posts_found", "posts_processed", "sources", "search_interest")
+    extra = [c for c in ("window_since", "count", "weighted_sentiment", "avg_polarity", "avg_subjectivity", "avg_confidence", "total_posts")
+             if c in report.columns]
+
+    def body(*names: str) -> Column:
+        fields = [*names, *common, F.col("instrument").alias("resolved_instrument")]
+        return F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
+
+    answer = F.when(F.col("dry_run"), body(*extra, "filter_stats", "dry_run")).otherwise(body(*extra, "filter_stats"))
+    early = F.when(F.col("filter_stats").isNull(), body("error")).otherwise(body("error", "filter_stats"))
+    return report.select("query", "window", F.when(F.col("error").isNull(), answer).otherwise(early).alias("body"))

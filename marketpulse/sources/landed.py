@@ -54,7 +54,9 @@ def collect_posts(
     parts = []
     for source, parser in (PARSERS if parsers is None else parsers).items():
         try:
-            parts.append(parser(raw.filter(F.col("source") == source), as_of, since))
+            posts = parser(raw.filter(F.col("source") == source), as_of, since)
+            # Searches for several terms of an instrument find a post more than once.
+            parts.append(dedupe_keep_first(posts, "source", "symbol", "platform_id") if source == "reddit" else posts)
         except Exception as error:  # noqa: BLE001 - one source must not stop the rest
             log.warning("source %s left out: %s", source, error)
     if not parts:

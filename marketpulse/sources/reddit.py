@@ -32,7 +32,8 @@ def post_candidates(raw: DataFrame, as_of: dt.datetime, since: dt.datetime | Non
     text = strip(F.concat(F.coalesce(post["title"], F.lit("")), F.lit("\n"), selftext))
     created_utc = F.coalesce(post["created_utc"], F.lit(0.0))
     reason = (
-        F.when(_too_old(created_utc, since), "too_old")
+        F.when(reddit_created_at(created_utc).isNull(), "bad_time")
+        .when(_too_old(created_utc, since), "too_old")
         .when(author == "[deleted]", "deleted")
         .when(selftext == "[removed]", "removed")
         .when(text == "", "missing_text")
@@ -67,7 +68,8 @@ def comment_candidates(
     author = F.coalesce(comment["author"], F.lit("[deleted]"))
     created_utc = F.coalesce(comment["created_utc"], F.lit(0.0))
     reason = (
-        F.when(_too_old(created_utc, since), "too_old")
+        F.when(reddit_created_at(created_utc).isNull(), "bad_time")
+        .when(_too_old(created_utc, since), "too_old")
         .when(author == "[deleted]", "deleted")
         .when(comment["body"].isin("[removed]", "[deleted]"), "removed")
         .when(missing(comment["body"]), "missing_text")

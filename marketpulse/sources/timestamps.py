@@ -7,7 +7,11 @@ from pyspark.sql import functions as F
 
 _WHOLE = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}"
 _FRACTION = r"(\.\d{1,6})?"
-_OFFSET = r"(Z|[+-]\d{2}:\d{2})?"
+# ISO forms beyond the usual one: a date alone, a blank for the T, no seconds, an offset without a colon or minutes.
+_ISO = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}(:\d{2}(:\d{2}(\.\d{1,6})?)?)?(Z|[+-]\d{2}(:?\d{2})?)?)?$"
+_ISO_OFFSET = r"(?<=[T ].{2,20})(Z|[+-]\d{2}(:?\d{2})?)$"
+#: Seconds since 1970 of the years 1 to 9999.
+_EPOCH_RANGE = (-62_135_596_800, 253_402_300_799)
 
 
 def _parse(written: Column, form: str) -> Column:
@@ -23,9 +27,13 @@ def x_created_at(written: Column, as_of: Column) -> Column:
 
 
 def stocktwits_created_at(written: Column, as_of: Column) -> Column:
-    """UTC, or ISO with an offset that is dropped; anything else counts as now."""
-    return F.coalesce(_parse(written, _WHOLE + _FRACTION + _OFFSET + "$"), as_of)
+    """UTC, or another ISO form; an offset is dropped, anything else counts as now."""
+    bare = F.replace(F.regexp_replace(written, _ISO_OFFSET, ""), F.lit("T"), F.lit(" "))
+    hour_only = F.rlike(bare, F.lit(r" \d{2}$"))
+    bare = F.when(hour_only, F.concat(bare, F.lit(":00"))).otherwise(bare)
+    return F.coalesce(F.when(F.rlike(written, F.lit(_ISO)), bare.try_cast("timestamp")), as_of)
 
 
 def reddit_created_at(epoch_seconds: Column) -> Column:
-    return F.timestamp_micros(F.round(epoch_seconds * 1_000_000).cast("bigint"))
+    """Null for a number that no timestamp can hold."""
+    return F.timestamp_micros(F.when(epoch_seconds.between(*_EPOCH_RANGE), F.round(epoch_seconds * 1_000_000).try_cast("bigint")))

@@ -81,3 +81,19 @@ def test_cache_update_writes_only_misses(spark, cache):
     assert rows["EIGHT"][0] == "C8" and len(rows) == 5
     again = R.updated_cache(R.updated_cache(cache, asked, AS_OF), asked, AS_OF)
     assert {r["query"]: (r["symbol"], r["cached_at"]) for r in again.collect()} == rows
+
+
+def test_windows_beyond_any_time(spark):
+    from marketpulse.functions.windows import parse_window, request_reason, window_hours
+
+    wild = ["9000000000000000000w", "99999999999999999999h", "9999999999h", "-9999999999h", "7d", "99999999999999999999x"]
+    got = [r[0] for r in spark.createDataFrame([(i, w) for i, w in enumerate(wild)], "i int, w string").orderBy("i").select(window_hours(F.col("w"))).collect()]
+    assert got == [None, None, None, None, 168, 24]
+    for w, hours in zip(wild, got):
+        if hours is None:
+            with pytest.raises(ValueError):
+                parse_window(w)
+        else:
+            assert parse_window(w).total_seconds() == 3600 * hours
+    refused = spark.sql("SELECT 'A' AS s, '9999999999h' AS w").select(request_reason(F.col("s"), F.col("w"))).first()[0]
+    assert refused == "window_invalid"
