@@ -31,6 +31,8 @@ LEAST_COUNT = 16
 SYMBOLS = 1 << 16
 #: Words whose ids a Python worker remembers.
 CACHE_WORDS = 700_000
+#: Texts whose new words go to the tokenizer at once.
+TOGETHER = 256
 _SHARDS = ("part int, shard int, base int, doc_ids array<long>, doc_ends binary, doc_tokens binary, rules binary, rule_tokens binary, "
            "symbols binary, n_ids long")
 
@@ -52,35 +54,40 @@ class WordEncoder:
 
     def encode(self, text: bytes) -> bytes:
         """The ids as little-endian unsigned 16-bit numbers."""
-        found = text.split()
-        known = self.known
-        try:
-            return b"".join(map(known.__getitem__, found))
-        except KeyError:
-            pass
-        if len(known) > CACHE_WORDS:
-            known.clear()
-        self.learn([w for w in set(found) if w not in known])
-        return b"".join(map(self.known.__getitem__, found))
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[bytes]) -> list[bytes]:
+        found = [t.split() for t in texts]
+        if len(self.known) > CACHE_WORDS:
+            self.known.clear()
+        new = set().union(*found).difference(self.known)
+        if new:
+            self.learn(list(new))
+        return [b"".join(map(self.known.__getitem__, f)) for f in found]
 
     def learn(self, new: list[bytes]) -> None:
-        plain: dict[str, list[bytes]] = {}
+        plain: dict[bytes, list[bytes]] = {}
         rest: list[bytes] = []
         for word in new:
-            text = word.decode()
-            stem = text[:-1] if text[-1] in ".," else text
-            if stem.isalpha() and stem.lower().isalpha():
-                plain.setdefault(stem, []).append(word)
+            stem = word[:-1] if word[-1] in b".," else word
+            if not stem.isalpha():  # letters beyond ASCII, or more than letters
+                text = stem.decode()
+                if not (text.isalpha() and text.lower().isalpha()):
+                    rest.append(word)
+                    continue
             else:
-                rest.append(word)
+                stem = stem.lower()
+            plain.setdefault(stem, []).append(word)
         if plain:
-            stems = list(plain)
-            marks = self._ids([" ".join(stems + [".", ","])])[0]
-            pieces = np.split(marks, np.flatnonzero(self.closes[marks])[:-1] + 1)
-            stop, comma = pieces[-2].tobytes(), pieces[-1].tobytes()
-            for stem, ids in zip(stems, pieces):
-                ids = ids.tobytes()
-                for word in plain[stem]:
+            stems = [s for s in plain if s not in self.known]
+            marks = self._ids([b" ".join(stems + [b".", b","]).decode()])[0]
+            data, ends = marks.tobytes(), (2 * np.flatnonzero(self.closes[marks]) + 2).tolist()
+            pieces = [data[b:e] for b, e in zip([0, *ends], ends)]
+            *pieces, stop, comma = pieces
+            self.known.update(zip(stems, pieces))
+            for stem, found in plain.items():
+                ids = self.known[stem]
+                for word in found:
                     self.known[word] = ids + (stop if word[-1:] == b"." else comma if word[-1:] == b"," else b"")
         if rest:
             for word, ids in zip(rest, self._ids([w.decode() for w in rest])):
@@ -101,6 +108,10 @@ def word_encoder(path: str) -> WordEncoder:
     return kept[path]
 
 
+def _hash(pairs: np.ndarray) -> np.ndarray:
+    return (pairs * np.uint32(2654435761)) >> np.uint32(12)
+
+
 def compress(symbols: np.ndarray, ends: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Re-Pair: (symbols, ends, rules (n, 2), ids each rule stands for). ends: end of each document in the symbols."""
     symbols = symbols.astype(np.uint32)
@@ -119,12 +130,18 @@ def compress(symbols: np.ndarray, ends: np.ndarray, base: int) -> tuple[np.ndarr
         if not len(often):
             break
         chosen = found[np.sort(often[np.argsort(-counts[often], kind="stable")[:room]])]
-        place = np.minimum(np.searchsorted(chosen, pairs), len(chosen) - 1)
-        at = np.flatnonzero((chosen[place] == pairs) & inside)
+        # A table by hash tells most pairs that are not chosen; the rest are looked up.
+        likely = np.zeros(1 << 20, bool)
+        likely[_hash(chosen)] = True
+        at = np.flatnonzero(likely[_hash(pairs)] & inside)
+        place = np.minimum(np.searchsorted(chosen, pairs[at]), len(chosen) - 1)
+        right = chosen[place] == pairs[at]
+        at, place = at[right], place[right]
         # Of pairs that overlap, every other one from the left.
         run = np.flatnonzero(np.diff(at, prepend=-2) != 1)
-        at = at[(np.arange(len(at)) - np.repeat(run, np.diff(np.append(run, len(at))))) % 2 == 0]
-        symbols[at] = base + len(rules) + place[at]
+        odd = (np.arange(len(at)) - np.repeat(run, np.diff(np.append(run, len(at))))) % 2 == 0
+        at, place = at[odd], place[odd]
+        symbols[at] = base + len(rules) + place
         last[at] = last[at + 1]
         stay = np.ones(len(symbols), bool)
         stay[at + 1] = False
@@ -176,13 +193,16 @@ def _encode(path: str):
             return batch
 
         for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids.append(key)
-                texts.append(encoder.encode(text.as_py() or b"") + end)
-                size += len(texts[-1]) // 2
-                if size >= SHARD_IDS:
-                    yield full()
-                    ids, texts, size = [], [], 0
+            for begin in range(0, batch.num_rows, TOGETHER):
+                some = batch.slice(begin, TOGETHER)
+                found = encoder.encode_all([t or b"" for t in some.column(1).to_pylist()])
+                for key, text in zip(some.column(0).to_pylist(), found):
+                    ids.append(key)
+                    texts.append(text + end)
+                    size += len(texts[-1]) // 2
+                    if size >= SHARD_IDS:
+                        yield full()
+                        ids, texts, size = [], [], 0
         if ids:
             yield full()
 
