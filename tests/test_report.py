@@ -97,7 +97,7 @@ def test_dry_run(spark, collected, trends):
 def test_wire_form(rows):
     body = json.loads(report_json(rows[1]).filter("query = 'AAPL'").first()["body"])
     assert body["sources"] == {"x": 1, "reddit": 2, "stocktwits": 0} and body["resolved_instrument"]["company_name"] == "AAPL"
-    assert body["resolved_instrument"]["cik"] is None and body["search_interest"] is None and "dry_run" not in body and "error" not in body
+    assert body["resolved_instrument"]["cik"] is None and "search_interest" in body and "dry_run" not in body and "error" not in body
 
 
 def test_two_level_mean(spark):
