@@ -10,7 +10,6 @@ from marketpulse.session import configure, materialize
 
 #: White space of the contracts: the six ASCII characters, also what bytes.split() takes.
 SPACE = "[\\x20\\x09-\\x0D]+"
-SPACES = " \t\n\x0b\x0c\r"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
