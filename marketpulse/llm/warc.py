@@ -6,6 +6,7 @@ continuation records that name it as their origin. Payloads of some length that
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 from collections.abc import Iterator
 
@@ -34,7 +35,7 @@ def first_of_equal(pages: DataFrame) -> DataFrame:
 
 
 def write_warc(pages: DataFrame, path: str) -> None:
-    """Write one capture per row of pages (page_id, url, html) as WARC 1.1 files of at most RECORDS_PER_FILE records.
+    """Write one capture per row of pages (page_id, url, html) as gzipped WARC 1.1 files of at most RECORDS_PER_FILE records.
 
     Null html is an empty payload, a null url or page_id an empty one; line breaks in a url become spaces. Payloads are equal
     by SHA-256. Of equal ones of LEAST_REVISIT bytes or more the smallest page_id is the response, in every row that has it;
@@ -76,7 +77,7 @@ def write_warc(pages: DataFrame, path: str) -> None:
         F.concat(F.lit("Content-Length: "), F.octet_length("piece").cast("string")))
     # The two line ends that close a record are the text writer's line separator.
     rows.select(F.concat(head, F.lit(END), F.col("piece")).alias("value")).write.option("lineSep", END).option(
-        "maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+        "maxRecordsPerFile", RECORDS_PER_FILE).option("compression", "gzip").text(path)
 
 
 def decode_chunked(body: bytes) -> tuple[bytes, str | None]:
@@ -109,6 +110,8 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for content in batch.column(0):
             data, at, rows = content.as_py(), 0, []
+            if data[:2] == b"\x1f\x8b":
+                data = gzip.decompress(data)
             while at < len(data):
                 end = data.find(b"\r\n\r\n", at)
                 lines = data[at:end].split(b"\r\n") if end >= 0 else [b""]

@@ -1,5 +1,6 @@
 """The methods against brute force, exact round trips and held-out accuracy."""
 
+import gzip
 import itertools
 import math
 import zlib
@@ -162,7 +163,7 @@ def test_damaged_archives_are_reported(spark, tmp_path):
     path = str(tmp_path / "good")
     warc.write_warc(pages, path)
     records = spark.read.option("lineSep", warc.END).text(path)
-    whole = b"".join(open(f, "rb").read() for f in sorted(map(str, (tmp_path / "good").glob("part-*"))))
+    whole = b"".join(gzip.open(f).read() for f in sorted(map(str, (tmp_path / "good").glob("part-*"))))
     assert records.count() and whole.count(b"WARC-Type: continuation") == 3
 
     def problem(data):
