@@ -53,6 +53,7 @@ CACHE_TTL_DAYS = 7
 EMBEDDING_DIM = 384
 RELATED_PER_KIND = 5
 RELATED_TOTAL = 10
+TREND_DAYS = 7
 TOP_REGIONS = 10
 DEFAULT_WINDOW_HOURS = 24
 

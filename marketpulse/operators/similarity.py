@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketpulse.functions.vectors import l2_normalize
-from marketpulse.operators.sizes import broadcast_if_small
+from marketpulse.operators.sizes import broadcast_if_small, is_small
 
 # A query set up to this many numbers is sent to all tasks; a larger one is shuffled in blocks.
 BROADCAST_NUMBERS = 4_000_000
@@ -141,6 +141,8 @@ def train_lists(corpus: DataFrame, lists: int = 100, seed: int = 7) -> DataFrame
 
 def nearest_lists(vectors: DataFrame, id_column: str, centroids: DataFrame, probes: int) -> DataFrame:
     """The `probes` nearest lists of each vector by cosine. The centroids, one per list, are sent to all tasks."""
+    if not is_small(centroids):
+        raise ValueError("centroids are sent to all tasks: at most a million of them, and 64 MB")
     rows = centroids.select("list_id", "centroid").collect()
     order = np.argsort([r["list_id"] for r in rows])
     ids = np.array([rows[i]["list_id"] for i in order])
@@ -172,5 +174,11 @@ def assign_lists(corpus: DataFrame, centroids: DataFrame) -> DataFrame:
 def ivf_topk(
     queries: DataFrame, index: DataFrame, centroids: DataFrame, k: int, probes: int, block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
-    """Approximate top-k: each query looks only into its `probes` nearest lists. All lists give the exact answer."""
-    return _blocked(nearest_lists(queries, "query_id", centroids, probes), index, k, block_rows)
+    """Approximate top-k: each query looks only into its `probes` nearest lists. All lists give the exact answer.
+
+    The numbers of the probed lists, at most one per centroid, go into the filter of the index, so that an index stored by
+    list is read only where a query looks.
+    """
+    placed = nearest_lists(queries, "query_id", centroids, probes)
+    probed = sorted(row["list_id"] for row in placed.select("list_id").distinct().collect())
+    return _blocked(placed, index.filter(F.col("list_id").isin(probed)), k, block_rows)

@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketpulse.constants import RELATED_PER_KIND, RELATED_TOTAL, TOP_REGIONS
+from marketpulse.constants import RELATED_PER_KIND, RELATED_TOTAL, TOP_REGIONS, TREND_DAYS
 from marketpulse.sources.parsing import literal_time
 
 _PARTIAL = "isPartial"
@@ -22,6 +22,11 @@ def _rank_of_series() -> Column:
     return F.struct((F.col("term") != F.col("symbol")).alias("other"), "term_no", "term")
 
 
+def recent_points(points: DataFrame, as_of: dt.datetime) -> DataFrame:
+    """Points of the last seven days: the time frame for which interest is looked up."""
+    return points.filter(F.col("ts").between(literal_time(as_of - dt.timedelta(days=TREND_DAYS)), literal_time(as_of)))
+
+
 def pick_series(points: DataFrame) -> DataFrame:
     """The series used per symbol: its own, else the first one unless that is the flag for partial data."""
     best = F.min(_rank_of_series()).alias("best")

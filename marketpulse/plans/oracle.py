@@ -144,6 +144,8 @@ CTES["landed_sym"] = f"""SELECT *, {symbols('text', 'symbol')} AS symbols
     FROM (SELECT * REPLACE ({normalized('text')} AS text) FROM landed)"""
 CTES["landed_clean"] = f"SELECT *, {OUTCOME} AS outcome FROM landed_sym"
 CTES["landed_scored"] = scores("(SELECT * FROM landed_clean WHERE outcome = 'processed')")
+CTES["landed_rescored"] = scores("""(SELECT * REPLACE (replace(text, 'bullish moon', 'crash dump sell') AS text)
+    FROM landed_clean WHERE outcome = 'processed')""")
 
 CTES["turns"] = f"""SELECT *, conv_id || '_' || turn AS id,
     CASE WHEN (conv_id + turn) % 13 = 0 THEN '[removed]' ELSE text END AS body,
@@ -187,7 +189,8 @@ KINDS = ("click", "error", "purchase", "signup", "view")
 CTES["points"] = f"""SELECT {pick(TICKERS, 'user_id')} AS symbol,
     CASE WHEN user_id % 7 < 4 AND event_type = 'purchase' THEN {pick(TICKERS, 'user_id')}
       WHEN user_id % 7 = 6 AND event_type = 'click' THEN 'isPartial' ELSE event_type END AS term,
-    list_position({items(KINDS)}, event_type) AS term_no, ts, event_id, value FROM events"""
+    list_position({items(KINDS)}, event_type) AS term_no, ts, event_id, value FROM events
+    WHERE ts BETWEEN {WEEK} AND {AS_OF}"""
 CTES["series"] = """SELECT symbol, arg_min(term, (CASE WHEN term = symbol THEN 0 ELSE 1 END, term_no, term)) AS term
     FROM points GROUP BY symbol"""
 CTES["daily"] = """SELECT symbol, ts::DATE AS date, arg_max(value, (ts, event_id)) AS value
@@ -207,7 +210,7 @@ CTES["record"] = """SELECT symbol, coalesce(days, 0) AS days, coalesce(related_q
     FULL JOIN (SELECT symbol, count(*) AS regions FROM regions GROUP BY symbol) USING (symbol)"""
 
 # The report, request by request: every answer is counted straight from the posts.
-CTES["todo"] = f"""SELECT * EXCLUDE (symbol0) FROM ({resolved('''(SELECT DISTINCT upper(symbol) AS query, "window", hours, NULL AS symbol0
+CTES["todo"] = f"""SELECT * EXCLUDE (symbol0) FROM ({resolved('''(SELECT o_orderkey, upper(symbol) AS query, "window", hours, NULL AS symbol0
     FROM checked WHERE reason IS NULL)''')})"""
 CTES["keys"] = "SELECT DISTINCT symbol, hours FROM todo"
 CTES["found"] = f"""SELECT k.symbol, k.hours, count(*) AS posts_found, count(*) FILTER (WHERE outcome = 'no_symbols') AS no_symbols,
@@ -218,7 +221,7 @@ CTES["answers"] = f"""SELECT symbol, hours, sum(n)::BIGINT AS count, sum(coalesc
     SELECT k.symbol, k.hours, l.source, count(*) AS n, avg(polarity::DOUBLE) AS a
     FROM keys k JOIN (SELECT unnest(symbols) AS s, source, created_at, polarity FROM landed_scored) l
       ON l.s = k.symbol AND l.created_at >= {AS_OF} - to_hours(k.hours) GROUP BY ALL) GROUP BY ALL"""
-CTES["report"] = f"""SELECT t.query, t."window", t.hours, t.company_name, t.symbol AS inst_symbol,
+CTES["report"] = f"""SELECT t.o_orderkey, t.query, t."window", t.hours, t.company_name, t.symbol AS inst_symbol,
     coalesce(posts_found, 0) AS posts_found, coalesce(posts_processed, 0) AS posts_processed, coalesce(x, 0) AS x,
     coalesce(reddit, 0) AS reddit, coalesce(stocktwits, 0) AS stocktwits, no_symbols, probable_bots, count, weighted_sentiment, days,
     CASE WHEN posts_found IS NULL THEN 'No posts found for this symbol'
@@ -401,7 +404,7 @@ SELECTS: dict[str, str] = {
     "avg_scores": """SELECT symbol, round(avg(polarity::DOUBLE), 6) AS avg_polarity, round(avg(subjectivity::DOUBLE), 6) AS avg_subjectivity,
         round(avg(confidence::DOUBLE), 6) AS avg_confidence
         FROM (SELECT unnest(symbols) AS symbol, polarity, subjectivity, confidence FROM recent) GROUP BY symbol""",
-    "sentiment_report": f"""SELECT query, "window", CASE WHEN error IS NULL THEN inst_symbol ELSE query END AS symbol,
+    "sentiment_report": f"""SELECT o_orderkey, query, "window", CASE WHEN error IS NULL THEN inst_symbol ELSE query END AS symbol,
         CASE WHEN error IS NULL THEN strftime({AS_OF} - to_hours(hours), '%Y-%m-%dT%H:%M:%S') END AS window_since,
         CASE WHEN error IS NULL THEN coalesce(count, 0) END AS count,
         CASE WHEN error IS NULL THEN round(coalesce(weighted_sentiment, 0), 6) END AS weighted_sentiment, company_name,
@@ -409,11 +412,11 @@ SELECTS: dict[str, str] = {
         no_symbols, probable_bots, error FROM report""",
     "report_status": """SELECT error, count(*) AS n, count(*) FILTER (WHERE posts_found > 0) AS with_stats,
         count(*) FILTER (WHERE error IS NULL AND days IS NOT NULL) AS with_trends FROM report GROUP BY error""",
-    "report_dry_run": """SELECT query, "window", CASE WHEN error IS NULL THEN inst_symbol ELSE query END AS symbol,
+    "report_dry_run": """SELECT o_orderkey, query, "window", CASE WHEN error IS NULL THEN inst_symbol ELSE query END AS symbol,
         CASE WHEN error IS NULL THEN 0.0::DOUBLE END AS avg_polarity, CASE WHEN error IS NULL THEN 0.0::DOUBLE END AS avg_subjectivity,
         CASE WHEN error IS NULL THEN 0.0::DOUBLE END AS avg_confidence,
         CASE WHEN error IS NULL THEN posts_processed END AS total_posts, posts_found, true AS dry_run FROM report""",
-    "report_json": """SELECT query, "window", CASE WHEN error IS NULL THEN inst_symbol ELSE query END AS symbol, posts_found, reddit,
+    "report_json": """SELECT o_orderkey, query, "window", CASE WHEN error IS NULL THEN inst_symbol ELSE query END AS symbol, posts_found, reddit,
         CASE WHEN error IS NULL THEN round(coalesce(weighted_sentiment, 0), 6) END AS weighted_sentiment, error,
         company_name, CASE WHEN error IS NULL THEN
           'count,filter_stats,posts_found,posts_processed,resolved_instrument,search_interest,sources,symbol,weighted_sentiment,window_since'
@@ -434,7 +437,7 @@ SELECTS: dict[str, str] = {
         arg_max({D}, (created_at, platform_id)) AS follower_count, {stamp('max(created_at)')} AS last_seen FROM p GROUP BY source, author_id""",
     "processed_count": f"""SELECT source, count(*) AS n FROM stored WHERE {D} % 9 <> 0 AND {D} IN (SELECT vec_id FROM embeddings) GROUP BY source""",
     "stream_ingest": f"""SELECT source, platform_id, like_count, {stamp(f"{AS_OF} + INTERVAL 1 HOUR")} AS ingested_at,
-        array_to_string(symbols, ',') AS symbols, round(polarity::DOUBLE, 6) AS polarity, model FROM landed_scored""",
+        array_to_string(symbols, ',') AS symbols, round(polarity::DOUBLE, 6) AS polarity, model, 384::BIGINT AS dims FROM landed_rescored""",
     "stream_dedupe": f"SELECT source, platform_id, {stamp('created_at')} AS created_at FROM p",
     "rolling_sentiment": f"""SELECT symbol, {stamp('window_start')} AS window_start, count(*) AS n,
         round(avg(polarity::DOUBLE), 6) AS avg_polarity FROM (
@@ -461,6 +464,9 @@ SELECTS: dict[str, str] = {
           USING (query_id, list_id)) WHERE rank <= 10""",
 }
 
+#: The same answers, whether counted from the pages or from what ingestion stored of them.
+SELECTS["report_from_store"] = SELECTS["sentiment_report"]
+
 
 def model_scores(source: str, neg: str, pos: str, name: str) -> str:
     """Scores from two logits; null logits leave the model's columns null."""

@@ -18,7 +18,7 @@ from marketpulse.constants import SOURCES
 from marketpulse.functions import scoring, text, vectors, windows
 from marketpulse.operators import aggregate, mentions, merge, models, resolve, similarity, trends
 from marketpulse.plans import views as v
-from marketpulse.plans.report import report_json, sentiment_report
+from marketpulse.plans.report import report_from_store, report_json, sentiment_report
 from marketpulse.schemas import POST_KEY
 from marketpulse.session import configure, materialize, scratch_path
 from marketpulse.sources import landed, reddit, stocktwits, x
@@ -506,34 +506,61 @@ def avg_scores(spark, sf):
     return aggregate.avg_scores(_recent(spark, sf))
 
 
+def _points(spark: SparkSession, sf: str) -> DataFrame:
+    return trends.recent_points(v.trend_points(spark, sf), v.AS_OF)
+
+
 def _trends(spark: SparkSession, sf: str) -> DataFrame:
-    return trends.trends_record(v.trend_points(spark, sf), v.trend_related(spark, sf), v.trend_regions(spark, sf), v.AS_OF)
+    return trends.trends_record(_points(spark, sf), v.trend_related(spark, sf), v.trend_regions(spark, sf), v.AS_OF)
+
+
+def _asked(spark: SparkSession, sf: str) -> DataFrame:
+    """Every accepted request, resolved once: a report looks at the requests twice."""
+    asked = resolve.validate_requests(v.requests(spark, sf)).filter(F.col("reason").isNull())
+    asked = resolve.with_window(asked.select("o_orderkey", "query", "window"))
+    return materialize(resolve.resolve_symbols(asked), "asked")
 
 
 def _report(spark: SparkSession, sf: str, dry_run: bool = False) -> DataFrame:
     """All accepted requests against the landed pages."""
-    asked = resolve.validate_requests(v.requests(spark, sf)).filter(F.col("reason").isNull())
-    asked = resolve.with_window(asked.select("query", "window").distinct())
-    asked = resolve.resolve_symbols(asked)
     # The posts are looked at twice, as collected and as stored, so they are written once, as an ingesting job would.
     cleaned = materialize(aggregate.clean(_landed_posts(spark, sf)), "cleaned")
     # A post that was landed for several instruments is stored once, as first written.
     stored = landed.dedupe_keep_first(cleaned.filter(F.col("outcome") == "processed"), *POST_KEY)
     stored = aggregate.scored(stored)
-    return sentiment_report(asked, cleaned, stored, _trends(spark, sf), v.AS_OF, dry_run)
+    return sentiment_report(_asked(spark, sf), cleaned, stored, _trends(spark, sf), v.AS_OF, dry_run)
 
 
-@query
-def sentiment_report_rows(spark, sf):
-    return _report(spark, sf).select(
-        "query", "window", "symbol", "window_since", "count", "weighted_sentiment", "instrument.company_name",
+def _report_rows(report: DataFrame) -> DataFrame:
+    return report.select(
+        "o_orderkey", "query", "window", "symbol", "window_since", "count", "weighted_sentiment", "instrument.company_name",
         "posts_found", "posts_processed", "sources.*", F.size("search_interest.interest_over_time").alias("trend_days"),
         "filter_stats.no_symbols", "filter_stats.probable_bots", "error")
 
 
+@query
+def sentiment_report_rows(spark, sf):
+    return _report_rows(_report(spark, sf))
+
+
 REGISTRY["sentiment_report"] = REGISTRY.pop("sentiment_report_rows")
 
 
+@query
+def report_from_store_rows(spark, sf):
+    """Ingest the landed pages as a stream, twice (the second time nothing is new), and answer from the stored tables."""
+    root = scratch_path(spark, "store")
+    pages = materialize(v.landed_pages(spark, sf), "landed")
+    for i in range(2):
+        pages.write.mode("append").json(f"{root}/landed/delivery={i}")
+        ingest.start_ingest(spark, f"{root}/landed/*", f"{root}/store", f"{root}/checkpoint", v.AS_OF).awaitTermination()
+    cleaned = aggregate.clean(landed.collect_posts(pages, v.AS_OF))
+    return _report_rows(report_from_store(_asked(spark, sf), cleaned, f"{root}/store", _trends(spark, sf), v.AS_OF))
+
+
+REGISTRY["report_from_store"] = REGISTRY.pop("report_from_store_rows")
+
+
 @query
 def report_status(spark, sf):
     return _report(spark, sf).groupBy("error").agg(
@@ -543,14 +570,14 @@ def report_status(spark, sf):
 @query
 def report_dry_run(spark, sf):
     return _report(spark, sf, dry_run=True).select(
-        "query", "window", "symbol", "avg_polarity", "avg_subjectivity", "avg_confidence", "total_posts", "posts_found", "dry_run")
+        "o_orderkey", "query", "window", "symbol", "avg_polarity", "avg_subjectivity", "avg_confidence", "total_posts", "posts_found", "dry_run")
 
 
 @query
 def report_json_rows(spark, sf):
     body = F.col("body")
     return report_json(_report(spark, sf)).select(
-        "query", "window", F.get_json_object(body, "$.symbol").alias("symbol"),
+        "o_orderkey", "query", "window", F.get_json_object(body, "$.symbol").alias("symbol"),
         F.get_json_object(body, "$.posts_found").cast("bigint").alias("posts_found"),
         F.get_json_object(body, "$.sources.reddit").cast("bigint").alias("reddit"),
         F.get_json_object(body, "$.weighted_sentiment").cast("double").alias("weighted_sentiment"),
@@ -566,12 +593,12 @@ REGISTRY["report_json"] = REGISTRY.pop("report_json_rows")
 
 @query
 def interest_over_time(spark, sf):
-    return trends.interest_over_time(v.trend_points(spark, sf)).select("symbol", F.explode("interest_over_time").alias("date", "value"))
+    return trends.interest_over_time(_points(spark, sf)).select("symbol", F.explode("interest_over_time").alias("date", "value"))
 
 
 @query
 def trend_series_pick(spark, sf):
-    return trends.pick_series(v.trend_points(spark, sf))
+    return trends.pick_series(_points(spark, sf))
 
 
 @query
@@ -651,20 +678,24 @@ def processed_count(spark, sf):
 
 @query
 def stream_ingest(spark, sf):
-    """Land all pages, ingest; land them again an hour later with other counters, ingest; read the post table."""
+    """Land all pages, ingest; land them again an hour later with other counters and texts, ingest; read the tables.
+
+    Posts keep their first content; score and vector are those of the changed texts.
+    """
     root = scratch_path(spark, "stream")
-    pages = v.landed_pages(spark, sf)
+    pages = materialize(v.landed_pages(spark, sf), "landed")
     hour = F.make_dt_interval(hours=F.lit(1))
+    body = F.regexp_replace("body", r'"(like_count|ups|total)":\d+', r'"$1":9999')
     again = pages.withColumn("fetched_at", F.col("fetched_at") + hour).withColumn(
-        "body", F.regexp_replace("body", r'"(like_count|ups|total)":\d+', r'"$1":9999'))
+        "body", F.replace(body, F.lit("bullish moon"), F.lit("crash dump sell")))
     for i, delivery in enumerate((pages, again)):
         delivery.write.mode("append").json(f"{root}/landed/delivery={i}")
         ingest.start_ingest(
-            spark, f"{root}/landed/*", f"{root}/store", f"{root}/checkpoint", v.AS_OF, embed=False).awaitTermination()
-    stored = ingest.stored_posts(spark, f"{root}/store")
-    scores = ingest.read_table(spark, f"{root}/store", "sentiment").drop("batch_id")
-    return aggregate.with_scores(stored, scores).select(
-        "source", "platform_id", "like_count", "ingested_at", "symbols", "polarity", "model")
+            spark, f"{root}/landed/*", f"{root}/store", f"{root}/checkpoint", v.AS_OF).awaitTermination()
+    embedded = ingest.latest_of(spark, f"{root}/store", "embeddings").select(
+        "source", "platform_id", F.size("emb").alias("dims"))
+    return ingest.scored_store(spark, f"{root}/store").join(embedded, list(POST_KEY), "left").select(
+        "source", "platform_id", "like_count", "ingested_at", "symbols", "polarity", "model", "dims")
 
 
 def _stream(spark: SparkSession, sf: str, name: str) -> DataFrame:

@@ -12,6 +12,7 @@ from marketpulse.constants import SOURCES
 from marketpulse.operators.aggregate import collected_by_age, sentiment_by_age
 from marketpulse.operators.trends import enrich_trends
 from marketpulse.sources.parsing import literal_time
+from marketpulse.streaming.ingest import scored_store
 
 # Messages of the two early ends.
 NO_POSTS = "No posts found for this symbol"
@@ -41,11 +42,13 @@ def sentiment_report(
 ) -> DataFrame:
     """Answer every request.
 
-    requests: (query, window, hours, instrument), resolved and with readable windows.
+    requests: (query, window, hours, instrument), resolved and with readable windows; further columns are kept.
     cleaned: the collected posts with instrument symbol and outcome. scored_posts: everything stored, with scores; not
     looked at in a dry run. trends: one record per symbol, or None.
     """
-    requests = requests.select("query", "window", "hours", "instrument", F.col("instrument.symbol").alias("symbol"))
+    own = [c for c in requests.columns if c not in ("query", "window", "hours", "instrument", "symbol", "cache_hit")]
+    requests = requests.select(
+        *own, "query", "window", "hours", "instrument", F.col("instrument.symbol").alias("symbol"))
     cube = measures(cleaned, None if dry_run else scored_posts, as_of).withColumnRenamed("symbol", "_symbol")
 
     # Requests that ask the same are answered once; the cube holds a row per hour at most, so this join stays small.
@@ -82,7 +85,7 @@ def sentiment_report(
             F.when(answered, F.coalesce(F.col("weighted") / F.nullif(F.col("n"), F.lit(0)), zero)).alias("weighted_sentiment"),
         ]
     return report.select(
-        "query", "window",
+        *own, "query", "window",
         # An early end names the symbol as asked for.
         F.when(answered, F.col("symbol")).otherwise(F.col("query")).alias("symbol"),
         *results,
@@ -97,6 +100,22 @@ def sentiment_report(
     )
 
 
+def report_from_store(
+    requests: DataFrame, cleaned: DataFrame, store: str, trends: DataFrame | None, as_of: dt.datetime
+) -> DataFrame:
+    """Answer every request from the tables that ingestion keeps in `store`.
+
+    What is averaged are the stored posts with their current scores. `cleaned`, the posts collected for these requests,
+    gives the numbers of found and filtered posts, which are not stored. Days before the longest window are not read.
+    """
+    longest = requests.agg(F.max("hours")).first()[0]
+    try:
+        since = as_of - dt.timedelta(hours=longest or 0)
+    except OverflowError:  # a window from before the calendar: all days
+        since = None
+    return sentiment_report(requests, cleaned, scored_store(requests.sparkSession, store, since), trends, as_of)
+
+
 def report_json(report: DataFrame) -> DataFrame:
     """The report in wire form: one JSON text per request.
 
@@ -113,4 +132,5 @@ def report_json(report: DataFrame) -> DataFrame:
 
     answer = F.when(F.col("dry_run"), body(*extra, "filter_stats", "dry_run")).otherwise(body(*extra, "filter_stats"))
     early = F.when(F.col("filter_stats").isNull(), body("error")).otherwise(body("error", "filter_stats"))
-    return report.select("query", "window", F.when(F.col("error").isNull(), answer).otherwise(early).alias("body"))
+    own = report.columns[:report.columns.index("query")]
+    return report.select(*own, "query", "window", F.when(F.col("error").isNull(), answer).otherwise(early).alias("body"))

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from marketpulse.functions.vectors import hash_embedding
-from marketpulse.operators.aggregate import clean, scored
-from marketpulse.operators.merge import first_writes, unseen
+from marketpulse.operators.aggregate import clean, scored, with_scores
+from marketpulse.operators.merge import unseen
 from marketpulse.schemas import LANDED_PAGE, POST_KEY, SENTIMENT_SCORE, SOCIAL_POST
+from marketpulse.session import materialize
 from marketpulse.sources.landed import collect_posts
 from marketpulse.sources.parsing import literal_time
 
@@ -21,6 +22,7 @@ _SCORE = [f"{f.name} {'string' if f.name == 'model' else 'float'}" for f in SENT
 
 # Every table is append-only: one folder per micro-batch, written whole, so a repeated batch replaces its own folder
 # and nothing else. `deliveries` holds the times a post came in, so a stored post is never rewritten for a newer time.
+# Posts keep their first content. Scores and vectors are those of the text delivered last: `latest_of` reads them.
 TABLES = {
     "posts": ", ".join([_KEY, *_CONTENT]),
     "deliveries": f"{_KEY}, ingested_at timestamp",
@@ -56,6 +58,18 @@ def stored_posts(spark: SparkSession, store: str, since: dt.datetime | None = No
     return posts.drop("batch_id", "created_date").join(latest, list(POST_KEY), "left")
 
 
+def latest_of(spark: SparkSession, store: str, table: str) -> DataFrame:
+    """Scores or vectors, one row per post: that of the last batch in which the post came in."""
+    rows = read_table(spark, store, table)
+    rest = [c for c in _columns(table) if c not in POST_KEY]
+    return rows.groupBy(*POST_KEY).agg(F.max_by(F.struct(*rest), "batch_id").alias("_row")).select(*POST_KEY, "_row.*")
+
+
+def scored_store(spark: SparkSession, store: str, since: dt.datetime | None = None) -> DataFrame:
+    """Stored posts beside their current scores: what a report adds up."""
+    return with_scores(stored_posts(spark, store, since), latest_of(spark, store, "sentiment"))
+
+
 def _write(rows: DataFrame, table: str, path: str) -> None:
     if table not in DATED:
         rows.write.mode("overwrite").parquet(path)
@@ -70,29 +84,29 @@ def write_batch(
     pages: DataFrame, batch_id: int, store: str, as_of: dt.datetime, since: dt.datetime | None = None,
     embed: bool = True,
 ) -> None:
-    """Add one micro-batch: new posts with score and vector, and a delivery time for every post seen."""
+    """Add one micro-batch: the new posts, and delivery time, score and vector of every post seen.
+
+    A post's score and vector follow its latest text in the batch, its stored content the first one ever. The reduced
+    batch is written to the shared folder and read for all tables, so they agree even if an executor is lost in between.
+    """
     spark = pages.sparkSession
     collected = clean(collect_posts(pages, as_of, since)).filter(F.col("outcome") == "processed")
     order = F.struct("fetched_at", "symbol", "term_no", "page_no", "pos")
-    keep = ["text", "symbols", *[c for c in _columns("posts") if c not in ("text", "symbols")]]
-    batch = first_writes(
-        collected.select(*dict.fromkeys(keep), F.col("fetched_at").alias("ingested_at"), order.alias("_order")),
-        F.col("_order"), drop=("_order",),
-    ).persist()
-    try:
-        earlier = read_table(spark, store, "posts").filter(F.col("batch_id") != batch_id)
-        new = unseen(batch, earlier).persist()
-        try:
-            outputs = {
-                "posts": new, "deliveries": batch, "sentiment": scored(new),
-                **({"embeddings": new.withColumn("emb", hash_embedding(F.col("text")))} if embed else {}),
-            }
-            for table, rows in outputs.items():
-                _write(rows.select(*_columns(table)), table, f"{store}/{table}/batch_id={batch_id}")
-        finally:
-            new.unpersist()
-    finally:
-        batch.unpersist()
+    content = [c for c in _columns("posts") if c not in POST_KEY]
+    batch = materialize(
+        collected.groupBy(*POST_KEY).agg(
+            F.min_by(F.struct(*content), order).alias("_first"), F.max_by("text", order).alias("latest_text"),
+            F.max("fetched_at").alias("ingested_at"),
+        ).select(*POST_KEY, "_first.*", "latest_text", "ingested_at"),
+        "batch",
+    )
+    earlier = read_table(spark, store, "posts").filter(F.col("batch_id") != batch_id)
+    latest = batch.select(*POST_KEY, F.col("latest_text").alias("text"))
+    outputs = {"posts": unseen(batch, earlier), "deliveries": batch, "sentiment": scored(latest)}
+    if embed:
+        outputs["embeddings"] = latest.withColumn("emb", hash_embedding(F.col("text")))
+    for table, rows in outputs.items():
+        _write(rows.select(*_columns(table)), table, f"{store}/{table}/batch_id={batch_id}")
 
 
 def start_ingest(

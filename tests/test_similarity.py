@@ -113,3 +113,14 @@ def test_model_vectors_and_fallback(texts):
     assert rows[0]["emb"] == pytest.approx([2 / 5 ** 0.5, 1 / 5 ** 0.5])
     assert len(rows[1]["emb"]) == 2 and np.linalg.norm(rows[1]["emb"]) == pytest.approx(1, abs=1e-6)
     assert rows[2]["emb"] == [0.0, 0.0]
+
+
+def test_ivf_reads_probed_lists_only(spark, tmp_path):
+    points = spark.createDataFrame([(i, [float(i % 4 == j) for j in range(4)]) for i in range(40)], "vec_id long, vector array<double>")
+    lists = spark.createDataFrame([(j, [float(j == i) for i in range(4)]) for j in range(4)], "list_id int, centroid array<double>")
+    Y.assign_lists(points, lists).write.partitionBy("list_id").parquet(str(tmp_path / "index"))
+    index = spark.read.parquet(str(tmp_path / "index"))
+    found = Y.ivf_topk(points.where("vec_id = 6").selectExpr("'q' AS query_id", "vector"), index, lists, 3, probes=1)
+    assert [r["vec_id"] for r in found.orderBy("rank").collect()] == [2, 6, 10]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert any("PartitionFilters" in line and "list_id" in line and "= 2" in line for line in plan.splitlines())

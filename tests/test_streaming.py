@@ -4,6 +4,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from marketpulse.functions.vectors import hash_embedding
 from marketpulse.operators import aggregate as A
 from marketpulse.schemas import LANDED_PAGE
 from marketpulse.sources import landed
@@ -43,14 +44,26 @@ def test_ingest_in_steps_equals_the_batch_result(spark, tmp_path, land):
     stored = {r["platform_id"]: r for r in ingest.stored_posts(spark, store).collect()}
     assert sorted(stored) == ["1", "3", "4"]
     assert stored["1"]["text"] == LONG and stored["1"]["ingested_at"] == later and stored["3"]["ingested_at"] == NOW
-    scores = ingest.read_table(spark, store, "sentiment").drop("batch_id")
-    assert scores.count() == 3 and ingest.read_table(spark, store, "embeddings").count() == 3
+    assert ingest.latest_of(spark, store, "sentiment").count() == 3 and ingest.latest_of(spark, store, "embeddings").count() == 3
     everything = A.clean(landed.collect_posts(landed.scan_landed(spark, str(tmp_path / "landed" / "*")), NOW)).filter("outcome = 'processed'")
     batch = {r["platform_id"]: r["polarity"] for r in A.scored(landed.dedupe_keep_first(everything, "source", "platform_id")).collect()}
-    got = {r["platform_id"]: r["polarity"] for r in A.with_scores(ingest.stored_posts(spark, store), scores).collect()}
+    got = {r["platform_id"]: r["polarity"] for r in ingest.scored_store(spark, store).collect()}
     assert got == batch
 
 
+def test_scores_and_vectors_follow_the_latest_text(spark, tmp_path):
+    store = str(tmp_path / "store")
+    ingest.create_store(spark, store)
+    texts = ("$AAPL bullish moon rally, all in", "$AAPL bearish crash, all out of it")
+    for batch_id, text in enumerate(texts):
+        pages = spark.createDataFrame([page(0, NOW + dt.timedelta(hours=batch_id), ("1", text))], LANDED_PAGE)
+        ingest.write_batch(pages, batch_id, store, NOW)
+    row = ingest.scored_store(spark, store).first()
+    assert row["text"] == texts[0] and row["polarity"] == -1.0 and row["ingested_at"] == NOW + dt.timedelta(hours=1)
+    wanted = spark.createDataFrame([(texts[1],)], "text string").select(hash_embedding(F.col("text")).alias("emb")).first()["emb"]
+    assert list(ingest.latest_of(spark, store, "embeddings").first()["emb"]) == pytest.approx(list(wanted), abs=1e-6)
+
+
 def test_a_repeated_batch_changes_nothing(spark, tmp_path):
     store = str(tmp_path / "store")
     ingest.create_store(spark, store)
@@ -58,7 +71,8 @@ def test_a_repeated_batch_changes_nothing(spark, tmp_path):
     for batch_id in (0, 0, 1):
         ingest.write_batch(pages, batch_id, store, NOW, embed=False)
     assert ingest.stored_posts(spark, store).count() == 1
-    assert ingest.read_table(spark, store, "sentiment").count() == 1
+    assert ingest.latest_of(spark, store, "sentiment").count() == 1
+    assert ingest.read_table(spark, store, "sentiment").count() == 2  # one row per batch, the repeated one replaced
 
 
 def test_stored_posts_prunes_by_date(spark, tmp_path):
