@@ -8,8 +8,10 @@ no band with probability 5e-6, and less above it.
 2. Documents with equal sets form a class; from here on only the smallest id of a class works.
 3. Each band bucket with two classes or more gives star edges to its smallest id; their connected components bound what
    can be linked. No pairs of a bucket are made.
-4. Texts of components with two members or more are dealt into blocks of bounded size; each pair of blocks is one task,
-   which counts exact intersections by posting lists and returns a spanning forest of the links.
+4. Texts of a component that fits into one block are one task, which counts exact intersections by posting lists and
+   returns a spanning forest of the links. In larger components each document is first compared with the document it shares
+   most buckets with, in bounded groups; the largest group linked so is settled. Only blocks of the remaining documents
+   meet all blocks, one task for each pair, so a group of near-copies of any size costs one pass over its texts.
 5. Components of the links give the answer.
 """
 
@@ -108,11 +110,12 @@ def _features(width: int):
     return run
 
 
-def link_forest(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+def link_forest(ids: np.ndarray, sets: list[np.ndarray], percent: int, settled: np.ndarray | None = None) -> list[tuple[int, int]]:
     """(id, smallest id of its linked group) for the documents that have links among the given ones.
 
     Rows of intersections are counted by posting lists. Once the documents linked to the one with the most links among a
     few are known, members of its growing group need no row of their own: what is left of the others gets one, against all.
+    Documents marked as settled are known to be one group: they are not returned, and their smallest id stands for them.
     """
     n = len(sets)
     sizes = np.array([len(s) for s in sets], np.int64)
@@ -142,9 +145,13 @@ def link_forest(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[t
             if len(groups) > 1:
                 group[np.isin(group, groups)] = groups[0]
 
-    tried = range(0, n, max(1, n // 8))
-    rows = {x: row(x) for x in tried}
-    anchor = max(rows, key=lambda x: len(rows[x]))
+    known = np.zeros(n, bool) if settled is None else settled
+    if known.any():
+        anchor, rows = int(np.flatnonzero(known)[0]), {}
+        group[known] = anchor
+    else:
+        rows = {x: row(x) for x in range(0, n, max(1, n // 8))}
+        anchor = max(rows, key=lambda x: len(rows[x]))
     for linked in rows.values():
         join(linked)
     for x in range(n):
@@ -153,7 +160,9 @@ def link_forest(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[t
     least: dict[int, int] = {}
     for g, i in zip(group.tolist(), ids.tolist()):
         least[g] = min(i, least.get(g, i))
-    return [(i, least[g]) for g, i in zip(group.tolist(), ids.tolist()) if i != least[g]]
+    if known.any():
+        least[int(group[anchor])] = int(ids[known].min())
+    return [(i, least[g]) for g, i, k in zip(group.tolist(), ids.tolist(), known.tolist()) if i != least[g] and not k]
 
 
 def _verify(width: int, percent: int):
@@ -162,14 +171,59 @@ def _verify(width: int, percent: int):
         texts = pool.column("text").cast(pa.binary())
         sets = [shingle_set(t.as_py(), width) for t in texts]
         held = [i for i, s in enumerate(sets) if len(s)]
-        ids = pool.column("doc_id").to_numpy()[held]
-        forest = sorted(set(link_forest(ids, [sets[i] for i in held], percent))) if len(held) > 1 else []
+        ids, settled = pool.column("doc_id").to_numpy()[held], pool.column("settled").to_numpy()[held]
+        forest = sorted(set(link_forest(ids, [sets[i] for i in held], percent, settled))) if len(held) > 1 else []
         return pa.table({"a": pa.array([a for a, _ in forest], pa.int64()), "b": pa.array([b for _, b in forest], pa.int64()),
-                         "whole": pa.array([pool.column("parts")[0].as_py() == 1] * len(forest), pa.bool_())})
+                         "whole": pa.array([pool.column("whole")[0].as_py()] * len(forest), pa.bool_())})
+
+    return run
+
+
+def _verify_anchor(width: int, percent: int):
+    def similar(a: np.ndarray, b: np.ndarray) -> bool:
+        common = len(np.intersect1d(a, b, assume_unique=True))
+        return 100 * common >= percent * (len(a) + len(b) - common)
+
+    def run(pool: pa.Table) -> pa.Table:
+        ids, anchor = pool.column("doc_id").to_pylist(), pool.column("anchor")[0].as_py()
+        sets = [shingle_set(t.as_py(), width) for t in pool.column("text").cast(pa.binary())]
+        hubs = [s for s, i in zip(sets, ids) if i == anchor and len(s)]
+        linked = sorted({i for s, i in zip(sets, ids) if i != anchor and len(s) and any(similar(s, h) for h in hubs)})
+        return pa.table({"a": pa.array(linked, pa.int64()), "b": pa.array([anchor] * len(linked), pa.int64())})
 
     return run
 
 
+def _anchor_links(docs: DataFrame, members: DataFrame, hits: DataFrame, width: int, percent: int) -> DataFrame:
+    """Exact links (a, b) of members (node, n) with the one document each shares most buckets with.
+
+    A document that many share is sent to each bounded part of them.
+    """
+    nearest = hits.groupBy("doc_id").agg(F.max_by("least", F.struct("shared", -F.col("least"))).alias("anchor"))
+    pairs = materialize(members.select(F.col("node").alias("doc_id"), "n").join(nearest, "doc_id"), "anchors")
+    sizes = pairs.groupBy("anchor").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("parts"))
+    sizes = broadcast_if_small(materialize(sizes, "anchor-sizes"))
+    followers = pairs.join(sizes, "anchor").select("doc_id", "anchor", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int").alias("part"))
+    hubs = sizes.select(F.col("anchor").alias("doc_id"), "anchor", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    pools = docs.join(broadcast_if_small(followers.unionByName(hubs)), "doc_id").select("anchor", "part", "doc_id", "text")
+    return pools.groupBy("anchor", "part").applyInArrow(_verify_anchor(width, percent), "a long, b long")
+
+
+def _settle(members: DataFrame, groups: DataFrame) -> DataFrame:
+    """component, node, settled, and the numbers of blocks of settled and of other documents.
+
+    Settled are the documents of the largest of the linked groups (node, component) of a component.
+    """
+    found = members.join(groups.toDF("node", "found"), "node", "left").withColumn("found", F.coalesce("found", "node"))
+    found = materialize(found, "grouped")
+    mass = found.groupBy("component", "found").agg(F.sum("n").alias("n"))
+    top = mass.groupBy("component").agg(F.max_by("found", F.struct("n", -F.col("found"))).alias("top"), F.max("n").alias("most"), F.sum("n").alias("total"))
+    blocks = lambda n: F.ceil(n / BLOCK_SHINGLES).cast("int")
+    top = top.select("component", "top", blocks(F.col("most")).alias("settled_parts"), blocks(F.col("total") - F.col("most")).alias("rest_parts"))
+    rows = found.join(broadcast_if_small(materialize(top, "settled")), "component")
+    return rows.select("component", "node", (F.col("found") == F.col("top")).alias("settled"), "settled_parts", "rest_parts")
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (smallest doc_id linked through any chain), kept (doc_id = component_id).
 
@@ -193,23 +247,37 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     # A count of two ids also when one id's rows differ; the star edge below then has equal ends and goes.
     buckets = keyed.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
     buckets = broadcast_if_small(materialize(buckets.where("least != most").drop("most"), "buckets"))
-    stars = keyed.join(buckets, "key").where("doc_id != least").select("doc_id", "least").distinct()
-    coarse = components(stars)
+    hits = keyed.join(buckets, "key").where("doc_id != least").groupBy("doc_id", "least").agg(F.count(F.lit(1)).alias("shared"))
+    hits = materialize(hits, "star-edges")
+    coarse = components(hits.select("doc_id", "least"))
 
-    sized = coarse.join(full.groupBy(F.col("doc_id").alias("node")).agg(F.sum("n_shingles").alias("n")), "node")
+    sized = materialize(coarse.join(full.groupBy(F.col("doc_id").alias("node")).agg(F.sum("n_shingles").alias("n")), "node"), "sized")
     parts = sized.groupBy("component").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("parts"))
-    member = materialize(coarse.join(parts, "component"), "members")
-    block = F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")
-    other = F.explode(F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(
-        F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: x != F.col("block"))))
-    pools = (docs.join(broadcast_if_small(member.withColumnRenamed("node", "doc_id")), "doc_id").withColumn("block", block)
+    member = materialize(sized.join(broadcast_if_small(parts), "component"), "members")
+    dealt = member.where("parts = 1").select("component", "node", F.lit(False).alias("settled"), F.lit(0).alias("settled_parts"),
+                                             F.lit(1).alias("rest_parts"), F.lit(True).alias("whole"))
+    large = member.where("parts > 1")
+    near = None
+    if large.limit(1).count():
+        near = materialize(_anchor_links(docs, large, hits, width, percent), "anchor-links")
+        grouped = components(near)
+        dealt = materialize(dealt.unionByName(_settle(large, grouped).withColumn("whole", F.lit(False))), "dealt")
+    own = F.pmod(F.xxhash64("doc_id"), F.greatest(F.lit(1), F.when(F.col("settled"), F.col("settled_parts")).otherwise(F.col("rest_parts")))).cast("int")
+    block = own + F.when(F.col("settled"), F.col("rest_parts")).otherwise(0)
+    every = lambda n: F.filter(F.sequence(F.lit(0), F.greatest(F.lit(1), n) - 1), lambda x: x < n)
+    # Blocks of settled documents meet the others only; of the others, each meets every one.
+    total = F.col("rest_parts") + F.col("settled_parts")
+    other = F.explode(F.when(F.col("settled"), every(F.col("rest_parts"))).when(total == 1, F.array(F.lit(0))).otherwise(
+        F.filter(every(total), lambda x: x != F.col("block"))))
+    pools = (docs.join(broadcast_if_small(dealt.withColumnRenamed("node", "doc_id")), "doc_id").withColumn("block", block)
              .withColumn("other", other)
-             .select("component", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "doc_id", "text", "parts"))
+             .select("component", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "doc_id", "text", "settled", "whole"))
     links = materialize(pools.groupBy("component", "lo", "hi").applyInArrow(_verify(width, percent), "a long, b long, whole boolean"), "links")
     final = links.where("whole").select(F.col("a").alias("first"), F.col("b").alias("component_id"))
-    split = links.where("not whole").select("a", "b")
-    if split.limit(1).count():
-        final = final.unionByName(components(split).toDF("first", "component_id"))
+    if near is not None:
+        split = links.where("not whole").select("a", "b")
+        joined = components(near.unionByName(split)) if split.limit(1).count() else grouped
+        final = final.unionByName(joined.toDF("first", "component_id"))
     final = broadcast_if_small(final)
     # An id of several classes (repeated ids) may have several answers: they are joined below.
     found = (classes.select("doc_id", "first").join(final, "first", "left")

@@ -214,6 +214,24 @@ def test_near_duplicates_against_all_pairs(spark, sf_dir, monkeypatch):
     assert found == brute_components(texts, 4, 80)
 
 
+@pytest.mark.parametrize("block", [120, 700])
+def test_large_components_of_several_groups(spark, monkeypatch, block):
+    """Texts that share half of their words hang together by buckets; what is linked is told by exact sets only."""
+    monkeypatch.setattr(minhash, "BLOCK_SHINGLES", block)
+    draw = np.random.default_rng(8)
+    texts = {}
+    for base, size in (("a", 30), ("b", 18), ("c", 5)):
+        words = [f"s{i}" for i in range(40)] + [f"{base}{i}" for i in range(18)]
+        for i in range(size):
+            copy = list(words)
+            for j in draw.integers(0, 58, draw.integers(0, 3)):
+                copy[j] = f"x{draw.integers(0, 99)}"
+            texts[int(draw.integers(1, 1 << 40))] = " ".join(copy)
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(frame, 4, 80).collect()}
+    assert found == brute_components(texts, 4, 80)
+
+
 def test_pipeline_is_its_stages(spark, sf_dir):
     docs = queries.table(spark, sf_dir, "documents")
     for _, stage in corpus_pipeline.STAGES[:-1]:
