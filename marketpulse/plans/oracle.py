@@ -351,7 +351,14 @@ SELECTS: dict[str, str] = {
     "quarantine": f"""SELECT source, ticker AS symbol, reason, count(*) AS n FROM (
         SELECT DISTINCT source, ticker, 'bad_json' AS reason, page_no, NULL AS place FROM page WHERE broken
         UNION ALL SELECT source, ticker, CASE source WHEN 'x' THEN {BAD_X} WHEN 'reddit' THEN {BAD_REDDIT} ELSE {BAD_ST} END, page_no, {D}
-        FROM page WHERE NOT broken) WHERE reason IS NOT NULL GROUP BY ALL""",
+        FROM page WHERE NOT broken
+        UNION ALL SELECT DISTINCT CASE WHEN conv_id % 19 = 4 THEN 'forum' ELSE 'reddit' END, NULL,
+          CASE WHEN conv_id % 19 = 4 THEN 'unknown_source' ELSE 'bad_json' END, conv_id * 1000 + (turn - 1) // 20, NULL
+        FROM turns WHERE turn > 0 AND (conv_id % 19 = 4 OR conv_id % 17 = 3)
+        UNION ALL SELECT 'reddit', NULL, CASE WHEN created_at < {WEEK} THEN 'too_old' WHEN author = '[deleted]' THEN 'deleted'
+          WHEN body IN ('[removed]', '[deleted]') THEN 'removed' WHEN coalesce(body, '') = '' THEN 'missing_text' END, conv_id, turn
+        FROM turns WHERE turn > 0 AND place <= 10 AND role <> 'system' AND conv_id % 19 <> 4 AND conv_id % 17 <> 3)
+        WHERE reason IS NOT NULL GROUP BY ALL""",
     "scan_landed": "SELECT source, symbol, count(*) AS n, sum(length(text))::BIGINT AS chars FROM landed GROUP BY ALL",
     "since_filter": f"""SELECT source, platform_id, {stamp('created_at')} AS created_at FROM p
         WHERE created_at >= {WEEK} + CASE source WHEN 'x' THEN INTERVAL 0 SECOND ELSE INTERVAL 500 MILLISECOND END""",

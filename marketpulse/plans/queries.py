@@ -198,8 +198,12 @@ def validate_posts(spark, sf):
 
 @query
 def quarantine(spark, sf):
-    return landed.quarantine(v.landed_pages(spark, sf), v.AS_OF, v.WEEK_AGO).groupBy("source", "symbol", "reason").agg(
-        F.count(F.lit(1)).alias("n"))
+    """Over searches and threads; some threads are cut off, some of a source that nothing can parse."""
+    thread = F.col("post_id").cast("bigint")
+    threads = v.threads(spark, sf).withColumn("source", F.when(thread % 19 == 4, "forum").otherwise("reddit")).withColumn(
+        "body", F.when(thread % 17 == 3, F.expr("left(body, length(body) - 3)")).otherwise(F.col("body")))
+    pages = v.landed_pages(spark, sf).unionByName(threads)
+    return landed.quarantine(pages, v.AS_OF, v.WEEK_AGO).groupBy("source", "symbol", "reason").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from marketpulse.constants import MAX_PAGES, SOURCES
 from marketpulse.operators.sizes import broadcast_if_small
-from marketpulse.schemas import LANDED_PAGE, REDDIT_LISTING, REQUIRED_POST_FIELDS, STOCKTWITS_STREAM, X_PAGE
+from marketpulse.schemas import LANDED_PAGE, REDDIT_LISTING, REDDIT_THREAD, REQUIRED_POST_FIELDS, STOCKTWITS_STREAM, X_PAGE
 from marketpulse.sources import reddit, stocktwits, x
 from marketpulse.sources.parsing import bad_pages, literal_time
 
@@ -144,17 +144,29 @@ def validate_posts(posts: DataFrame) -> DataFrame:
 
 
 def quarantine(raw: DataFrame, as_of: dt.datetime, since: dt.datetime | None = None) -> DataFrame:
-    """Everything refused, with the reason: unreadable pages (no place) and refused items (with their place)."""
-    forms = {
-        "x": (X_PAGE, x.candidates),
-        "reddit": (REDDIT_LISTING, reddit.post_candidates),
-        "stocktwits": (STOCKTWITS_STREAM, stocktwits.candidates),
-    }
-    parts = []
-    for source, (schema, candidates) in forms.items():
-        pages = raw.filter((F.col("source") == source) & (F.coalesce(F.col("kind"), F.lit("search")) == "search"))
-        where = ["source", "symbol", "page_no"]
-        parts.append(bad_pages(pages, schema).select(
-            *where, F.lit(None).cast("int").alias("pos"), F.lit("bad_json").alias("reason")))
-        parts.append(candidates(pages, as_of, since).filter(F.col("reason").isNotNull()).select(*where, "pos", "reason"))
+    """Everything refused, with the reason: whole pages (no place) and items (with their place).
+
+    A page is refused if it is unreadable, of a source without parser, or of a kind its source does not have. Items are posts
+    and the comments of every thread; those of a thread have its `post_id`.
+    """
+    kind = F.coalesce(F.col("kind"), F.lit("search"))
+    own = lambda source: F.col("source") == source
+    forms = [
+        (own("x"), X_PAGE, x.candidates),
+        (own("reddit") & (kind == "search"), REDDIT_LISTING, reddit.post_candidates),
+        (own("reddit") & (kind == "comments"), REDDIT_THREAD, reddit.comment_candidates),
+        (own("stocktwits"), STOCKTWITS_STREAM, stocktwits.candidates),
+    ]
+    known = F.coalesce(F.col("source").isin(*PARSERS), F.lit(False))
+    refused = F.when(~known, "unknown_source").when(own("reddit") & ~kind.isin("search", "comments"), "unknown_kind")
+    where = ["source", "symbol", "page_no"]
+    whole = lambda pages, reason: pages.select(
+        *where, "post_id", F.lit(None).cast("int").alias("pos"), reason.alias("reason"))
+    parts = [whole(raw.filter(refused.isNotNull()), refused)]
+    for mine, schema, candidates in forms:
+        pages = raw.filter(mine)
+        parts.append(whole(bad_pages(pages, schema), F.lit("bad_json")))
+        post_id = F.col("reply_to_id") if schema is REDDIT_THREAD else F.lit(None).cast("string")
+        parts.append(candidates(pages, as_of, since).filter(F.col("reason").isNotNull()).select(
+            *where, post_id.alias("post_id"), "pos", "reason"))
     return union_posts(*parts)

@@ -37,11 +37,14 @@ def page_items(raw: DataFrame, schema: T.DataType, items: Column, item: T.DataTy
     return rows if item is None else rows.withColumn("item", F.from_json("item", item))
 
 
-def bad_pages(raw: DataFrame, schema: T.StructType) -> DataFrame:
+def bad_pages(raw: DataFrame, schema: T.DataType) -> DataFrame:
     """Pages that are not valid JSON."""
     options = {"columnNameOfCorruptRecord": CORRUPT, "mode": "PERMISSIVE"}
     parsed = raw.withColumn("page", F.from_json("body", schema, options))
-    return parsed.filter(F.col("page").isNull() | F.col("page")[CORRUPT].isNotNull()).drop("page")
+    bad = F.col("page").isNull()
+    if isinstance(schema, T.StructType):
+        bad = bad | F.col("page")[CORRUPT].isNotNull()
+    return parsed.filter(bad).drop("page")
 
 
 def as_candidates(df: DataFrame, reason: Column, **fields: Column) -> DataFrame:

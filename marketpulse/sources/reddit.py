@@ -61,7 +61,10 @@ def posts(raw: DataFrame, as_of: dt.datetime, since: dt.datetime | None = None)
 def comment_candidates(
     threads: DataFrame, as_of: dt.datetime, since: dt.datetime | None = None, per_post: int = COMMENTS_PER_POST
 ) -> DataFrame:
-    """Comments of landed threads. The first `per_post` children are looked at, then those that are comments kept."""
+    """Comments of landed threads. The first `per_post` children are looked at, then those that are comments kept.
+
+    A response is a thread as it was fetched once: the limit holds for each response, as for a client that asks again.
+    """
     children = F.slice(F.try_element_at(F.col("page"), F.lit(2))["data"]["children"], 1, per_post)
     df = page_items(threads, REDDIT_THREAD, children, REDDIT_COMMENT, "post_id").filter(F.col("item")["kind"] == "t1")
     comment = F.col("item")["data"]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -16,12 +17,23 @@ def dedupe_stream(posts: DataFrame, delay: str = "7 days") -> DataFrame:
 
 
 def rolling_stream(scored_posts: DataFrame, delay: str = "1 hour", length: str = "24 hours", slide: str = "1 hour") -> DataFrame:
-    """Mean polarity per symbol over sliding windows; a window is final once the watermark has passed it."""
+    """Mean polarity per symbol over sliding windows; a window is final once the watermark has passed it.
+
+    Posts are added up per slide first, and only those sums are copied into the windows they lie in: `length` is a
+    multiple of `slide`.
+    """
+    if pd.Timedelta(length) % pd.Timedelta(slide):
+        raise ValueError(f"{length} is no multiple of {slide}")
     rows = per_symbol(scored_posts, "created_at", F.col("polarity").cast("double").alias("polarity"))
-    return (
+    sums = (
         rows.withWatermark("created_at", delay)
-        .groupBy("symbol", F.window("created_at", length, slide))
-        .agg(F.count(F.lit(1)).alias("n"), F.avg("polarity").alias("avg_polarity"))
+        .groupBy("symbol", F.window("created_at", slide).alias("pane"))
+        .agg(F.count(F.lit(1)).alias("n"), F.count("polarity").alias("n_scored"), F.sum("polarity").alias("sum_polarity"))
+        .select("symbol", F.window_time("pane").alias("pane_time"), "n", "n_scored", "sum_polarity")
+    )
+    return (
+        sums.groupBy("symbol", F.window("pane_time", length, slide))
+        .agg(F.sum("n").alias("n"), (F.sum("sum_polarity") / F.nullif(F.sum("n_scored"), F.lit(0))).alias("avg_polarity"))
         .select("symbol", F.col("window.start").alias("window_start"), "n", "avg_polarity")
     )
 

@@ -172,6 +172,11 @@ def test_validation_and_quarantine(pages, spark):
     df = spark.createDataFrame(rows, "source string, platform_id string, author_id string, created_at timestamp, text string")
     assert [r["is_valid"] for r in landed.validate_posts(df).collect()] == [True, False, False, False]
     raw = pages("x", {"data": [TWEET, {}]}, "{broken").union(pages("reddit", "nonsense"))
+    threads = pages("reddit", thread(comment(1), comment(2, author="[deleted]")), "[{}, {", kind="comments", post_id="q8zt1")
+    more = threads.union(pages("myspace", "{}")).union(pages("reddit", listing(POST), kind="wiki"))
+    refused = sorted((r["source"], r["post_id"] or "", -1 if r["pos"] is None else r["pos"], r["reason"]) for r in landed.quarantine(more, AS_OF).collect())
+    assert refused == [("myspace", "", -1, "unknown_source"), ("reddit", "", -1, "unknown_kind"),
+                       ("reddit", "q8zt1", -1, "bad_json"), ("reddit", "q8zt1", 1, "deleted")]
     got = sorted((r["source"], r["page_no"], r["reason"]) for r in landed.quarantine(raw, AS_OF).collect())
     assert got == [("reddit", 0, "bad_json"), ("x", 0, "missing_id"), ("x", 1, "bad_json")]
 
