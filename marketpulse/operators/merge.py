@@ -1,7 +1,8 @@
 """Keyed merges over snapshots.
 
 A merge is a function of the stored table and the incoming rows. The incoming side is first reduced to one row per
-key, by an aggregation that combines copies before the shuffle. The stored side is only joined: if the incoming keys
+key, by an aggregation that combines copies before the shuffle, and written, as it is measured and used more than once.
+The stored side is only joined: if the incoming keys
 are few, by a count, they are broadcast and the stored table is not shuffled at all.
 Stored tables keep one row per key. The key is the natural one: a 64-bit surrogate would collide at this scale.
 """
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from marketpulse.operators.sizes import broadcast_if_small
 from marketpulse.schemas import POST_KEY
+from marketpulse.session import materialize
 
 
 def latest(incoming: DataFrame, key: tuple[str, ...], order: Column, drop: tuple[str, ...] = ()) -> DataFrame:
@@ -34,6 +36,7 @@ def merge_latest(
     newest = latest(incoming, key, order, drop)
     if existing is None:
         return newest
+    newest = materialize(newest, "delivery")
     replaced = broadcast_if_small(newest.select(*key))
     return existing.join(replaced, list(key), "left_anti").unionByName(newest)
 
@@ -66,6 +69,7 @@ def merge_posts(
     first = first_writes(incoming, order, drop)
     if existing is None:
         return first
+    first = materialize(first, "delivery")
     seen = broadcast_if_small(first.select(*POST_KEY, F.col("ingested_at").alias("_seen")))
     touched = (
         existing.join(seen, list(POST_KEY), "left")
