@@ -137,6 +137,7 @@ def link_forest(ids: np.ndarray, sets: list[np.ndarray], percent: int, settled:
         met = counts[own]
         places = np.repeat(first[own] - np.concatenate([[0], np.cumsum(met)[:-1]]), met) + np.arange(met.sum())
         common = np.bincount(posted[places], minlength=n)
+        common[x] = sizes[x]  # its shingles that nothing else here has are not counted above
         return np.flatnonzero(100 * common >= percent * (sizes[x] + sizes - common))
 
     def join(linked: np.ndarray) -> None:

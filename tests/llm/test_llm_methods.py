@@ -232,6 +232,41 @@ def test_large_components_of_several_groups(spark, monkeypatch, block):
     assert found == brute_components(texts, 4, 80)
 
 
+def lengthened_copies(draw):
+    """Near-copies of one text, each but the first few in two forms: a word changed, and that with 12 to 25 % of new words appended."""
+    base = [f"w{i}" for i in range(103)]
+    texts = {}
+    for i in range(32):
+        copy = list(base)
+        copy[int(draw.integers(0, 103))] = f"x{i}"
+        texts[2 * i] = " ".join(copy)
+        if i > 3:
+            texts[2 * i + 1] = " ".join(copy + [f"y{i}_{j}" for j in range(int(draw.integers(13, 25)))])
+    return texts
+
+
+@pytest.mark.parametrize("settled", [False, True])
+def test_copies_with_appended_text_join(settled):
+    """Their link to a member of the group counts although it gets no row of its own, in one block and beside settled ones."""
+    texts = lengthened_copies(np.random.default_rng(11))
+    expected = {i: c for i, (_, c) in brute_components(texts, 4, 80).items()}
+    ids = np.array(sorted(texts))
+    known = ids % 2 == 0 if settled else None
+    sets = [minhash.shingle_set(texts[i].encode(), 4) for i in ids.tolist()]
+    found = dict(minhash.link_forest(ids, sets, 80, known))
+    assert set(expected.values()) == {0}
+    assert found == {i: c for i, c in expected.items() if i != c and not (settled and i % 2 == 0)}
+
+
+@pytest.mark.parametrize("block", [400, 1_000_000])
+def test_appended_text_against_all_pairs(spark, monkeypatch, block):
+    monkeypatch.setattr(minhash, "BLOCK_SHINGLES", block)
+    texts = lengthened_copies(np.random.default_rng(12))
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(frame, 4, 80).collect()}
+    assert found == brute_components(texts, 4, 80)
+
+
 def test_pipeline_is_its_stages(spark, sf_dir):
     docs = queries.table(spark, sf_dir, "documents")
     for _, stage in corpus_pipeline.STAGES[:-1]:
