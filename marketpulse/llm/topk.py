@@ -74,8 +74,13 @@ def _exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def best_of(queries: np.ndarray, query_ids: np.ndarray, corpus: list[tuple[np.ndarray, np.ndarray]], k: int) -> tuple[np.ndarray, ...]:
-    """(query row, candidate id, score): the k best candidates of each query, ties to the smaller id, not itself."""
+    """(query row, candidate id, score): the k best candidates of each query, ties to the smaller id, not itself.
+
+    Repeated candidate ids count once, with their best score.
+    """
     n = len(queries)
+    every = np.concatenate([candidates for _, candidates in corpus]) if corpus else np.empty(0, np.int64)
+    repeated = len(np.unique(every)) < len(every)
     row, ids, scores = (np.empty(0, np.int64) for _ in range(3))
     least = np.full(n, -np.inf)
     levels = [statistics(queries, s) for s in SEGMENTS]
@@ -105,6 +110,11 @@ def best_of(queries: np.ndarray, query_ids: np.ndarray, corpus: list[tuple[np.nd
         other = candidates[alive[1]]
         fit = (score >= least[alive[0]]) & (other != query_ids[alive[0]])
         row, ids, scores = np.append(row, alive[0][fit]), np.append(ids, other[fit]), np.append(scores, score[fit])
+        if repeated:
+            order = np.lexsort((-scores, ids, row))
+            row, ids, scores = row[order], ids[order], scores[order]
+            best = np.append(True, (row[1:] != row[:-1]) | (ids[1:] != ids[:-1]))[: len(row)]
+            row, ids, scores = row[best], ids[best], scores[best]
         order = np.lexsort((ids, -scores, row))
         row, ids, scores = row[order], ids[order], scores[order]
         begin = np.searchsorted(row, np.arange(n))

@@ -151,6 +151,24 @@ def test_topk_is_exact(spark, sf_dir, monkeypatch):
     assert {tuple(r) for r in queries.op6_segment_topk(spark, sf_dir).collect()} == expected
 
 
+@pytest.mark.parametrize("copies", [2, 20])
+def test_repeated_candidates_leave_room_for_others(copies):
+    """Each id counts once, with its best row, in one block and over several."""
+    draw = np.random.default_rng(4)
+    vectors, ids = np.floor(64 * draw.normal(size=(90, 32))), np.arange(90)
+    own, names = vectors[:7], ids[:7]
+    rows, named = np.concatenate([vectors] * copies), np.concatenate([ids] * copies)
+    rows[90:180] -= 1.0  # rows of one id that differ
+    expected = []
+    for q in range(7):
+        score = np.maximum.reduce([own[q] @ part.T for part in np.split(rows, copies)]).astype(int)
+        expected += [(q, int(j), int(score[j])) for j in np.lexsort((ids, -score)) if j != q][:20]
+    order = draw.permutation(len(rows))
+    for places in ([np.arange(len(rows))], np.array_split(order, 5)):
+        found = topk.best_of(own, names, [(rows[p], named[p]) for p in places], 20)
+        assert list(zip(*(x.tolist() for x in found))) == expected
+
+
 def test_segment_bounds_hold():
     draw = np.random.default_rng(3)
     a, b = draw.normal(size=(50, 64)), draw.normal(size=(60, 64))
