@@ -1,7 +1,7 @@
 """Packing into token-budget batches inside optimal length buckets.
 
 A histogram of all lengths goes to the driver: its size is bounded by the resolution, not by the data. Dynamic programming
-finds the bucket boundaries that make the padding least. Inside each bucket batches of (budget / padded length) documents
+finds the bucket boundaries that make the padding least, the budget being one of them. Inside each bucket batches of (budget / padded length) documents
 are formed; large buckets are dealt out first, so no task orders more than PART_ROWS documents or so.
 """
 
@@ -27,9 +27,10 @@ def edge(length: Column) -> Column:
     return F.greatest(F.lit(1), F.ceil(length / step) * step).cast("long")
 
 
-def boundaries(edges: np.ndarray, counts: np.ndarray, buckets: int = BUCKETS) -> list[int]:
+def boundaries(edges: np.ndarray, counts: np.ndarray, buckets: int = BUCKETS, budget: int | None = None) -> list[int]:
     """Upper ends of at most `buckets` buckets over the sorted edges with the least total padded length.
 
+    With a budget no bucket holds edges both up to it and beyond it; where there are both, two buckets are the least.
     best[j] after m rounds: the least padded length of the first j edges in m buckets at most. Ties: the fewer buckets, the earlier cut.
     """
     n = len(edges)
@@ -37,14 +38,18 @@ def boundaries(edges: np.ndarray, counts: np.ndarray, buckets: int = BUCKETS) ->
         return []
     before = np.concatenate([[0], np.cumsum(counts)]).astype(np.float64)
     best = np.concatenate([[0.0], edges * before[1:]])
+    fit = 0 if budget is None else int(np.searchsorted(edges, budget, side="right"))
+    if 0 < fit < n:
+        best[fit + 1 :], buckets = np.inf, max(buckets, 2)
     cuts = [np.zeros(n + 1, np.int64)]
     for _ in range(min(buckets, n) - 1):
         new, cut = best.copy(), np.full(n + 1, -1, np.int64)
         for j in range(2, n + 1):
-            cost = best[1:j] + edges[j - 1] * (before[j] - before[1:j])
+            least = max(1, fit) if j > fit else 1
+            cost = best[least:j] + edges[j - 1] * (before[j] - before[least:j])
             i = int(cost.argmin())
             if cost[i] < new[j]:
-                new[j], cut[j] = cost[i], i + 1
+                new[j], cut[j] = cost[i], i + least
         best = new
         cuts.append(cut)
     ends, j, m = [], n, len(cuts) - 1
@@ -67,11 +72,14 @@ def pack(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET, length:
     """
     spark = configure(docs.sparkSession)
     length = n_words(F.col("text").cast("string")) if length is None else length.cast("long")
-    rows = docs.select(F.col("doc_id"), F.coalesce(length, F.lit(0)).alias("n_tokens")).withColumn("edge", edge(F.col("n_tokens")))
+    rows = docs.select(F.col("doc_id"), F.coalesce(length, F.lit(0)).alias("n_tokens"))
+    # What fits the budget is not rounded up beyond it.
+    fits = F.col("n_tokens") <= budget
+    rows = rows.withColumn("edge", F.when(fits, F.least(edge(F.col("n_tokens")), F.lit(max(1, budget)).cast("long"))).otherwise(edge(F.col("n_tokens"))))
     rows = materialize(rows, "lengths")
     histogram = sorted((r["edge"], r["n"]) for r in rows.groupBy("edge").agg(F.count(F.lit(1)).alias("n")).collect())
     edges, counts = np.array([e for e, _ in histogram], np.int64), np.array([n for _, n in histogram], np.int64)
-    ends = boundaries(edges, counts, buckets)
+    ends = boundaries(edges, counts, buckets, budget)
     held = [int(n) for n in np.add.reduceat(counts, np.concatenate([[0], np.searchsorted(edges, ends[:-1], side="right")]))] if ends else []
     bucket, padded, parts, capacity = (F.lit(None).cast("int"), F.lit(None).cast("long"), F.lit(1), F.lit(1))
     for i in range(len(ends) - 1, -1, -1):
@@ -88,4 +96,4 @@ def pack(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET, length:
     return dealt.select("doc_id", "n_tokens", "bucket", "padded_length", "part",
                         F.floor(F.col("place") / F.col("capacity")).cast("long").alias("batch"),
                         (F.col("place") % F.col("capacity")).cast("int").alias("slot"),
-                        (F.col("padded_length") > budget).alias("over_budget"))
+                        (F.col("n_tokens") > budget).alias("over_budget"))

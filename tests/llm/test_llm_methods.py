@@ -39,6 +39,33 @@ def test_boundaries_are_optimal(bins, buckets):
     assert cost(found) == min(map(cost, rest))
 
 
+@given(st.lists(st.tuples(st.integers(1, 60), st.integers(1, 9)), min_size=1, max_size=9, unique_by=lambda x: x[0]), st.integers(1, 4), st.integers(1, 60))
+@settings(max_examples=60, deadline=None)
+def test_boundaries_with_a_budget_are_optimal(bins, buckets, budget):
+    bins = sorted(bins)
+    edges, counts = np.array([e for e, _ in bins]), np.array([n for _, n in bins])
+    cost = lambda ends: sum(n * min(e for e in ends if e >= edge) for edge, n in bins)
+    found = packing.boundaries(edges, counts, buckets, budget)
+    fitting = [e for e, _ in bins if e <= budget][-1:]
+    both = bool(fitting) and fitting[0] < edges[-1]
+    buckets = max(buckets, 2) if both else buckets
+    rest = [c + (edges[-1],) for k in range(buckets) for c in itertools.combinations(edges[:-1].tolist(), k)]
+    assert len(found) <= buckets and (not both or fitting[0] in found)
+    assert cost(found) == min(cost(ends) for ends in rest if not both or fitting[0] in ends)
+
+
+@pytest.mark.parametrize("budget", [16_384, 6_001])
+def test_fitting_documents_stay_within_the_budget(spark, budget):
+    lengths = [*range(1, 3000, 7), 6_000, 6_001, 6_002, 9_000, 16_384, 16_385, 20_050]
+    docs = spark.createDataFrame(list(enumerate(lengths)), "doc_id long, n long")
+    rows = packing.pack(docs, 4, budget, F.col("n")).toPandas()
+    assert sorted(rows["n_tokens"]) == lengths and (rows["n_tokens"] <= rows["padded_length"]).all()
+    assert (rows["over_budget"] == (rows["n_tokens"] > budget)).all()
+    assert (rows.loc[rows["n_tokens"] <= budget, "padded_length"] <= budget).all()
+    batches = rows.groupby(["bucket", "part", "batch"]).agg(n=("doc_id", "size"), wide=("padded_length", "max"))
+    assert ((batches["n"] * batches["wide"] <= budget) | (batches["n"] == 1)).all()
+
+
 def test_packing_stays_within_budget(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(packing, "PART_ROWS", 3)
     rows = packing.pack(queries.table(spark, sf_dir, "documents")).toPandas()
