@@ -12,6 +12,9 @@ from marketpulse.llm import langid, minhash, mixing, packing, rules
 from marketpulse.llm.common import fold, table
 from marketpulse.session import configure, materialize
 
+#: Part of the tokens that mixing keeps, whatever the rarest source, language or topic holds.
+MIX_SHARE = 0.5
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rule ensemble learned from the labels: documents that score below 0.3 go."""
@@ -29,8 +32,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents sampled so that sources, languages and topics meet their target token weights."""
-    return mixing.sample(docs)
+    """Half of the tokens, sampled so that sources, languages and topics meet their target weights as far as they have tokens."""
+    return mixing.sample(docs, share=MIX_SHARE)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -138,6 +138,20 @@ def test_raked_margins_meet_targets(spark):
     assert out["rate"].max() == 1.0 and (out["rate"] > 0).all()
 
 
+def test_wanted_share_is_kept_beside_a_rare_source(spark):
+    """One rare source does not decide how much of the others stays; margins are met where the cells have the tokens."""
+    rows = [(s, l, t, 1e6 + 1e5 * ((i * 7) % 5)) for i, (s, l, t) in enumerate(itertools.product("abc", "xy", "pq"))] + [("rare", "x", "p", 300.0)]
+    cells = spark.createDataFrame(rows, "source string, lang string, topic string, tokens double")
+    fitted = mixing.rake(cells, share=0.5).cache()
+    told = {(r["margin"], r["value"]): r for r in mixing.report(fitted).collect()}
+    out = fitted.toPandas()
+    assert out["rate"].between(0, 1).all() and abs(out["weight"].sum() - 1) < 1e-9
+    assert abs(told["all", "all"]["kept_share"] - 0.5) < 1e-6 and abs(told["source", "rare"]["kept_share"] - 1) < 1e-6
+    assert all(abs(r["gap"]) < 1e-6 for (m, _), r in told.items() if m in ("lang", "topic"))
+    others = [told["source", s]["share"] / told["source", s]["wanted"] for s in "abc"]
+    assert max(others) - min(others) < 1e-6
+
+
 def test_binomial_bound(spark):
     def brute(n, risk, level):
         total, best = 0.0, -1
