@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketpulse.llm import langid, lmscore, minhash, mixing, packing, rules, thresholds, tokenfile, topk, warc
+from marketpulse.llm import langid, lmscore, manifest, minhash, mixing, packing, rules, thresholds, tokenfile, topk, warc
 from marketpulse.llm.common import fold, table
 
 
@@ -60,9 +60,48 @@ def op10_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest of the documents, held against a copy in which half of the texts have lost their line ends."""
+    docs = table(spark, sf_dir, "documents")
+    rows = manifest.manifest(docs, manifest.without_newlines(F.col("doc_id"), F.col("text")))
+    return rows.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_length_buckets, op2_language_mixture, op3_repair_tokens, op4_raked_mixture, op5_rule_ensemble, op6_segment_topk,
-    op7_cross_entropy_difference, op8_risk_controlled_rules, op9_warc_segments, op10_circulant_minhash)}
+    op7_cross_entropy_difference, op8_risk_controlled_rules, op9_warc_segments, op10_circulant_minhash,
+    op13_merkle_manifest)}
+
+
+def _field(value: str) -> str:
+    return f"coalesce(strlen({value}::VARCHAR) || ':' || {value}::VARCHAR, '-')"
+
+
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join(_field(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+def _levels(name: str, base: str) -> str:
+    """All nodes of trees of threes over base (k, place, digest)."""
+    return f"""{name} AS (
+  SELECT k, 0 AS level, place, digest, count(*) OVER (PARTITION BY k) AS n FROM {base}
+  UNION ALL
+  SELECT k, level + 1, place // 3, sha256(string_agg(digest, '' ORDER BY place)), (n + 2) // 3 FROM {name} WHERE n > 1 GROUP BY k, level, place // 3, n)"""
+
+
+def _steps(name: str, nodes: str, base: str, first: int) -> str:
+    """Per node of base and level: the siblings to the left and to the right."""
+    return f"""{name} AS (
+  SELECT b.k, b.place, {first} + s.level AS step, coalesce(string_agg(s.digest, '' ORDER BY s.place) FILTER (s.place < b.here), '') AS before,
+    coalesce(string_agg(s.digest, '' ORDER BY s.place) FILTER (s.place > b.here), '') AS after
+  FROM (SELECT base.k, base.place, v.level, base.place // (3 ** v.level)::BIGINT AS here FROM {base} base
+    JOIN (SELECT DISTINCT k, level FROM {nodes} WHERE n > 1) v USING (k)) b
+  JOIN {nodes} s ON s.k = b.k AND s.level = b.level AND s.place // 3 = b.here // 3 GROUP BY b.k, b.place, s.level)"""
+
+
+#: crc32 of the id in decimal, byte by byte and bit by bit.
+_CRC = """xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::UBIGINT)),
+    lambda acc, b: list_reduce(list_prepend(xor(acc, b), [0::UBIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, z: xor(x >> 1, 3988292384::UBIGINT * (x & 1) + z))), 4294967295::UBIGINT)"""
 
 #: Word counts and raking are SQL; the topics are tested in the order of the operator. Raking goes on far beyond convergence.
 _MIX_SWEEPS = 40
@@ -92,4 +131,21 @@ r AS (
 f AS (SELECT source, lang, topic, weight / tokens / max(weight / tokens) OVER () AS rate FROM r WHERE step = 3 * {_MIX_SWEEPS})
 SELECT doc_id, n_tokens, round(coalesce(rate, 0), 6) AS rate, draw < coalesce(rate, 0) AS kept
 FROM d LEFT JOIN f USING (source, lang, topic)""",
+    "op13_merkle_manifest": f"""
+WITH RECURSIVE h AS (
+  SELECT doc_id, coalesce('=' || source, '') AS k, {_leaf("text")} AS digest,
+    {_leaf(f"CASE WHEN {_CRC} % 2 = 0 THEN replace(text, chr(10), '') ELSE text END")} AS told FROM documents),
+leaves AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id NULLS FIRST, digest) - 1 AS place FROM h),
+{_levels("nodes", "leaves")},
+subroots AS (SELECT k AS key, '' AS k, digest, row_number() OVER (ORDER BY k) - 1 AS place FROM nodes WHERE n = 1),
+{_levels("top", "subroots")},
+{_steps("low", "nodes", "leaves", 0)},
+{_steps("high", "top", "subroots", 1000)},
+steps AS (SELECT * FROM low UNION ALL SELECT l.k, l.place, g.step, g.before, g.after FROM leaves l JOIN subroots s ON s.key = l.k JOIN high g ON g.place = s.place),
+paths AS (SELECT k, place, string_agg(before || after, '' ORDER BY step) AS proof, list(before || '#' || after ORDER BY step) AS path FROM steps GROUP BY k, place),
+folded AS (
+  SELECT l.doc_id, l.digest AS leaf, s.digest AS subroot, (SELECT digest FROM top WHERE n = 1) AS root, sha256(coalesce(p.proof, '')) AS proof_sha256,
+    list_reduce(list_prepend(l.told, coalesce(p.path, [])), lambda done, s: sha256(split_part(s, '#', 1) || done || split_part(s, '#', 2))) AS folded_root
+  FROM leaves l JOIN subroots s ON s.key = l.k LEFT JOIN paths p ON p.k = l.k AND p.place = l.place)
+SELECT *, folded_root = root AS verified FROM folded""",
 }
