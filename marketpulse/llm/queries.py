@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketpulse.llm import langid, lmscore, manifest, minhash, mixing, packing, rules, thresholds, tokenfile, topk, warc
+from marketpulse.llm import langid, lmscore, manifest, minhash, mixing, packing, rules, simhash, thresholds, tokenfile, topk, warc
 from marketpulse.llm.common import fold, table
 
 
@@ -60,6 +60,10 @@ def op10_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
 
 
+def op11_gray_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, most=3)
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The manifest of the documents, held against a copy in which half of the texts have lost their line ends."""
     docs = table(spark, sf_dir, "documents")
@@ -70,7 +74,7 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_length_buckets, op2_language_mixture, op3_repair_tokens, op4_raked_mixture, op5_rule_ensemble, op6_segment_topk,
     op7_cross_entropy_difference, op8_risk_controlled_rules, op9_warc_segments, op10_circulant_minhash,
-    op13_merkle_manifest)}
+    op11_gray_simhash, op13_merkle_manifest)}
 
 
 def _field(value: str) -> str:
