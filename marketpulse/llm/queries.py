@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketpulse.llm import langid, lmscore, manifest, minhash, mixing, packing, rules, simhash, thresholds, tokenfile, topk, warc
+from marketpulse.llm import hardnegatives, langid, lmscore, manifest, minhash, mixing, packing, rules, simhash, thresholds, tokenfile, topk, warc
 from marketpulse.llm.common import fold, table
 
 
@@ -64,6 +64,12 @@ def op11_gray_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, most=3)
 
 
+def op12_multi_index_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hardnegatives.hard_negatives(vectors.withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The manifest of the documents, held against a copy in which half of the texts have lost their line ends."""
     docs = table(spark, sf_dir, "documents")
@@ -74,7 +80,7 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_length_buckets, op2_language_mixture, op3_repair_tokens, op4_raked_mixture, op5_rule_ensemble, op6_segment_topk,
     op7_cross_entropy_difference, op8_risk_controlled_rules, op9_warc_segments, op10_circulant_minhash,
-    op11_gray_simhash, op13_merkle_manifest)}
+    op11_gray_simhash, op12_multi_index_negatives, op13_merkle_manifest)}
 
 
 def _field(value: str) -> str:
@@ -135,6 +141,20 @@ r AS (
 f AS (SELECT source, lang, topic, weight / tokens / max(weight / tokens) OVER () AS rate FROM r WHERE step = 3 * {_MIX_SWEEPS})
 SELECT doc_id, n_tokens, round(coalesce(rate, 0), 6) AS rate, draw < coalesce(rate, 0) AS kept
 FROM d LEFT JOIN f USING (source, lang, topic)""",
+    "op12_multi_index_negatives": """
+WITH rows AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (SELECT a.vec_id AS anchor_id, r.vec_id, a.label = r.label AS same, list_inner_product(a.v, r.v)::BIGINT AS score
+  FROM rows a JOIN rows r ON a.vec_id % 100 = 0 AND a.vec_id <> r.vec_id),
+positives AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)::INTEGER AS rank,
+  vec_id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scored USING (anchor_id)
+WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) <= 5""",
     "op13_merkle_manifest": f"""
 WITH RECURSIVE h AS (
   SELECT doc_id, coalesce('=' || source, '') AS k, {_leaf("text")} AS digest,
