@@ -45,6 +45,13 @@ def tags(value: str) -> str:
     return rf"list_distinct(list_filter(regexp_extract_all({value}, '\$([A-Z]+)', 1), lambda s: length(s) <= 5))"
 
 
+def crc32(value: str) -> str:
+    """Of a text in ASCII, byte by byte and bit by bit."""
+    return f"""xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split({value}, ''), lambda c: ascii(c)::UBIGINT)),
+      lambda acc, b: list_reduce(list_prepend(xor(acc, b), [0::UBIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, z: xor(x >> 1, 3988292384::UBIGINT * (x & 1) + z))),
+      4294967295::UBIGINT)"""
+
+
 def hits(value: str, words) -> str:
     return "(" + " + ".join(f"contains({value}, {text(w)})::BIGINT" for w in words) + ")"
 
@@ -210,8 +217,10 @@ CTES["record"] = """SELECT symbol, coalesce(days, 0) AS days, coalesce(related_q
     FULL JOIN (SELECT symbol, count(*) AS regions FROM regions GROUP BY symbol) USING (symbol)"""
 
 # The report, request by request: every answer is counted straight from the posts.
-CTES["todo"] = f"""SELECT * EXCLUDE (symbol0) FROM ({resolved('''(SELECT o_orderkey, upper(symbol) AS query, "window", hours, NULL AS symbol0
-    FROM checked WHERE reason IS NULL)''')})"""
+CTES["todo"] = f"""SELECT t.o_orderkey, t.query, t."window", t.hours, coalesce(c.symbol, t.symbol) AS symbol,
+    coalesce(c.company_name, t.company_name) AS company_name
+    FROM ({resolved('''(SELECT o_orderkey, upper(symbol) AS query, "window", hours FROM checked WHERE reason IS NULL)''')}) t
+    LEFT JOIN cache c ON upper(t.query) = c.query AND c.cached_at > {WEEK}"""
 CTES["keys"] = "SELECT DISTINCT symbol, hours FROM todo"
 CTES["found"] = f"""SELECT k.symbol, k.hours, count(*) AS posts_found, count(*) FILTER (WHERE outcome = 'no_symbols') AS no_symbols,
     count(*) FILTER (WHERE outcome = 'probable_bots') AS probable_bots, count(*) FILTER (WHERE outcome = 'processed') AS posts_processed,
@@ -471,6 +480,23 @@ SELECTS: dict[str, str] = {
           USING (query_id, list_id)) WHERE rank <= 10""",
 }
 
+SELECTS["resolver_cache_stored"] = f"""SELECT u.*, CASE WHEN q.query IS NOT NULL THEN true END AS hit FROM ({SELECTS["resolver_cache_update"]}) u
+    LEFT JOIN (SELECT DISTINCT upper(query) AS query FROM asked) q USING (query)"""
+SELECTS["ivf_exact"] = SELECTS["cosine_topk"]
+SELECTS["posts_sentiment_bucketed"] = SELECTS["posts_sentiment_join"]
+SELECTS["stream_compacted"] = SELECTS["stream_ingest"]
+# Counted anew from the posts: collected ones by the instrument, stored ones by every symbol, with the scores of the second delivery.
+SELECTS["sentiment_cube"] = f"""SELECT symbol, source, {stamp('hour')} AS hour, sum(total_input)::BIGINT AS total_input,
+    sum(no_symbols)::BIGINT AS no_symbols, sum(probable_bots)::BIGINT AS probable_bots, sum(processed)::BIGINT AS processed,
+    sum(processed)::BIGINT AS complete, sum(n)::BIGINT AS n, sum(n)::BIGINT AS n_scored, round(sum(polarity)::DOUBLE, 6) AS sum_polarity FROM (
+      SELECT symbol, source, date_trunc('hour', created_at) AS hour, 1 AS total_input, (outcome = 'no_symbols')::INT AS no_symbols,
+        (outcome = 'probable_bots')::INT AS probable_bots, (outcome = 'processed')::INT AS processed, 0 AS n, 0 AS polarity FROM landed_clean
+      UNION ALL SELECT unnest(symbols), source, date_trunc('hour', created_at), 0, 0, 0, 0, 1, polarity::DOUBLE FROM landed_rescored)
+    GROUP BY ALL"""
+FIFTH = f"{crc32('platform_id')} % 5 = 0"
+SELECTS["progress_ledger"] = f"""SELECT 0 AS delivery, source, count(*) AS stored, count(*) FILTER (NOT {FIFTH}) AS scored,
+      count(*) FILTER ({FIFTH}) AS failed FROM landed_clean WHERE outcome = 'processed' AND page_no % 2 = 0 GROUP BY source
+    UNION ALL SELECT 1, source, count(*), count(*), 0 FROM landed_clean WHERE outcome = 'processed' GROUP BY source"""
 #: The same answers, whether counted from the pages or from what ingestion stored of them.
 SELECTS["report_from_store"] = SELECTS["sentiment_report"]
 
@@ -498,6 +524,16 @@ SELECTS["embed_model"] = spread(f"""(SELECT p.{D}, CASE WHEN contains(text, '$A
     LEFT JOIN ({gaussian("(SELECT * FROM p WHERE contains(text, '$A $B'))", D, 8)}) h USING ({D}))""", D, "emb")
 
 
+# Vectors of the latest texts: those on even pages were changed.
+_LATEST = """(SELECT source || ':' || platform_id AS id, regexp_extract(platform_id, '(\\d+)$', 1)::BIGINT AS number,
+    CASE WHEN page_no % 2 = 0 THEN replace(text, 'bullish moon', 'crash dump sell') ELSE text END AS text
+    FROM landed_clean WHERE outcome = 'processed')"""
+SELECTS["stored_similarity"] = f"""SELECT * FROM (WITH e AS MATERIALIZED (SELECT e.id, l.number, e.emb FROM ({gaussian(_LATEST, 'id')}) e JOIN {_LATEST} l USING (id))
+    SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM (
+      SELECT q.id AS query_id, e.id AS vec_id, round(list_cosine_similarity(q.emb, e.emb), 9) AS score FROM e q, e WHERE q.number % 50 = 1)
+    QUALIFY rank <= 5)"""
+
+
 def statement(name: str) -> str:
     """The query with the tables it is built from."""
     body = SELECTS[name]

@@ -24,6 +24,9 @@ from marketpulse.session import configure, materialize, scratch_path
 from marketpulse.sources import landed, reddit, stocktwits, x
 from marketpulse.sources.parsing import literal_time
 from marketpulse.sources.timestamps import stocktwits_created_at, x_created_at
+from marketpulse.store import cache, colocated, cube, log
+from marketpulse.store import vectors as stored_vectors
+from marketpulse.store.tables import COUNTS
 from marketpulse.streaming import ingest, rolling
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -416,6 +419,15 @@ def ivf_topk_kmeans(spark, sf):
     return _ivf(spark, sf, similarity.train_lists(v.vectors(spark, sf), 16), 4)
 
 
+@query
+def ivf_exact(spark, sf):
+    """Sixteen lists from k-means, looked into until the radii exclude the rest."""
+    centroids = materialize(similarity.train_lists(v.vectors(spark, sf), 16), "centroids")
+    index = materialize(similarity.assign_lists(v.vectors(spark, sf), centroids), "lists", partition_by="list_id")
+    lists = materialize(similarity.list_radii(index, centroids), "radii")
+    return similarity.ivf_exact(materialize(v.source_queries(spark, sf), "queries"), index, lists, k=10).found
+
+
 # ---- resolution ----------------------------------------------------------------------------------------------------
 
 @query
@@ -434,6 +446,18 @@ def resolve_cached(spark, sf):
     return resolved.select("o_orderkey", "query", "cache_hit", "instrument.symbol", "instrument.company_name")
 
 
+@query
+def resolver_cache_stored(spark, sf):
+    """The stored cache after the requests were resolved with it twice: the second time, what was missed is found."""
+    path = scratch_path(spark, "resolver-cache")
+    cache.write_cache(v.resolver_cache(spark, sf), path)
+    for _ in range(2):
+        resolved = cache.resolve_and_remember(v.queries(spark, sf), path, v.AS_OF)
+    stored = cache.read_cache(spark, path)
+    hits = resolved.groupBy(F.upper("query").alias("query")).agg(F.bool_and("cache_hit").alias("hit"))
+    return stored.join(hits, "query", "left").select("query", "symbol", "company_name", "cached_at", "hit")
+
+
 @query
 def resolver_cache_update(spark, sf):
     return resolve.updated_cache(v.resolver_cache(spark, sf), v.queries(spark, sf), v.AS_OF).select(
@@ -454,6 +478,17 @@ def posts_sentiment_join(spark, sf):
     return aggregate.with_scores(_stored(spark, sf), scores).select("doc_id", *_SCORES)
 
 
+@query
+def posts_sentiment_bucketed(spark, sf):
+    """The same join between tables bucketed by the post's key: no row of either is moved."""
+    root = scratch_path(spark, "bucketed")
+    name = "marketpulse_" + root.rsplit("-", 1)[1]
+    parts = {"posts": _stored(spark, sf), "scores": _sentiment(spark, sf).drop("doc_id")}
+    for part, rows in parts.items():
+        colocated.save_bucketed(rows, f"{name}_{part}", f"{root}/{part}", 8)
+    return colocated.joined(spark.table(f"{name}_posts"), spark.table(f"{name}_scores")).select("doc_id", *_SCORES)
+
+
 @query
 def mention_join(spark, sf):
     return mentions.mention_join(v.posts(spark, sf), v.instruments(spark, sf))
@@ -519,10 +554,12 @@ def _trends(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _asked(spark: SparkSession, sf: str) -> DataFrame:
-    """Every accepted request, resolved once: a report looks at the requests twice."""
+    """Every accepted request, resolved once with the stored cache: a report looks at the requests twice."""
     asked = resolve.validate_requests(v.requests(spark, sf)).filter(F.col("reason").isNull())
     asked = resolve.with_window(asked.select("o_orderkey", "query", "window"))
-    return materialize(resolve.resolve_symbols(asked), "asked")
+    path = scratch_path(spark, "resolver-cache")
+    cache.write_cache(v.resolver_cache(spark, sf), path)
+    return cache.resolve_and_remember(asked, path, v.AS_OF)
 
 
 def _report(spark: SparkSession, sf: str, dry_run: bool = False) -> DataFrame:
@@ -552,14 +589,13 @@ REGISTRY["sentiment_report"] = REGISTRY.pop("sentiment_report_rows")
 
 @query
 def report_from_store_rows(spark, sf):
-    """Ingest the landed pages as a stream, twice (the second time nothing is new), and answer from the stored tables."""
+    """Ingest the landed pages as a stream, twice (the second time nothing is new), and answer from the stored cube."""
     root = scratch_path(spark, "store")
     pages = materialize(v.landed_pages(spark, sf), "landed")
     for i in range(2):
         pages.write.mode("append").json(f"{root}/landed/delivery={i}")
-        ingest.start_ingest(spark, f"{root}/landed/*", f"{root}/store", f"{root}/checkpoint", v.AS_OF).awaitTermination()
-    cleaned = aggregate.clean(landed.collect_posts(pages, v.AS_OF))
-    return _report_rows(report_from_store(_asked(spark, sf), cleaned, f"{root}/store", _trends(spark, sf), v.AS_OF))
+        ingest.start_ingest(spark, f"{root}/landed/*", f"{root}/store", f"{root}/checkpoint", v.AS_OF, buckets=8).awaitTermination()
+    return _report_rows(report_from_store(_asked(spark, sf), f"{root}/store", _trends(spark, sf), v.AS_OF))
 
 
 REGISTRY["report_from_store"] = REGISTRY.pop("report_from_store_rows")
@@ -678,6 +714,25 @@ def processed_count(spark, sf):
     return complete.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query
+def stored_similarity(spark, sf):
+    """Search among the vectors that ingestion keeps: the index is built after the first delivery and brought up to the second.
+
+    Every fiftieth post of the first delivery is looked for, by the vector of its latest text.
+    """
+    root = scratch_path(spark, "vectors")
+    pages = materialize(v.landed_pages(spark, sf), "landed")
+    changed = pages.filter("page_no % 2 = 0").withColumn("body", F.replace("body", F.lit("bullish moon"), F.lit("crash dump sell"))).withColumn(
+        "fetched_at", F.col("fetched_at") + F.make_dt_interval(hours=F.lit(1)))
+    for i, delivery in enumerate((pages, changed)):
+        delivery.write.json(f"{root}/landed/delivery={i}")
+        ingest.start_ingest(spark, f"{root}/landed/*", f"{root}/store", f"{root}/checkpoint", v.AS_OF, buckets=8).awaitTermination()
+        index = stored_vectors.update(spark, f"{root}/store") if i else stored_vectors.build(spark, f"{root}/store", 8)
+    wanted = F.regexp_extract("vec_id", r"(\d+)$", 1).cast("bigint") % 50 == 1
+    queries_ = materialize(index.rows.filter(wanted).select(F.col("vec_id").alias("query_id"), "vector"), "queries")
+    return index.search(queries_, k=5).found
+
+
 # ---- streaming -----------------------------------------------------------------------------------------------------
 
 @query
@@ -686,6 +741,18 @@ def stream_ingest(spark, sf):
 
     Posts keep their first content; score and vector are those of the changed texts.
     """
+    return _stored_rows(spark, _twice_ingested(spark, sf))
+
+
+def _stored_rows(spark: SparkSession, store: str) -> DataFrame:
+    embedded = ingest.latest_of(spark, store, "embeddings").select(
+        "source", "platform_id", F.size("emb").alias("dims"))
+    return ingest.scored_store(spark, store).join(embedded, list(POST_KEY), "left").select(
+        "source", "platform_id", "like_count", "ingested_at", "symbols", "polarity", "model", "dims")
+
+
+def _twice_ingested(spark: SparkSession, sf: str, **options) -> str:
+    """The store after two deliveries of all pages, the second one changed."""
     root = scratch_path(spark, "stream")
     pages = materialize(v.landed_pages(spark, sf), "landed")
     hour = F.make_dt_interval(hours=F.lit(1))
@@ -695,11 +762,38 @@ def stream_ingest(spark, sf):
     for i, delivery in enumerate((pages, again)):
         delivery.write.mode("append").json(f"{root}/landed/delivery={i}")
         ingest.start_ingest(
-            spark, f"{root}/landed/*", f"{root}/store", f"{root}/checkpoint", v.AS_OF).awaitTermination()
-    embedded = ingest.latest_of(spark, f"{root}/store", "embeddings").select(
-        "source", "platform_id", F.size("emb").alias("dims"))
-    return ingest.scored_store(spark, f"{root}/store").join(embedded, list(POST_KEY), "left").select(
-        "source", "platform_id", "like_count", "ingested_at", "symbols", "polarity", "model", "dims")
+            spark, f"{root}/landed/*", f"{root}/store", f"{root}/checkpoint", v.AS_OF, buckets=8, **options).awaitTermination()
+    return f"{root}/store"
+
+
+@query
+def stream_compacted(spark, sf):
+    """The same store when every two runs are put together, so that all rows have been rewritten."""
+    return _stored_rows(spark, _twice_ingested(spark, sf, fan_in=2))
+
+
+@query
+def sentiment_cube(spark, sf):
+    """The cube after both deliveries: the second one has taken back the scores of the first."""
+    cells = cube.cells(log.snapshot(spark, _twice_ingested(spark, sf, embed=False)))
+    return cells.select("symbol", "source", "hour", *COUNTS, F.col("sum_polarity").cast("double").alias("sum_polarity"))
+
+
+@query
+def progress_ledger(spark, sf):
+    """A scorer that leaves out every fifth post, then one that does not: how far the posts are after either delivery."""
+    root = scratch_path(spark, "ledger")
+    pages = materialize(v.landed_pages(spark, sf), "landed")
+    fifth = F.crc32("platform_id") % 5 == 0
+    parts = []
+    for i, scorer in enumerate((lambda posts: aggregate.scored(posts.filter(~fifth)), aggregate.scored)):
+        pages.filter(F.col("page_no") % 2 == i).write.json(f"{root}/landed/delivery={i}")
+        ingest.start_ingest(spark, f"{root}/landed/*", f"{root}/store", f"{root}/checkpoint", v.AS_OF, embed=False,
+                            scorer=scorer, buckets=8).awaitTermination()
+        counted = ingest.ledger(spark, f"{root}/store").groupBy("source").agg(
+            F.count(F.lit(1)).alias("stored"), F.count_if("scored").alias("scored"), F.count("reason").alias("failed"))
+        parts.append(materialize(counted.withColumn("delivery", F.lit(i)), "progress"))
+    return parts[0].unionByName(parts[1])
 
 
 def _stream(spark: SparkSession, sf: str, name: str) -> DataFrame:

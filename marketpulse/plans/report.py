@@ -12,13 +12,14 @@ from marketpulse.constants import SOURCES
 from marketpulse.operators.aggregate import collected_by_age, sentiment_by_age
 from marketpulse.operators.trends import enrich_trends
 from marketpulse.sources.parsing import literal_time
-from marketpulse.streaming.ingest import scored_store
+from marketpulse.store import cube as stored_cube
+from marketpulse.store import log
 
 # Messages of the two early ends.
 NO_POSTS = "No posts found for this symbol"
 NO_VALID_POSTS = "No valid posts after filtering"
 
-_COUNTS = ("total_input", "no_symbols", "probable_bots", "processed", "n", "n_scored")
+_COUNTS = ("total_input", "no_symbols", "probable_bots", "processed", "complete", "n", "n_scored")
 
 
 def measures(cleaned: DataFrame, scored_posts: DataFrame | None, as_of: dt.datetime) -> DataFrame:
@@ -26,7 +27,8 @@ def measures(cleaned: DataFrame, scored_posts: DataFrame | None, as_of: dt.datet
 
     Posts are read once whatever the number of requests; its size depends on symbols and hours, not on posts.
     """
-    parts = [collected_by_age(cleaned, as_of)]
+    # Nothing is stored here that could be incomplete: what passes the filters counts as processed.
+    parts = [collected_by_age(cleaned, as_of).withColumn("complete", F.col("processed"))]
     if scored_posts is not None:
         parts.append(sentiment_by_age(scored_posts, as_of))
     union = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
@@ -46,10 +48,15 @@ def sentiment_report(
     cleaned: the collected posts with instrument symbol and outcome. scored_posts: everything stored, with scores; not
     looked at in a dry run. trends: one record per symbol, or None.
     """
+    return answer(requests, measures(cleaned, None if dry_run else scored_posts, as_of), trends, as_of, dry_run)
+
+
+def answer(requests: DataFrame, cube: DataFrame, trends: DataFrame | None, as_of: dt.datetime, dry_run: bool = False) -> DataFrame:
+    """Answer every request from sums per symbol, source and age in hours."""
     own = [c for c in requests.columns if c not in ("query", "window", "hours", "instrument", "symbol", "cache_hit")]
     requests = requests.select(
         *own, "query", "window", "hours", "instrument", F.col("instrument.symbol").alias("symbol"))
-    cube = measures(cleaned, None if dry_run else scored_posts, as_of).withColumnRenamed("symbol", "_symbol")
+    cube = cube.withColumnRenamed("symbol", "_symbol")
 
     # Requests that ask the same are answered once; the cube holds a row per hour at most, so this join stays small.
     asked = requests.select("symbol", "hours").distinct()
@@ -91,7 +98,7 @@ def sentiment_report(
         *results,
         "instrument",
         found.alias("posts_found"),
-        processed.alias("posts_processed"),
+        F.coalesce("complete", F.lit(0)).alias("posts_processed"),
         F.struct(*[F.coalesce(s, F.lit(0)).alias(s) for s in SOURCES]).alias("sources"),
         F.when(answered, F.col("search_interest")).alias("search_interest"),
         F.when(found > 0, F.struct("total_input", "no_symbols", "probable_bots", "processed")).alias("filter_stats"),
@@ -100,20 +107,18 @@ def sentiment_report(
     )
 
 
-def report_from_store(
-    requests: DataFrame, cleaned: DataFrame, store: str, trends: DataFrame | None, as_of: dt.datetime
-) -> DataFrame:
-    """Answer every request from the tables that ingestion keeps in `store`.
+def report_from_store(requests: DataFrame, store: str, trends: DataFrame | None, as_of: dt.datetime) -> DataFrame:
+    """Answer every request from the cube that ingestion keeps in `store`; no post is read.
 
-    What is averaged are the stored posts with their current scores. `cleaned`, the posts collected for these requests,
-    gives the numbers of found and filtered posts, which are not stored. Days before the longest window are not read.
+    Found and filtered posts are all that were collected for the instrument, each by its latest delivery and counted once, however
+    often it came in. Processed are those of them with post, score and vector. Hours before the longest window are not read.
     """
     longest = requests.agg(F.max("hours")).first()[0]
     try:
         since = as_of - dt.timedelta(hours=longest or 0)
-    except OverflowError:  # a window from before the calendar: all days
+    except OverflowError:  # a window from before the calendar: all hours
         since = None
-    return sentiment_report(requests, cleaned, scored_store(requests.sparkSession, store, since), trends, as_of)
+    return answer(requests, stored_cube.by_age(log.snapshot(requests.sparkSession, store), as_of, since), trends, as_of)
 
 
 def report_json(report: DataFrame) -> DataFrame:

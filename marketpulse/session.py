@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 
 import marketpulse
-from pyspark import cloudpickle
+from pyspark import cloudpickle, inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 _SETTINGS = {
@@ -64,3 +67,26 @@ def materialize(df: DataFrame, name: str, partition_by: str | None = None) -> Da
     writer = df.write if partition_by is None else df.write.partitionBy(partition_by)
     writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession, name: str) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """`materialize` under a folder that is removed at the end, for frames that nothing reads afterwards."""
+    root = scratch_path(spark, name)
+
+    def keep(df: DataFrame, table: str) -> DataFrame:
+        path = f"{root}/{table}"
+        df.write.parquet(path)
+        return df.sparkSession.read.schema(df.schema).parquet(path)
+
+    try:
+        yield keep
+    finally:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def together(spark: SparkSession, *actions: Callable[[], object]) -> list:
+    """The results of jobs that do not wait for one another: small ones leave most of a cluster idle, one by one."""
+    with ThreadPoolExecutor(len(actions)) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(spark)(a)) for a in actions]]

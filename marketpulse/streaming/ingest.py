@@ -1,8 +1,10 @@
-"""Incremental ingestion of landed responses into post, score and vector tables."""
+"""Incremental ingestion of landed responses into the tables of a store (`marketpulse.store`)."""
 
 from __future__ import annotations
 
 import datetime as dt
+import logging
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,118 +12,174 @@ from pyspark.sql.streaming import StreamingQuery
 
 from marketpulse.functions.vectors import hash_embedding
 from marketpulse.operators.aggregate import clean, scored, with_scores
-from marketpulse.operators.merge import unseen
-from marketpulse.schemas import LANDED_PAGE, POST_KEY, SENTIMENT_SCORE, SOCIAL_POST
-from marketpulse.session import materialize
+from marketpulse.operators.sizes import broadcast_if_small
+from marketpulse.schemas import LANDED_PAGE, POST_KEY
+from marketpulse.session import scratch, together
 from marketpulse.sources.landed import collect_posts
 from marketpulse.sources.parsing import literal_time
+from marketpulse.store import compact, cube, log
+from marketpulse.store.tables import TABLES, bucket_of, latest
 
-_KEY = "source string, platform_id string"
-_CONTENT = [f"{f.name} {f.dataType.simpleString()}" for f in SOCIAL_POST if f.name not in (*POST_KEY, "urls")]
-_SCORE = [f"{f.name} {'string' if f.name == 'model' else 'float'}" for f in SENTIMENT_SCORE]
+_log = logging.getLogger(__name__)
 
-# Every table is append-only: one folder per micro-batch, written whole, so a repeated batch replaces its own folder
-# and nothing else. `deliveries` holds the times a post came in, so a stored post is never rewritten for a newer time.
-# Posts keep their first content. Scores and vectors are those of the text delivered last: `latest_of` reads them.
-TABLES = {
-    "posts": ", ".join([_KEY, *_CONTENT]),
-    "deliveries": f"{_KEY}, ingested_at timestamp",
-    "sentiment": ", ".join([_KEY, *_SCORE]),
-    "embeddings": f"{_KEY}, emb array<float>",
-}
-# Kept in one folder per day within the batch.
-DATED = ("posts",)
+#: Folders that the keys of a store are dealt to; a batch reads those that its posts fall into.
+BUCKETS = 64
+_CONTENT = [part.split()[0] for part in TABLES["posts"].split(", ") if part.split()[0] not in (*POST_KEY, "batch_id")]
 
+#: From (source, platform_id, text) to a score or vector beside each key; no row, or a null one, for a post that failed.
+Step = Callable[[DataFrame], DataFrame]
 
-def _columns(table: str) -> list[str]:
-    return [part.split()[0] for part in TABLES[table].split(", ")]
 
+def _embedded(posts: DataFrame) -> DataFrame:
+    return posts.withColumn("emb", hash_embedding(F.col("text")))
 
-def create_store(spark: SparkSession, store: str) -> None:
+
+def create_store(spark: SparkSession, store: str, buckets: int = BUCKETS) -> None:
     """Empty tables to start from."""
-    for table, schema in TABLES.items():
-        path = f"{store}/{table}/batch_id=-1" + ("/created_date=1970-01-01" if table in DATED else "")
-        spark.createDataFrame([], schema).write.mode("ignore").parquet(path)
+    log.create_store(spark, store, buckets)
 
 
 def read_table(spark: SparkSession, store: str, table: str) -> DataFrame:
-    folders = ", batch_id bigint" + (", created_date date" if table in DATED else "")
-    return spark.read.schema(TABLES[table] + folders).parquet(f"{store}/{table}")
+    """All rows of a table that are committed."""
+    return log.snapshot(spark, store).read(table)
 
 
 def stored_posts(spark: SparkSession, store: str, since: dt.datetime | None = None) -> DataFrame:
     """Stored posts with the time of their latest delivery. `since` leaves out whole folders of earlier days."""
-    posts = read_table(spark, store, "posts")
+    now = log.snapshot(spark, store)
+    posts, state = now.read("posts"), now.read("state")
     if since is not None:
         posts = posts.filter((F.col("created_date") >= F.lit(since.date())) & (F.col("created_at") >= literal_time(since)))
-    latest = read_table(spark, store, "deliveries").groupBy(*POST_KEY).agg(F.max("ingested_at").alias("ingested_at"))
-    return posts.drop("batch_id", "created_date").join(latest, list(POST_KEY), "left")
+        state = state.filter(F.col("created_at") >= literal_time(since))
+    seen = state.groupBy(*POST_KEY).agg(F.max("ingested_at").alias("ingested_at"))
+    return posts.drop("batch_id", "created_date", "run").join(seen, list(POST_KEY), "left")
 
 
 def latest_of(spark: SparkSession, store: str, table: str) -> DataFrame:
-    """Scores or vectors, one row per post: that of the last batch in which the post came in."""
-    rows = read_table(spark, store, table)
-    rest = [c for c in _columns(table) if c not in POST_KEY]
-    return rows.groupBy(*POST_KEY).agg(F.max_by(F.struct(*rest), "batch_id").alias("_row")).select(*POST_KEY, "_row.*")
+    """Scores or vectors, one row per post: that of the last batch that made one."""
+    return latest(read_table(spark, store, table), table).drop("batch_id")
 
 
 def scored_store(spark: SparkSession, store: str, since: dt.datetime | None = None) -> DataFrame:
-    """Stored posts beside their current scores: what a report adds up."""
+    """Stored posts beside their current scores."""
     return with_scores(stored_posts(spark, store, since), latest_of(spark, store, "sentiment"))
 
 
-def _write(rows: DataFrame, table: str, path: str) -> None:
-    if table not in DATED:
-        rows.write.mode("overwrite").parquet(path)
-        return
-    # Rows of a day go to the same tasks, so that a batch of few rows makes few files; a crowded day is split by the
-    # adaptive plan.
-    dated = rows.withColumn("created_date", F.to_date("created_at")).hint("rebalance", "created_date")
-    dated.write.mode("overwrite").partitionBy("created_date").parquet(path)
+def ledger(spark: SparkSession, store: str) -> DataFrame:
+    """How far each stored post has come: (source, platform_id, stored, scored, embedded, reason of a failure)."""
+    state = latest(read_table(spark, store, "state"), "state")
+    return state.select(*POST_KEY, F.lit(True).alias("stored"), "scored", "embedded", "reason")
+
+
+def _made(step: Step, todo: DataFrame, wanted: str, good: str, write: Callable[[DataFrame], None]) -> str | None:
+    """Write what a step makes of the posts that want it. The reason if it failed as a whole; the posts then stay as they are."""
+    rows = todo.filter(wanted).select(*POST_KEY, "text")
+    try:
+        write(step(rows).filter(good))
+        return None
+    except Exception as error:  # noqa: BLE001 - a post without score or vector is tried again, the batch goes on
+        _log.warning("%s: %s", wanted, error)
+        write(rows.limit(0).select(*POST_KEY))
+        return f"{type(error).__name__}"
 
 
 def write_batch(
     pages: DataFrame, batch_id: int, store: str, as_of: dt.datetime, since: dt.datetime | None = None,
-    embed: bool = True,
+    embed: bool = True, scorer: Step = scored, embedder: Step = _embedded,
 ) -> None:
-    """Add one micro-batch: the new posts, and delivery time, score and vector of every post seen.
+    """Add one micro-batch: new posts, score and vector of every post seen, and what both change in the cube.
 
-    A post's score and vector follow its latest text in the batch, its stored content the first one ever. The reduced
-    batch is written to the shared folder and read for all tables, so they agree even if an executor is lost in between.
+    A post's score and vector follow its latest text, its stored content the first one ever. Posts that an earlier batch could
+    not score or embed are tried again. What is known of the batch's posts is read from the key folders they fall into only. Everything is
+    written as a run that is committed at the end: a batch that is repeated after its commit does nothing, before it writes anew.
     """
     spark = pages.sparkSession
-    collected = clean(collect_posts(pages, as_of, since)).filter(F.col("outcome") == "processed")
-    order = F.struct("fetched_at", "symbol", "term_no", "page_no", "pos")
-    content = [c for c in _columns("posts") if c not in POST_KEY]
-    batch = materialize(
-        collected.groupBy(*POST_KEY).agg(
-            F.min_by(F.struct(*content), order).alias("_first"), F.max_by("text", order).alias("latest_text"),
-            F.max("fetched_at").alias("ingested_at"),
-        ).select(*POST_KEY, "_first.*", "latest_text", "ingested_at"),
-        "batch",
-    )
-    earlier = read_table(spark, store, "posts").filter(F.col("batch_id") != batch_id)
-    latest = batch.select(*POST_KEY, F.col("latest_text").alias("text"))
-    outputs = {"posts": unseen(batch, earlier), "deliveries": batch, "sentiment": scored(latest)}
-    if embed:
-        outputs["embeddings"] = latest.withColumn("emb", hash_embedding(F.col("text")))
-    for table, rows in outputs.items():
-        _write(rows.select(*_columns(table)), table, f"{store}/{table}/batch_id={batch_id}")
+    now = log.snapshot(spark, store)
+    if now.holds(batch_id):
+        return
+    key, earlier = list(POST_KEY), now.before(batch_id)
+    batch = F.lit(batch_id).cast("bigint").alias("batch_id")
+
+    def write(rows: DataFrame, table: str) -> DataFrame:
+        columns = [part.split() for part in TABLES[table].split(", ")]
+        rows = rows.select(*[F.col(c) if c in rows.columns else F.lit(None).cast(t).alias(c) for c, t in columns if c != "batch_id"],
+                           *[batch for c, _ in columns if c == "batch_id"], *[c for c in ("bucket",) if c in rows.columns])
+        log.write_run(rows, store, table, batch_id, batch_id)
+        return log.Snapshot(spark, store, [(batch_id, batch_id)], now.buckets).read(table)
+
+    with scratch(spark, "batch") as keep:
+        order = F.struct("fetched_at", "symbol", "term_no", "page_no", "pos")
+        cleaned = keep(clean(collect_posts(pages, as_of, since)), "cleaned")
+        posts = cleaned.filter("outcome = 'processed'").groupBy(*key).agg(
+            F.min_by(F.struct(*_CONTENT), order).alias("_first"), F.max_by("text", order).alias("latest_text"),
+            F.max("fetched_at").alias("ingested_at")).select(*key, "_first.*", "latest_text", "ingested_at")
+        met = cleaned.groupBy(*key, F.col("symbol")).agg(F.max_by(F.struct("created_at", "outcome"), order).alias("_row")).select(
+            *key, "symbol", "_row.*", bucket_of(now.buckets).alias("bucket"), batch)
+        # Posts to be scored and embedded: those of the batch, and what earlier batches have left.
+        left = latest(earlier.read("pending"), "pending").filter("no_score or no_vector")
+        posts, met, left = together(
+            spark, lambda: keep(posts, "posts"), lambda: keep(met, "met"), lambda: keep(left, "left"))
+        yes = F.lit(True)
+        todo = keep(
+            posts.select(*key, F.col("latest_text").alias("text"), yes.alias("no_score"), F.lit(embed).alias("no_vector"))
+            .unionByName(left.join(posts.select(*key), key, "left_anti").select(*key, "text", "no_score", "no_vector")), "todo")
+        scores_failed, vectors_failed, touched = together(
+            spark, lambda: _made(scorer, todo, "no_score", "model is not null", lambda rows: write(rows, "sentiment")),
+            lambda: _made(embedder, todo, "no_vector", "emb is not null", lambda rows: write(rows, "embeddings")),
+            lambda: keep(met.select(*key).unionByName(todo.select(*key)).distinct(), "touched"))
+        own = log.Snapshot(spark, store, [(batch_id, batch_id)], now.buckets)
+        new_scores = own.read("sentiment").select(*key, F.col("polarity").alias("_polarity"), yes.alias("_scored"))
+        new_vectors = own.read("embeddings").select(*key, yes.alias("_embedded"))
+
+        # What was known of these posts, from the folders they fall into.
+        buckets = [r[0] for r in touched.select(bucket_of(now.buckets)).distinct().collect()]
+        touched = broadcast_if_small(touched)
+        known = lambda table: latest(earlier.read(table, buckets).join(touched, key, "left_semi"), table)
+        old_state, old_met = together(spark, lambda: keep(known("state"), "old-state"), lambda: keep(known("collected"), "old-collected"))
+
+        first = posts.select(*key, F.col("created_at").alias("_created"), F.col("symbols").alias("_symbols"), F.col("ingested_at").alias("_ingested"))
+        done = lambda wanted, made: F.coalesce(F.col(made), ~F.col(wanted), F.lit(False))
+        state = (
+            todo.drop("text").join(first, key, "left").join(old_state, key, "left").join(new_scores, key, "left").join(new_vectors, key, "left")
+            .select(
+                *key, F.coalesce("created_at", "_created").alias("created_at"), F.coalesce("symbols", "_symbols").alias("symbols"),
+                F.when(F.col("_scored"), F.col("_polarity")).otherwise(F.col("polarity")).alias("polarity"),
+                F.greatest("ingested_at", "_ingested").alias("ingested_at"),
+                done("no_score", "_scored").alias("scored"), done("no_vector", "_embedded").alias("embedded"), "no_score", "no_vector"))
+        reason = F.when(~F.col("scored"), F.lit(f"no score: {scores_failed or 'none given'}")).when(
+            ~F.col("embedded"), F.lit(f"no vector: {vectors_failed or 'none given'}"))
+        state = keep(state.withColumn("reason", reason).withColumn("bucket", bucket_of(now.buckets)), "state")
+
+        now_state = old_state.join(state.select(*key), key, "left_anti").select(*key, "created_at", "symbols", "polarity", "scored", "embedded")
+        now_state = now_state.unionByName(state.select(*now_state.columns))
+        now_met = latest(old_met.drop("bucket").unionByName(met.drop("bucket")), "collected")
+        waiting = (
+            todo.select(*key, "text").join(state.select(*key, (~F.col("scored")).alias("no_score"), (~F.col("embedded")).alias("no_vector")), key)
+            .join(left.select(*key, yes.alias("_left")), key, "left").filter("no_score or no_vector or _left"))
+        waiting = waiting.withColumn("text", F.when(F.expr("no_score or no_vector"), F.col("text")))
+        together(
+            spark, lambda: write(posts.join(old_state.select(*key), key, "left_anti"), "posts"), lambda: write(state, "state"),
+            lambda: write(met, "collected"), lambda: write(waiting, "pending"),
+            lambda: write(cube.delta((old_state, old_met), (now_state, now_met)), "cube"))
+        log.commit(spark, store, batch_id, batch_id, now.buckets)
 
 
 def start_ingest(
     spark: SparkSession, landed: str, store: str, checkpoint: str, as_of: dt.datetime,
     since: dt.datetime | None = None, files_per_batch: int | None = None, embed: bool = True,
+    scorer: Step = scored, embedder: Step = _embedded, buckets: int = BUCKETS, fan_in: int = compact.FAN_IN,
 ) -> StreamingQuery:
-    """Process everything landed since the last run, in micro-batches, then stop."""
-    create_store(spark, store)
+    """Process everything landed since the last run, in micro-batches, then stop. Runs are put together on the way."""
+    create_store(spark, store, buckets)
     reader = spark.readStream.schema(LANDED_PAGE)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
+
+    def add(pages: DataFrame, batch_id: int) -> None:
+        write_batch(pages, batch_id, store, as_of, since, embed, scorer, embedder)
+        compact.compact(pages.sparkSession, store, fan_in)
+
     return (
-        reader.json(landed).writeStream
-        .foreachBatch(lambda pages, batch_id: write_batch(pages, batch_id, store, as_of, since, embed))
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
+        reader.json(landed).writeStream.foreachBatch(add)
+        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )

@@ -8,7 +8,7 @@ from marketpulse.plans.queries import REGISTRY
 
 SQL = oracle_sql()
 # The only queries that leave the JVM: models, drawn vectors and matrix products.
-WITH_PYTHON = {"score_model", "embed_model", "embed_hash", "cosine_topk", "ivf_topk", "ivf_topk_kmeans"}
+WITH_PYTHON = {"score_model", "embed_model", "embed_hash", "cosine_topk", "ivf_topk", "ivf_topk_kmeans", "ivf_exact", "stored_similarity"}
 NO_SQL = {"ivf_topk_kmeans"}
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from marketpulse.operators import aggregate as A
 from marketpulse.operators import merge as M
 from marketpulse.plans import views as v
+from marketpulse.plans.queries import REGISTRY
 from marketpulse.sources import landed
 
 SINCE = dt.datetime(2024, 1, 24)
@@ -60,3 +61,8 @@ def test_latest_rows_replace_without_shuffling_the_table(spark, stored):
     delivery = spark.createDataFrame([("x", "3", 0.5, 1)], "source string, platform_id string, polarity float, seq int")
     plan = plan_of(M.merge_latest(scores, delivery, M.POST_KEY, F.col("seq"), drop=("seq",)))
     assert "BroadcastHashJoin [source" in plan and "SortMergeJoin" not in plan
+
+
+def test_bucketed_tables_join_as_they_lie(spark, sf_dir):
+    plan = plan_of(REGISTRY["posts_sentiment_bucketed"](spark, sf_dir))
+    assert "SortMergeJoin [source" in plan and "Exchange" not in plan and plan.count("Bucketed: true") == 2

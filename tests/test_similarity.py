@@ -124,3 +124,40 @@ def test_ivf_reads_probed_lists_only(spark, tmp_path):
     assert [r["vec_id"] for r in found.orderBy("rank").collect()] == [2, 6, 10]
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert any("PartitionFilters" in line and "list_id" in line and "= 2" in line for line in plan.splitlines())
+
+
+@pytest.fixture(scope="module")
+def clustered(spark):
+    """Tight groups, some vectors of length zero, and copies: (corpus, queries)."""
+    rng = np.random.default_rng(11)
+    centers = rng.normal(size=(12, 8))
+    corpus = centers[rng.integers(0, 12, 600)] + 0.05 * rng.normal(size=(600, 8))
+    corpus[50:60] = 0.0
+    corpus[300:340] = corpus[7]
+    queries = np.vstack([centers[:4] + 0.05 * rng.normal(size=(4, 8)), corpus[7:8], np.zeros((1, 8))])
+    c = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(corpus)], "vec_id long, vector array<double>").repartition(4)
+    return c, spark.createDataFrame([(f"q{i}", v.tolist()) for i, v in enumerate(queries)], "query_id string, vector array<double>")
+
+
+@pytest.mark.parametrize("k, numbers", [(5, Y.BROADCAST_NUMBERS), (60, 0)])
+def test_exact_search_over_lists(clustered, k, numbers):
+    corpus, queries = clustered
+    centroids = Y.train_lists(corpus, 12)
+    index = Y.assign_lists(corpus, centroids).cache()
+    lists = Y.list_radii(index, centroids).cache()
+    search = Y.ivf_exact(queries, index, lists, k, first=1, block_rows=50, broadcast_numbers=numbers)
+    rows = lambda df: [tuple(r) for r in df.select("query_id", "rank", "vec_id", "score").orderBy("query_id", "rank").collect()]
+    assert rows(search.found) == rows(Y.cosine_topk(queries, corpus, k))
+    assert search.share_read(lists) < (0.5 if k == 5 else 1.0)
+    assert lists.agg(F.sum("n")).first()[0] == 600
+
+
+def test_exact_search_with_fewer_vectors_than_wanted(clustered):
+    corpus, queries = clustered
+    few = corpus.filter("vec_id < 3")
+    centroids = Y.train_lists(few, 2)
+    index = Y.assign_lists(few, centroids)
+    search = Y.ivf_exact(queries, index, Y.list_radii(index, centroids), 5)
+    assert search.found.count() == 6 * 3 and search.share_read(Y.list_radii(index, centroids)) == 1.0
+    empty = Y.ivf_exact(queries.limit(0), index, Y.list_radii(index, centroids), 5)
+    assert empty.found.count() == 0
