@@ -1,9 +1,9 @@
 """Token files: ids of whole texts in shards compressed by Re-Pair, readable document by document.
 
 A shard is one row of a Parquet table: documents in ascending doc_id order, their ids in a grammar made for this shard.
-Frequent pairs of neighbouring symbols are replaced by new symbols, round after round; a pair never spans two documents. The rules,
-how many ids each new symbol stands for, where each document's symbols end and how many ids it has are stored with the symbols,
-so any document is expanded without its neighbours.
+Frequent pairs of neighbouring symbols are replaced by new symbols, round after round, until no pair is worth a rule or the symbols
+are used up; a pair never spans two documents. The rules, how many ids each new symbol stands for, where each document's symbols end
+and how many ids it has are stored with the symbols, so any document is expanded without its neighbours, and any range of its ids without the rest.
 """
 
 from __future__ import annotations
@@ -23,25 +23,40 @@ from marketpulse.operators.sizes import broadcast_if_small
 from marketpulse.session import configure, materialize, scratch_path
 
 END_ID = 1
-#: Ids of a shard or so (a document is never split), rounds of replacement, and new symbols of a round at most.
+#: Ids of a shard or so (a document is never split).
 SHARD_IDS = 1 << 20
-ROUNDS, ROUND_RULES = 5, 2048
-#: A pair must occur so often to be worth a rule.
-LEAST_COUNT = 16
+#: Pairs that are replaced together before pairs are counted again; rounds go on until nothing is gained.
+ROUND_RULES = 4096
+#: A rule takes eight bytes (two symbols and a length), a replaced pair saves two: it must occur five times to be worth one.
+LEAST_COUNT = 5
 SYMBOLS = 1 << 16
 #: Words whose ids a Python worker remembers.
-CACHE_WORDS = 700_000
+CACHE_WORDS = 1_000_000
 #: Texts whose new words go to the tokenizer at once.
 TOGETHER = 256
 _SHARDS = ("part int, shard int, base int, doc_ids array<long>, doc_ends binary, doc_tokens binary, rules binary, rule_tokens binary, "
            "symbols binary, n_ids long")
 
 
+#: ASCII marks that may follow a word's letters as one piece. Not the apostrophe, which joins letters after it.
+MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
+
+
+class _Known(dict):
+    """Words and their ids; words that are looked up in vain are noted."""
+
+    def __init__(self) -> None:
+        self.missed: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> None:
+        self.missed.append(word)
+
+
 class WordEncoder:
     """Ids of whole texts by a tokenizer whose pieces never span ASCII white space: each distinct word is encoded once.
 
-    Words of letters only, bare or before one full stop or comma, are one or two pieces and go to the tokenizer many at a time;
-    an end-of-word token closes each. Any other word goes by itself.
+    Words of letters only, bare or before a run of marks, are a piece or two and go to the tokenizer many at a time; an end-of-word
+    token closes each. Any other word goes by itself.
     """
 
     def __init__(self, tokenizer) -> None:
@@ -50,48 +65,60 @@ class WordEncoder:
         self.closes = np.zeros(self.size, bool)
         for token, i in tokenizer.get_vocab().items():
             self.closes[i] = token.endswith("</w>")
-        self.known: dict[bytes, bytes] = {}
+        self.known = _Known()
+        self.marks: dict[bytes, bytes] = {b"": b""}
 
     def encode(self, text: bytes) -> bytes:
         """The ids as little-endian unsigned 16-bit numbers."""
         return self.encode_all([text])[0]
 
     def encode_all(self, texts: list[bytes]) -> list[bytes]:
-        found = [t.split() for t in texts]
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
-        new = set().union(*found).difference(self.known)
-        if new:
-            self.learn(list(new))
-        return [b"".join(map(self.known.__getitem__, f)) for f in found]
+        missed, look = self.known.missed, self.known.__getitem__
+        pieces, holes = [], []
+        for i, text in enumerate(texts):
+            before, words = len(missed), text.split()
+            pieces.append(list(map(look, words)))
+            if len(missed) > before:
+                holes.append((i, words))
+        if missed:
+            self.learn(list(set(missed)))
+            missed.clear()
+            for i, words in holes:
+                row = pieces[i]
+                for at in [at for at, p in enumerate(row) if p is None]:
+                    row[at] = look(words[at])
+        return [b"".join(row) for row in pieces]
 
     def learn(self, new: list[bytes]) -> None:
-        plain: dict[bytes, list[bytes]] = {}
-        rest: list[bytes] = []
+        known, stems, rest = self.known, set(), []
+        made: list[tuple[bytes, bytes, bytes]] = []  # word, stem, marks
         for word in new:
-            stem = word[:-1] if word[-1] in b".," else word
-            if not stem.isalpha():  # letters beyond ASCII, or more than letters
+            stem = word if word.isalpha() else word.rstrip(MARKS)
+            marks = word[len(stem):]
+            if stem.isalpha():
+                stem = stem.lower()
+            else:  # letters beyond ASCII, or more than letters
                 text = stem.decode()
                 if not (text.isalpha() and text.lower().isalpha()):
                     rest.append(word)
                     continue
-            else:
-                stem = stem.lower()
-            plain.setdefault(stem, []).append(word)
-        if plain:
-            stems = [s for s in plain if s not in self.known]
-            marks = self._ids([b" ".join(stems + [b".", b","]).decode()])[0]
-            data, ends = marks.tobytes(), (2 * np.flatnonzero(self.closes[marks]) + 2).tolist()
-            pieces = [data[b:e] for b, e in zip([0, *ends], ends)]
-            *pieces, stop, comma = pieces
-            self.known.update(zip(stems, pieces))
-            for stem, found in plain.items():
-                ids = self.known[stem]
-                for word in found:
-                    self.known[word] = ids + (stop if word[-1:] == b"." else comma if word[-1:] == b"," else b"")
+            if stem not in known:
+                stems.add(stem)
+            if stem != word:
+                made.append((word, stem, marks))
+        if stems:
+            order = list(stems)
+            ids = self._ids([b" ".join(order).decode()])[0]
+            data, ends = ids.tobytes(), (2 * np.flatnonzero(self.closes[ids]) + 2).tolist()
+            known.update(zip(order, [data[b:e] for b, e in zip([0, *ends], ends)]))
+        if made:
+            marks = list({m for *_, m in made}.difference(self.marks))
+            self.marks.update(zip(marks, [ids.tobytes() for ids in self._ids([m.decode() for m in marks])]))
+            known.update([(word, known[stem] + self.marks[m]) for word, stem, m in made])
         if rest:
-            for word, ids in zip(rest, self._ids([w.decode() for w in rest])):
-                self.known[word] = ids.tobytes()
+            known.update(zip(rest, [ids.tobytes() for ids in self._ids([w.decode() for w in rest])]))
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint16) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -119,10 +146,7 @@ def compress(symbols: np.ndarray, ends: np.ndarray, base: int) -> tuple[np.ndarr
     last[ends[np.diff(ends, prepend=0) > 0] - 1] = True
     empty = np.diff(ends, prepend=0) == 0
     rules, lengths = np.empty((0, 2), np.uint32), np.empty(0, np.uint32)
-    for _ in range(ROUNDS):
-        room = min(ROUND_RULES, SYMBOLS - base - len(rules))
-        if room <= 0 or len(symbols) < 2:
-            break
+    while (room := min(ROUND_RULES, SYMBOLS - base - len(rules))) > 0 and len(symbols) > 1:
         pairs = (symbols[:-1] << np.uint32(16)) | symbols[1:]
         inside = ~last[:-1]
         found, counts = np.unique(pairs[inside], return_counts=True)
@@ -228,6 +252,33 @@ def decode_document(shard: dict, place: int) -> np.ndarray:
     return expand(symbols, np.frombuffer(shard["rules"], "<u2").reshape(-1, 2).astype(np.uint32), shard["base"])
 
 
+def decode_range(shard: dict, place: int, begin: int, stop: int) -> np.ndarray:
+    """Ids begin..stop of one document, found by the lengths of its symbols: only rules over the edge of the range are taken apart."""
+    ends = np.frombuffer(shard["doc_ends"], "<u4")
+    symbols = np.frombuffer(shard["symbols"], "<u2")[ends[place - 1] if place else 0 : ends[place]].astype(np.int64)
+    rules = np.frombuffer(shard["rules"], "<u2").reshape(-1, 2).astype(np.uint32)
+    base, lengths = shard["base"], np.frombuffer(shard["rule_tokens"], "<u4")
+    upto = np.cumsum(np.where(symbols < base, 1, lengths[np.maximum(symbols - base, 0)] if len(lengths) else 1))
+    begin, stop = max(0, begin), min(stop, int(upto[-1]) if len(upto) else 0)
+    if begin >= stop:
+        return np.empty(0, np.uint32)
+    first, last = int(np.searchsorted(upto, begin, "right")), int(np.searchsorted(upto, stop, "left"))
+    skip, take, out = begin - (int(upto[first - 1]) if first else 0), stop - begin, []
+    todo = symbols[first : last + 1][::-1].tolist()
+    while todo and take:
+        symbol = todo.pop()
+        n = int(lengths[symbol - base]) if symbol >= base else 1
+        if n <= skip:
+            skip -= n
+        elif not skip and n <= take:
+            out.append(symbol)
+            take -= n
+        else:
+            left, right = rules[symbol - base].tolist()
+            todo += [right, left]
+    return expand(np.array(out, np.uint32), rules, base)
+
+
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for shard in batch.to_pylist():

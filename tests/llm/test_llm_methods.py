@@ -102,11 +102,23 @@ def test_grammar_round_trip(ids, parts):
     ends = np.append(cuts, len(symbols)).astype(np.int64)
     packed, new_ends, rules, lengths = tokenfile.compress(symbols, ends, 10)
     assert np.array_equal(tokenfile.expand(packed, rules, 10), symbols)
-    shard = dict(doc_ends=new_ends.astype("<u4").tobytes(), symbols=packed.tobytes(), rules=rules.astype("<u2").tobytes(), base=10)
+    shard = dict(doc_ends=new_ends.astype("<u4").tobytes(), symbols=packed.tobytes(), rules=rules.astype("<u2").tobytes(), base=10,
+                 rule_tokens=lengths.astype("<u4").tobytes())
     begin = 0
     for place, end in enumerate(ends):
         assert np.array_equal(tokenfile.decode_document(shard, place), symbols[begin:end])
+        for low in range(0, end - begin + 2, 7):
+            for high in (low - 1, low + 1, low + 5, end - begin, end - begin + 3):
+                assert np.array_equal(tokenfile.decode_range(shard, place, low, high), symbols[begin:end][low:max(low, high)])
         begin = end
+    # Nothing is left that is worth a rule, unless the symbols are used up.
+    inside = np.ones(max(0, len(packed) - 1), bool)
+    inside[new_ends[(new_ends > 0) & (new_ends < len(packed))] - 1] = False
+    pairs = [p for p, i in zip(zip(packed.tolist(), packed[1:].tolist()), inside) if i]
+    apart = Counter()
+    for i, p in enumerate(pairs):  # a run of one symbol holds half as many pairs
+        apart[p] += not (p[0] == p[1] and i and pairs[i - 1] == p)
+    assert all(n < 2 * tokenfile.LEAST_COUNT for n in apart.values())
     assert all(len(tokenfile.expand(np.array([10 + i], np.uint16), rules, 10)) == n for i, n in enumerate(lengths))
 
 
@@ -119,6 +131,17 @@ def test_words_encode_as_whole_texts(parts):
     assert np.frombuffer(encoder.encode(text.encode()), np.uint16).tolist() == whole
 
 
+def test_token_files_of_empty_and_repeated_rows(spark):
+    rows = [(3, None), (1, ""), (2, "one two"), (2, "one two"), (2, "a"), (None, "no id"), (5, " \n"), (4, "x " * 3000)]
+    tokenizer, start, wanted = Tokenizer.from_file(TOKENIZER), 0, []
+    for key, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
+        ids = np.array(tokenizer.encode(text or "", add_special_tokens=False).ids + [1], "<u4")
+        wanted.append((key, start, len(ids), zlib.crc32(ids.tobytes())))
+        start += len(ids)
+    found = tokenfile.round_trip(spark.createDataFrame(rows, "doc_id long, text string"), TOKENIZER)
+    assert sorted(map(tuple, found.collect()), key=lambda r: r[1]) == wanted
+
+
 def test_token_files(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(tokenfile, "SHARD_IDS", 5000)
     found = {r["doc_id"]: tuple(r) for r in queries.op3_repair_tokens(spark, sf_dir).collect()}
