@@ -482,6 +482,10 @@ SELECTS: dict[str, str] = {
 
 SELECTS["resolver_cache_stored"] = f"""SELECT u.*, CASE WHEN q.query IS NOT NULL THEN true END AS hit FROM ({SELECTS["resolver_cache_update"]}) u
     LEFT JOIN (SELECT DISTINCT upper(query) AS query FROM asked) q USING (query)"""
+SELECTS["dead_letters_replay"] = f"""SELECT source, ticker AS symbol, CASE WHEN reason IS NULL THEN 'post' ELSE 'refused_item' END AS tag,
+    coalesce(reason, '') AS reason, count(*) AS n FROM (
+      SELECT source, ticker, CASE source WHEN 'x' THEN {BAD_X} WHEN 'reddit' THEN {BAD_REDDIT} ELSE {BAD_ST} END AS reason FROM page)
+    GROUP BY ALL"""
 SELECTS["ivf_exact"] = SELECTS["cosine_topk"]
 SELECTS["posts_sentiment_bucketed"] = SELECTS["posts_sentiment_join"]
 SELECTS["stream_compacted"] = SELECTS["stream_ingest"]

@@ -21,7 +21,7 @@ from marketpulse.plans import views as v
 from marketpulse.plans.report import report_from_store, report_json, sentiment_report
 from marketpulse.schemas import POST_KEY
 from marketpulse.session import configure, materialize, scratch_path
-from marketpulse.sources import landed, reddit, stocktwits, x
+from marketpulse.sources import landed, outcomes, reddit, stocktwits, x
 from marketpulse.sources.parsing import literal_time
 from marketpulse.sources.timestamps import stocktwits_created_at, x_created_at
 from marketpulse.store import cache, colocated, cube, log
@@ -209,6 +209,19 @@ def quarantine(spark, sf):
     return landed.quarantine(pages, v.AS_OF, v.WEEK_AGO).groupBy("source", "symbol", "reason").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query
+def dead_letters_replay(spark, sf):
+    """What comes of all pages in one parse; then the cut-off ones are replayed whole."""
+    path = scratch_path(spark, "outcomes")
+    outcomes.create(spark, path)
+    outcomes.write_outcomes(v.landed_pages(spark, sf), path, 0, v.AS_OF, v.WEEK_AGO)
+    outcomes.replay(v.landed_pages(spark, sf, whole=True), path, 1, v.AS_OF, v.WEEK_AGO)
+    posts = outcomes.accepted_posts(spark, path).select("source", "symbol", F.lit(outcomes.POST).alias("tag"), F.lit("").alias("reason"))
+    items = outcomes.read_outcomes(spark, path).filter(F.col("tag") == outcomes.ITEM).select("source", "symbol", "tag", "reason")
+    pages = outcomes.dead_letters(spark, path).select("source", "symbol", F.lit(outcomes.PAGE).alias("tag"), "reason")
+    return posts.unionByName(items).unionByName(pages).groupBy("source", "symbol", "tag", "reason").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query
 def scan_landed(spark, sf):
     """Land the responses as JSON lines, scan them again, and count their posts."""

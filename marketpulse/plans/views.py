@@ -133,8 +133,11 @@ def _cursor_missing() -> Column:
     return (F.col("page_no") * 7 + F.length("ticker")) % 3 == 2
 
 
-def landed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw responses of the three platforms. A page holds the posts of one source and ticker among 210 documents."""
+def landed_pages(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    """Raw responses of the three platforms. A page holds the posts of one source and ticker among 210 documents.
+
+    Some pages are cut off, unless they are wanted whole.
+    """
     d = F.col("doc_id")
     df = posts(spark, sf_dir).withColumn("page_no", F.floor(d / PAGE_DOCS).cast("int"))
     key = ("source", "ticker", "page_no")
@@ -200,7 +203,7 @@ def landed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         page("reddit", submission).select(*key, reddit_body.alias("body")),
         page("stocktwits", message).select(*key, stream_body.alias("body")),
     ]
-    broken = (F.col("ticker") == "NVDA") & (F.col("page_no") % 3 == 1)
+    broken = (F.col("ticker") == "NVDA") & (F.col("page_no") % 3 == 1) & F.lit(not whole)
     pages = parts[0].unionByName(parts[1]).unionByName(parts[2])
     return pages.select(
         "source", F.lit("search").alias("kind"), F.col("ticker").alias("symbol"),

@@ -24,9 +24,8 @@ def _permalink(path: Column) -> Column:
     return F.when(~missing(path), F.concat(F.lit("https://reddit.com"), path))
 
 
-def post_candidates(raw: DataFrame, as_of: dt.datetime, since: dt.datetime | None = None) -> DataFrame:
-    df = page_items(raw, REDDIT_LISTING, F.col("page")["data"]["children"], REDDIT_POST)
-    post = F.col("item")["data"]
+def post_item(post: Column, as_of: dt.datetime, since: dt.datetime | None = None) -> tuple[Column, dict[str, Column]]:
+    """Why a submission is refused (null where it is not), and its fields."""
     author = F.coalesce(post["author"], F.lit("[deleted]"))
     selftext = F.coalesce(post["selftext"], F.lit(""))
     text = strip(F.concat(F.coalesce(post["title"], F.lit("")), F.lit("\n"), selftext))
@@ -39,8 +38,7 @@ def post_candidates(raw: DataFrame, as_of: dt.datetime, since: dt.datetime | Non
         .when(text == "", "missing_text")
         .when(missing(post["id"]), "missing_id")
     )
-    return as_candidates(
-        df, reason,
+    return reason, dict(
         source=F.lit("reddit"),
         platform_id=F.concat(F.lit("post_"), post["id"]),
         author_id=author,
@@ -54,20 +52,18 @@ def post_candidates(raw: DataFrame, as_of: dt.datetime, since: dt.datetime | Non
     )
 
 
+def post_candidates(raw: DataFrame, as_of: dt.datetime, since: dt.datetime | None = None) -> DataFrame:
+    df = page_items(raw, REDDIT_LISTING, F.col("page")["data"]["children"], REDDIT_POST)
+    reason, fields = post_item(F.col("item")["data"], as_of, since)
+    return as_candidates(df, reason, **fields)
+
+
 def posts(raw: DataFrame, as_of: dt.datetime, since: dt.datetime | None = None) -> DataFrame:
     return accepted(post_candidates(raw, as_of, since))
 
 
-def comment_candidates(
-    threads: DataFrame, as_of: dt.datetime, since: dt.datetime | None = None, per_post: int = COMMENTS_PER_POST
-) -> DataFrame:
-    """Comments of landed threads. The first `per_post` children are looked at, then those that are comments kept.
-
-    A response is a thread as it was fetched once: the limit holds for each response, as for a client that asks again.
-    """
-    children = F.slice(F.try_element_at(F.col("page"), F.lit(2))["data"]["children"], 1, per_post)
-    df = page_items(threads, REDDIT_THREAD, children, REDDIT_COMMENT, "post_id").filter(F.col("item")["kind"] == "t1")
-    comment = F.col("item")["data"]
+def comment_item(comment: Column, as_of: dt.datetime, since: dt.datetime | None = None) -> tuple[Column, dict[str, Column]]:
+    """Why a comment is refused (null where it is not), and its fields; uses the column `post_id`."""
     author = F.coalesce(comment["author"], F.lit("[deleted]"))
     created_utc = F.coalesce(comment["created_utc"], F.lit(0.0))
     reason = (
@@ -78,8 +74,7 @@ def comment_candidates(
         .when(missing(comment["body"]), "missing_text")
         .when(missing(comment["id"]), "missing_id")
     )
-    return as_candidates(
-        df, reason,
+    return reason, dict(
         source=F.lit("reddit"),
         platform_id=F.concat(F.lit("comment_"), comment["id"]),
         author_id=author,
@@ -93,6 +88,22 @@ def comment_candidates(
     )
 
 
+def first_children(thread: Column, per_post: int = COMMENTS_PER_POST) -> Column:
+    return F.slice(F.try_element_at(thread, F.lit(2))["data"]["children"], 1, per_post)
+
+
+def comment_candidates(
+    threads: DataFrame, as_of: dt.datetime, since: dt.datetime | None = None, per_post: int = COMMENTS_PER_POST
+) -> DataFrame:
+    """Comments of landed threads. The first `per_post` children are looked at, then those that are comments kept.
+
+    A response is a thread as it was fetched once: the limit holds for each response, as for a client that asks again.
+    """
+    df = page_items(threads, REDDIT_THREAD, first_children(F.col("page"), per_post), REDDIT_COMMENT, "post_id").filter(F.col("item")["kind"] == "t1")
+    reason, fields = comment_item(F.col("item")["data"], as_of, since)
+    return as_candidates(df, reason, **fields)
+
+
 def comments(threads: DataFrame, as_of: dt.datetime, since: dt.datetime | None = None) -> DataFrame:
     return accepted(comment_candidates(threads, as_of, since))
 

@@ -31,16 +31,14 @@ def page_yields(as_of: dt.datetime, since: dt.datetime) -> Column:
     return F.coalesce(accepted_one, F.lit(False))
 
 
-def candidates(raw: DataFrame, as_of: dt.datetime, since: dt.datetime | None = None) -> DataFrame:
-    df = page_items(raw, STOCKTWITS_STREAM, F.col("page")["messages"], STOCKTWITS_MESSAGE)
-    message = F.col("item")
+def item(message: Column, as_of: dt.datetime, since: dt.datetime | None = None) -> tuple[Column, dict[str, Column]]:
+    """Why a message is refused (null where it is not), and its fields."""
     user = message["user"]
     tag = message["entities"]["sentiment"]["basic"]
     tagged = F.concat(F.lit("["), F.upper(tag), F.lit("] "), message["body"])
     handle = F.coalesce(user["username"], F.lit(""))
     message_id = message["id"].cast("string")
-    return as_candidates(
-        df, _reason(message, as_of, since),
+    return _reason(message, as_of, since), dict(
         source=F.lit("stocktwits"),
         platform_id=message_id,
         author_id=F.coalesce(user["id"].cast("string"), F.lit("")),
@@ -55,5 +53,11 @@ def candidates(raw: DataFrame, as_of: dt.datetime, since: dt.datetime | None = N
     )
 
 
+def candidates(raw: DataFrame, as_of: dt.datetime, since: dt.datetime | None = None) -> DataFrame:
+    df = page_items(raw, STOCKTWITS_STREAM, F.col("page")["messages"], STOCKTWITS_MESSAGE)
+    reason, fields = item(F.col("item"), as_of, since)
+    return as_candidates(df, reason, **fields)
+
+
 def posts(raw: DataFrame, as_of: dt.datetime, since: dt.datetime | None = None) -> DataFrame:
     return accepted(candidates(raw, as_of, since))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketpulse.functions.binding import bind
@@ -14,27 +14,15 @@ from marketpulse.sources.parsing import accepted, as_candidates, literal_time, m
 from marketpulse.sources.timestamps import x_created_at
 
 
-def candidates(raw: DataFrame, as_of: dt.datetime, since: dt.datetime | None = None) -> DataFrame:
-    page = F.col("page")
-    read = F.struct(
-        F.transform(page["data"], lambda text: F.from_json(text, X_POST)).alias("posts"),
-        F.transform(page["includes"]["users"], lambda text: F.from_json(text, X_USER)).alias("users"),
-    )
-    # A page lists its authors beside the posts; the last entry of an id counts. A page holds at most a hundred posts.
-    with_author = bind(read, lambda p: F.transform(p["posts"], lambda post: F.struct(
-        post.alias("post"),
-        F.try_element_at(F.filter(p["users"], lambda user: user["id"] == post["author_id"]), F.lit(-1)).alias("author"),
-    )))
-    df = page_items(raw, X_PAGE, with_author)
-    post, author = F.col("item")["post"], F.col("item")["author"]
+def item(post: Column, author: Column, as_of: dt.datetime, since: dt.datetime | None = None) -> tuple[Column, dict[str, Column]]:
+    """Why a post is refused (null where it is not), and its fields."""
     handle = F.coalesce(author["username"], F.lit(""))
     created_at = x_created_at(post["created_at"], literal_time(as_of))
     reason = F.when(missing(post["id"]), "missing_id").when(missing(post["text"]), "missing_text")
     if since is not None:
         # The search takes its start in whole seconds.
         reason = reason.when(created_at < literal_time(since.replace(microsecond=0)), "too_old")
-    return as_candidates(
-        df, reason,
+    return reason, dict(
         source=F.lit("x"),
         platform_id=post["id"],
         author_id=F.coalesce(post["author_id"], F.lit("")),
@@ -51,6 +39,22 @@ def candidates(raw: DataFrame, as_of: dt.datetime, since: dt.datetime | None = N
     )
 
 
+def candidates(raw: DataFrame, as_of: dt.datetime, since: dt.datetime | None = None) -> DataFrame:
+    page = F.col("page")
+    read = F.struct(
+        F.transform(page["data"], lambda text: F.from_json(text, X_POST)).alias("posts"),
+        F.transform(page["includes"]["users"], lambda text: F.from_json(text, X_USER)).alias("users"),
+    )
+    # A page lists its authors beside the posts; the last entry of an id counts. A page holds at most a hundred posts.
+    with_author = bind(read, lambda p: F.transform(p["posts"], lambda post: F.struct(
+        post.alias("post"),
+        F.try_element_at(F.filter(p["users"], lambda user: user["id"] == post["author_id"]), F.lit(-1)).alias("author"),
+    )))
+    df = page_items(raw, X_PAGE, with_author)
+    reason, fields = item(F.col("item")["post"], F.col("item")["author"], as_of, since)
+    return as_candidates(df, reason, **fields)
+
+
 def posts(raw: DataFrame, as_of: dt.datetime, since: dt.datetime | None = None) -> DataFrame:
     return accepted(candidates(raw, as_of, since))
 
