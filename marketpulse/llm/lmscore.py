@@ -24,16 +24,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketpulse.operators.sizes import broadcast_if_small
-from marketpulse.session import configure, materialize
+from marketpulse.session import configure, materialize, scratch_path
 
 #: Weight of the shorter context in each interpolation.
 PRIOR = 20.0
 #: Bytes of text of a chunk, and of the corpus for each range of n-grams.
-CHUNK_BYTES, RANGE_BYTES = 8 << 20, 32 << 20
+CHUNK_BYTES, RANGE_BYTES = 4 << 20, 12 << 20
 #: A longer run without white space counts character by character: scripts without spaces, and junk.
 LONGEST = 24
 #: Bits of an n-gram's hash that are kept; the lowest one tells words from pairs.
-KEY_BITS = 56
+KEY_BITS = 50
 END = 0x9E3779B97F4A7C15
 _CHUNKS = "chunk long, doc_ids array<{}>, wanted array<boolean>, texts array<binary>"
 _PARTS = "chunk long, range int, n int, keys binary, background binary, target binary"
@@ -204,7 +204,9 @@ def cross_entropy_difference(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     wanted = materialize(wanted.select(F.col("doc_id").alias("wanted_id")).where("wanted_id is not null").distinct(), "wanted")
     marked = docs.join(broadcast_if_small(wanted), F.col("doc_id") == F.col("wanted_id"), "left")
     marked = marked.select("doc_id", F.col("wanted_id").isNotNull().alias("wanted"), "text")
-    chunks = materialize(marked.mapInArrow(_pack_texts, _CHUNKS.format(name)), "chunks")
+    path = scratch_path(spark, "chunks")
+    marked.mapInArrow(_pack_texts, _CHUNKS.format(name)).write.option("compression", "zstd").parquet(path)
+    chunks = spark.read.schema(_CHUNKS.format(name)).parquet(path)
     size = chunks.select(F.aggregate("texts", F.lit(0).cast("bigint"), lambda n, t: n + F.octet_length(t)).alias("n")).agg(F.sum("n")).first()[0]
     ranges = max(1, -(-(size or 0) // RANGE_BYTES))
     parts = chunks.mapInArrow(_count(ranges), _PARTS)
