@@ -486,6 +486,15 @@ SELECTS["dead_letters_replay"] = f"""SELECT source, ticker AS symbol, CASE WHEN
     coalesce(reason, '') AS reason, count(*) AS n FROM (
       SELECT source, ticker, CASE source WHEN 'x' THEN {BAD_X} WHEN 'reddit' THEN {BAD_REDDIT} ELSE {BAD_ST} END AS reason FROM page)
     GROUP BY ALL"""
+SELECTS["answers_sink"] = f"""SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'even' ELSE 'odd' END AS run, "window",
+    CASE WHEN error IS NULL THEN inst_symbol ELSE query END AS symbol,
+    CASE WHEN error IS NULL THEN strftime({AS_OF} - to_hours(hours), '%Y-%m-%dT%H:%M:%S') END AS window_since,
+    CASE WHEN error IS NULL THEN coalesce(count, 0) END AS count,
+    CASE WHEN error IS NULL THEN round(coalesce(weighted_sentiment, 0), 6) END AS weighted_sentiment, posts_found, posts_processed,
+    x, reddit, stocktwits, CASE WHEN error IS NULL THEN days END AS trend_days, company_name, inst_symbol AS instrument,
+    CASE WHEN posts_found > 0 THEN posts_found END AS total_input, no_symbols, probable_bots,
+    CASE WHEN posts_found > 0 THEN posts_processed END AS passed, error FROM report"""
+SELECTS["stream_keep_first"] = SELECTS["dedupe_keep_first"]
 SELECTS["ivf_exact"] = SELECTS["cosine_topk"]
 SELECTS["posts_sentiment_bucketed"] = SELECTS["posts_sentiment_join"]
 SELECTS["stream_compacted"] = SELECTS["stream_ingest"]

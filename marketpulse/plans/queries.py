@@ -24,10 +24,10 @@ from marketpulse.session import configure, materialize, scratch_path
 from marketpulse.sources import landed, outcomes, reddit, stocktwits, x
 from marketpulse.sources.parsing import literal_time
 from marketpulse.sources.timestamps import stocktwits_created_at, x_created_at
-from marketpulse.store import cache, colocated, cube, log
+from marketpulse.store import answers, cache, colocated, cube, log
 from marketpulse.store import vectors as stored_vectors
 from marketpulse.store.tables import COUNTS
-from marketpulse.streaming import ingest, rolling
+from marketpulse.streaming import first, ingest, rolling
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -642,6 +642,29 @@ def report_json_rows(spark, sf):
 REGISTRY["report_json"] = REGISTRY.pop("report_json_rows")
 
 
+_BODY = ("symbol string, window_since string, count long, weighted_sentiment double, posts_found long, posts_processed long, "
+         "sources struct<x:long,reddit:long,stocktwits:long>, search_interest struct<interest_over_time:map<string,double>>, "
+         "resolved_instrument struct<symbol:string,cik:string,isin:string,figi:string,company_name:string>, "
+         "filter_stats struct<total_input:long,no_symbols:long,probable_bots:long,processed:long>, error string")
+
+
+@query
+def answers_sink(spark, sf):
+    """Answers written as JSON lines, two runs of which the second is repeated, and read back whole."""
+    path = scratch_path(spark, "answers")
+    bodies = materialize(report_json(_report(spark, sf)), "bodies")
+    half = F.col("o_orderkey") % 2
+    for run, part in (("even", bodies.filter(half == 0)), ("odd", bodies.limit(5)), ("odd", bodies.filter(half == 1))):
+        answers.write_answers(part, path, run)
+    read = answers.read_answers(spark, path, "o_orderkey long, query string, window string, body string")
+    body = read.select("o_orderkey", "run", "window", F.from_json("body", _BODY).alias("b"))
+    return body.select(
+        "o_orderkey", "run", "window", "b.symbol", "b.window_since", "b.count", "b.weighted_sentiment", "b.posts_found", "b.posts_processed",
+        "b.sources.*", F.size("b.search_interest.interest_over_time").alias("trend_days"), "b.resolved_instrument.company_name",
+        F.col("b.resolved_instrument.symbol").alias("instrument"), "b.filter_stats.total_input", "b.filter_stats.no_symbols", "b.filter_stats.probable_bots",
+        F.col("b.filter_stats.processed").alias("passed"), "b.error")
+
+
 # ---- search trends -------------------------------------------------------------------------------------------------
 
 @query
@@ -824,6 +847,27 @@ def stream_dedupe(spark, sf):
     return spark.read.schema(posts.schema).parquet(f"{root}/out")
 
 
+@query
+def stream_keep_first(spark, sf):
+    """The copies of `dedupe_keep_first` as a stream, last terms first: what counts is the place, not the arrival."""
+    root = scratch_path(spark, "first")
+    d = F.col("doc_id")
+    copies = v.posts(spark, sf).withColumn("term_no", F.explode(F.sequence(F.lit(0), (d % 3).cast("int"))))
+    copies = copies.withColumn("term_no", F.lit(3) - F.col("term_no")).withColumn(
+        "text", F.concat(F.col("term_no").cast("string"), F.lit(":"), "text")).withColumn("fetched_at", literal_time(v.AS_OF))
+    copies = copies.select("source", "platform_id", "term_no", "text", "fetched_at")
+    end = copies.limit(1).select(F.lit("end").alias("source"), F.lit("").alias("platform_id"), F.lit(0).alias("term_no"), F.lit("").alias("text"),
+                                 (F.col("fetched_at") + F.make_dt_interval(days=F.lit(9))).alias("fetched_at"))
+    parts = [copies.filter(F.col("term_no") == term) for term in (3, 1, 2)] + [end, end]
+    # A run to each delivery; the last ones only move the watermark.
+    for i, part in enumerate(parts):
+        part.write.parquet(f"{root}/in/delivery={i}")
+        stream = spark.readStream.schema(copies.schema).parquet(f"{root}/in/*")
+        kept = first.keep_first_stream(stream, "source", "platform_id")
+        rolling.write_available(kept, f"{root}/out", f"{root}/checkpoint").awaitTermination()
+    return spark.read.schema(copies.schema).parquet(f"{root}/out").select("source", "platform_id", "term_no", "text")
+
+
 @query
 def rolling_sentiment(spark, sf):
     return aggregate.rolling_sentiment(_scored(spark, sf))

@@ -1,6 +1,7 @@
 import datetime as dt
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -8,7 +9,7 @@ from marketpulse.functions.vectors import hash_embedding
 from marketpulse.operators import aggregate as A
 from marketpulse.schemas import LANDED_PAGE
 from marketpulse.sources import landed
-from marketpulse.streaming import ingest, rolling
+from marketpulse.streaming import first, ingest, rolling
 
 NOW = dt.datetime(2025, 1, 20)
 
@@ -101,3 +102,25 @@ def test_streams(spark, tmp_path):
     batch = {r["window_start"]: (r["n"], r["avg_polarity"]) for r in A.rolling_sentiment(posts).collect()}
     assert 150 < len(final) < len(batch)
     assert all(batch[k][0] == n and batch[k][1] == pytest.approx(m) for k, (n, m) in final.items())
+
+
+def test_first_by_place_whatever_the_arrival(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    rows = [("x", str(i % 40), int(rng.integers(0, 3)), int(rng.integers(0, 3)), int(rng.integers(0, 5)), f"{i} ü\n", NOW + dt.timedelta(minutes=int(rng.integers(0, 60)), microseconds=i))
+            for i in range(300)]
+    schema = "source string, platform_id string, term_no int, page_no int, pos int, text string, fetched_at timestamp"
+    batch = {(r["platform_id"], r["term_no"], r["page_no"], r["pos"]) for r in landed.dedupe_keep_first(
+        spark.createDataFrame(rows, schema), "source", "platform_id").collect()}
+    for seed in (1, 2):
+        root = tmp_path / str(seed)
+        order = np.random.default_rng(seed).permutation(len(rows))
+        parts = [[rows[i] for i in order[n::3]] for n in range(3)] + [[("end", "", 0, 0, 0, "", NOW + dt.timedelta(days=d))] for d in (5, 9)]
+        for i, part in enumerate(parts):
+            spark.createDataFrame(part, schema).coalesce(1).write.parquet(str(root / "in" / f"d={i}"))
+            stream = spark.readStream.schema(schema).parquet(str(root / "in" / "*"))
+            kept = first.keep_first_stream(stream, "source", "platform_id", delay="2 hours")
+            rolling.write_available(kept, str(root / "out"), str(root / "check")).awaitTermination()
+        got = spark.read.parquet(str(root / "out")).filter("source = 'x'").collect()
+        assert len(got) == 40 and {(r["platform_id"], r["term_no"], r["page_no"], r["pos"]) for r in got} == batch
+        by = {r[5]: r[6] for r in rows}
+        assert all(by[r["text"]] == r["fetched_at"] for r in got)
