@@ -10,6 +10,9 @@ What is gathered grows with the corpus, and no task or driver holds it whole:
    once per chunk. Sorted by their hash, they are cut into as many ranges as the size of the corpus asks for.
 2. A range adds up what all chunks have of it, and answers each chunk with the totals of its n-grams, in its own order.
 3. A chunk meets its answers, and its texts are scored.
+
+N-grams travel as packed numbers, a row for each chunk and range; in a corpus so large that there are more ranges than a chunk has n-grams,
+that is one row for each n-gram of a chunk, never more.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ from marketpulse.session import configure, materialize, scratch_path
 #: Weight of the shorter context in each interpolation.
 PRIOR = 20.0
 #: Bytes of text of a chunk, and of the corpus for each range of n-grams.
-CHUNK_BYTES, RANGE_BYTES = 4 << 20, 12 << 20
+CHUNK_BYTES, RANGE_BYTES = 2 << 20, 6 << 20
 #: A longer run without white space counts character by character: scripts without spaces, and junk.
 LONGEST = 24
 #: Bits of an n-gram's hash that are kept; the lowest one tells words from pairs.
@@ -103,12 +106,16 @@ def _pack_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _planes(numbers: np.ndarray) -> bytes:
-    """Whole numbers byte by byte of like weight: the empty upper bytes then cost nothing when compressed."""
-    return numbers.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+    """Whole numbers byte by byte of like weight, without the upper bytes that none of them needs."""
+    width = max(1, -(-int(numbers.max(initial=0)).bit_length() // 8))
+    return numbers.astype("<u8").view(np.uint8).reshape(-1, 8).T[:width].tobytes()
 
 
-def _numbers(planes: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(8, -1).T).view("<u8").ravel()
+def _numbers(planes: bytes, n: int) -> np.ndarray:
+    out = np.zeros((n, 8), np.uint8)
+    if n:
+        out[:, : len(planes) // n] = np.frombuffer(planes, np.uint8).reshape(-1, n).T
+    return out.view("<u8").ravel()
 
 
 def _range_of(keys: np.ndarray, ranges: int) -> np.ndarray:
@@ -144,14 +151,14 @@ def _count(ranges: int):
 
 def _add_up(pool: pa.Table) -> pa.Table:
     """Totals of a range for each chunk, in the chunk's order; and, without a chunk, its words and their totals."""
-    own = [np.cumsum(_numbers(k.as_py())) for k in pool.column("keys")]
-    keys, place = np.unique(np.concatenate(own), return_inverse=True)
-    totals = [np.bincount(place, np.concatenate([_numbers(c.as_py()) for c in pool.column(name)]), len(keys)).astype(np.uint64)
-              for name in ("background", "target")]
-    ends = np.cumsum([len(k) for k in own])
+    sizes = pool.column("n").to_pylist()
+    read = lambda name: [_numbers(c.as_py(), n) for c, n in zip(pool.column(name), sizes)]
+    keys, place = np.unique(np.concatenate([np.cumsum(k) for k in read("keys")]), return_inverse=True)
+    totals = [np.bincount(place, np.concatenate(read(name)), len(keys)).astype(np.uint64) for name in ("background", "target")]
+    ends = np.cumsum(sizes)
     is_word = (keys & np.uint64(1)).astype(bool)
     rows = [(chunk, r, n, None, _planes(totals[0][place[e - n : e]]), _planes(totals[1][place[e - n : e]])) for chunk, r, n, e in zip(
-        pool.column("chunk").to_pylist(), pool.column("range").to_pylist(), map(len, own), ends.tolist())]
+        pool.column("chunk").to_pylist(), pool.column("range").to_pylist(), sizes, ends.tolist())]
     rows.append((None, rows[0][1], int(is_word.sum()), None, *[_planes(np.array([int(t[is_word].sum())])) for t in totals]))
     types = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
     return pa.table([pa.array(c, t) for c, t in zip(zip(*rows), types)], [c.split()[0] for c in _PARTS.split(", ")])
@@ -167,7 +174,8 @@ def _score(vocabulary: int, sums: tuple[int, int], kind: pa.DataType):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
         answers = right.sort_by("range")
-        counts = [np.concatenate([_numbers(c.as_py()) for c in answers.column(name)] or [np.empty(0)]).astype(np.float64) for name in ("target", "background")]
+        counts = [np.concatenate([_numbers(c.as_py(), n) for c, n in zip(answers.column(name), answers.column("n").to_pylist())] or [np.empty(0)]).astype(
+            np.float64) for name in ("target", "background")]
         for row in left.to_pylist():
             _, word, context, pair, lengths = _own_keys(row["texts"])
             full = lengths > 0
@@ -213,8 +221,8 @@ def cross_entropy_difference(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     totals = materialize(parts.groupBy("range").applyInArrow(_add_up, _PARTS), "totals")
     # One row per range.
     known = totals.where("chunk is null").select("n", "background", "target").toArrow().to_pylist()
-    sums = tuple(sum(int(_numbers(r[c])[0]) for r in known) for c in ("target", "background"))
-    answers = totals.where("chunk is not null").select(F.col("chunk"), "range", "background", "target")
+    sums = tuple(sum(int(_numbers(r[c], 1)[0]) for r in known) for c in ("target", "background"))
+    answers = totals.where("chunk is not null").select("chunk", "range", "n", "background", "target")
     scored = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk"))
     return scored.applyInArrow(_score(sum(r["n"] for r in known), sums, kind), _SCORES.format(name))
 
