@@ -116,10 +116,12 @@ def accepted_posts(spark: SparkSession, path: str) -> DataFrame:
     return dedupe_keep_first(kept, "source", "symbol", "platform_id")
 
 
-def dead_letters(spark: SparkSession, path: str) -> DataFrame:
-    """Refused pages that no later batch has replayed, as landed pages with page_key, reason and batch."""
+def dead_letters(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
+    """Refused pages that no later batch has replayed, as landed pages with page_key, reason and batch. before: as it was then."""
     refused = read_outcomes(spark, path).filter(F.col("tag") == PAGE).select(*LANDED_PAGE.fieldNames(), "page_key", "reason", "batch")
     replayed = spark.read.schema("page_key string, batch bigint").parquet(f"{path}/replayed")
+    if before is not None:
+        refused, replayed = refused.filter(F.col("batch") < before), replayed.filter(F.col("batch") < before)
     last = broadcast_if_small(replayed.groupBy("page_key").agg(F.max("batch").alias("_replayed")))
     return refused.join(last, "page_key", "left").filter("_replayed is null or batch >= _replayed").drop("_replayed")
 
@@ -132,10 +134,11 @@ def create(spark: SparkSession, path: str) -> None:
 def replay(corrected: DataFrame, path: str, batch: int, as_of: dt.datetime, since: dt.datetime | None = None) -> None:
     """Parse corrected pages that stand for dead letters, as a batch of their own; a page that is still refused stays a dead letter.
 
-    Pages that are no dead letters are left alone. What is replayed is written after what came of it: a run that is killed in between is run again.
+    Pages that are no dead letters are left alone. What was replayed is written after what came of it, and a batch looks at those before it
+    only: a run that is killed, or repeated, is run again with the same result.
     """
     spark = corrected.sparkSession
-    waiting = broadcast_if_small(dead_letters(spark, path).filter(F.col("batch") < batch).select("page_key").distinct())
+    waiting = broadcast_if_small(dead_letters(spark, path, batch).select("page_key").distinct())
     pages = corrected.withColumn("page_key", page_key()).join(waiting, "page_key", "left_semi")
     write_outcomes(pages.drop("page_key"), path, batch, as_of, since)
     pages.select("page_key").distinct().write.mode("overwrite").parquet(f"{path}/replayed/batch={batch}")

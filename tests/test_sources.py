@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marketpulse.schemas import LANDED_PAGE
-from marketpulse.sources import landed, reddit, stocktwits, x
+from marketpulse.sources import landed, outcomes, reddit, stocktwits, x
 
 AS_OF = dt.datetime(2025, 1, 20)
 SINCE = dt.datetime(2025, 1, 15)
@@ -20,22 +20,30 @@ def pages(spark):
     return make
 
 
-TWEET = {"id": "90817", "text": "Loading up on $AAPL before Thursday", "created_at": "2025-01-15T10:00:00.000Z", "author_id": "u-77",
-         "public_metrics": {"like_count": 10, "reply_count": 2, "retweet_count": 5}, "lang": "en"}
-USER = {"id": "u-77", "username": "quietfox", "public_metrics": {"followers_count": 412}}
+def tweet(n, **more):
+    """A post of the recent search: id and text, and whatever else a case gives it."""
+    return {"id": f"t{n}", "text": f"post {n} on $AAPL", **more}
 
 
-def test_tweet_with_user(pages):
-    row = x.posts(pages("x", {"data": [TWEET], "includes": {"users": [USER]}, "meta": {"result_count": 1}}), AS_OF).first()
-    assert (row["source"], row["platform_id"], row["text"]) == ("x", "90817", "Loading up on $AAPL before Thursday")
-    assert (row["author_handle"], row["like_count"], row["repost_count"], row["follower_count"]) == ("quietfox", 10, 5, 412)
-    assert row["permalink"] == "https://twitter.com/quietfox/status/90817"
-    assert row["created_at"] == dt.datetime(2025, 1, 15, 10)
+TWEET = tweet(3, author_id="u-77", created_at="2025-01-17T08:41:09Z", lang="nl", public_metrics={"like_count": 731, "retweet_count": 64})
+USER = {"id": "u-77", "username": "quietfox", "public_metrics": {"followers_count": 2903, "tweet_count": 17}}
+
+
+def test_tweets_of_a_page(pages):
+    body = {"data": [tweet(1, author_id="u-5"), TWEET, tweet(2, author_id="u-5", public_metrics={"reply_count": 8})],
+            "includes": {"users": [USER, {"id": "u-5", "username": "rook"}]}}
+    first, second, third = x.posts(pages("x", body), AS_OF).orderBy("pos").collect()
+    assert (second["source"], second["platform_id"], second["text"], second["lang"]) == ("x", "t3", "post 3 on $AAPL", "nl")
+    assert (second["author_handle"], second["like_count"], second["reply_count"], second["repost_count"], second["follower_count"]) == ("quietfox", 731, None, 64, 2903)
+    assert second["permalink"] == "https://twitter.com/quietfox/status/t3"
+    assert second["created_at"] == dt.datetime(2025, 1, 17, 8, 41, 9)
+    assert (first["author_handle"], first["follower_count"], first["lang"], first["created_at"]) == ("rook", None, "en", AS_OF)
+    assert (third["reply_count"], third["like_count"], third["permalink"]) == (8, None, "https://twitter.com/rook/status/t2")
 
 
 def test_tweet_without_user_and_last_duplicate_user_counts(pages):
     other = {**USER, "username": "later"}
-    body = {"data": [{**TWEET, "author_id": "unknown", "public_metrics": {}, "lang": None}, TWEET], "includes": {"users": [USER, other]}}
+    body = {"data": [tweet(4, author_id="nobody", public_metrics={}, lang=None), TWEET], "includes": {"users": [USER, other]}}
     first, second = x.posts(pages("x", body), AS_OF).orderBy("pos").collect()
     assert (first["author_handle"], first["follower_count"], first["permalink"], first["lang"]) == ("", None, None, "en")
     assert second["author_handle"] == "later"
@@ -72,23 +80,25 @@ def test_created_at(pages):
     assert [r["created_at"] for r in messages.orderBy("pos").collect()] == [expected(t) for _, _, t in WRITTEN]
 
 
-MESSAGE = {"id": 4711, "body": "Not selling my AAPL this week", "created_at": "2025-01-15T10:00:00Z",
-           "entities": {"sentiment": {"basic": "bullish"}}, "likes": {"total": 10}, "user": {"id": 1, "username": "quietfox", "followers": 500}}
+#: A message as the stream gives it when its author has chosen a side.
+MESSAGE = {"id": 88012, "body": "Holding AAPL through the split", "created_at": "2025-01-18T21:07:30Z", "likes": {"total": 46, "user_ids": [9, 12]},
+           "entities": {"sentiment": {"basic": "bearish"}, "chart": None}, "user": {"id": 660, "username": "rook", "followers": 31}}
 
 
 def test_stocktwits_tags_and_defaults(pages):
     plain = {**MESSAGE, "id": 2, "entities": {"sentiment": {}}, "likes": 5, "user": {}}
     bare = {**MESSAGE, "id": 3, "entities": {"sentiment": None}, "likes": None, "user": None}
     tagged, untagged, nulls = stocktwits.posts(pages("stocktwits", {"messages": [MESSAGE, plain, bare]}), AS_OF).orderBy("pos").collect()
-    assert tagged["text"] == "[BULLISH] Not selling my AAPL this week" and tagged["author_id"] == "1"
-    assert tagged["permalink"] == "https://stocktwits.com/quietfox/message/4711"
+    assert tagged["text"] == "[BEARISH] Holding AAPL through the split" and tagged["author_id"] == "660"
+    assert (tagged["like_count"], tagged["follower_count"], tagged["created_at"]) == (46, 31, dt.datetime(2025, 1, 18, 21, 7, 30))
+    assert tagged["permalink"] == "https://stocktwits.com/rook/message/88012"
     assert untagged["text"] == MESSAGE["body"] and untagged["like_count"] == 0 and untagged["follower_count"] == 0
     assert (untagged["author_handle"], untagged["permalink"], nulls["author_id"]) == ("", None, "")
 
 
-POST = {"id": "q8zt1", "title": "Earnings thread: AAPL", "selftext": "Apple guidance was better than feared", "author": "mossy_pine",
-        "created_utc": dt.datetime(2025, 1, 16, tzinfo=dt.timezone.utc).timestamp(), "score": 100, "num_comments": 50,
-        "permalink": "/r/stocks/comments/q8zt1"}
+#: A submission with a text of its own and no votes given.
+POST = {"id": "q8zt1", "title": "What now?", "selftext": "Sold half of my AAPL on Monday", "author": "mossy_pine", "over_18": False,
+        "created_utc": dt.datetime(2025, 1, 18, 3, 20, tzinfo=dt.timezone.utc).timestamp(), "permalink": "/r/investing/comments/q8zt1/what_now"}
 
 
 def listing(*posts, after=None):
@@ -97,12 +107,12 @@ def listing(*posts, after=None):
 
 def test_reddit_posts(pages):
     posts = [POST, {**POST, "author": "[deleted]"}, {**POST, "selftext": "[removed]"}, {**POST, "title": " ", "selftext": "\n"},
-             {**POST, "id": ""}, {**POST, "created_utc": 0}, {**POST, "id": "b", "selftext": None, "ups": 7, "permalink": ""}]
+             {**POST, "id": ""}, {**POST, "created_utc": 0}, {**POST, "id": "b", "selftext": None, "ups": 7, "num_comments": 213, "permalink": ""}]
     rows = reddit.post_candidates(pages("reddit", listing(*posts)), AS_OF, SINCE).orderBy("pos").collect()
     assert [r["reason"] for r in rows] == [None, "deleted", "removed", "missing_text", "missing_id", "too_old", None]
-    assert rows[0]["text"] == "Earnings thread: AAPL\nApple guidance was better than feared"
-    assert (rows[0]["platform_id"], rows[0]["like_count"], rows[0]["reply_count"]) == ("post_q8zt1", 0, 50)
-    assert (rows[6]["text"], rows[6]["like_count"], rows[6]["permalink"]) == ("Earnings thread: AAPL", 7, None)
+    assert rows[0]["text"] == "What now?\nSold half of my AAPL on Monday" and rows[0]["created_at"] == dt.datetime(2025, 1, 18, 3, 20)
+    assert (rows[0]["platform_id"], rows[0]["like_count"], rows[0]["reply_count"]) == ("post_q8zt1", 0, 0)
+    assert (rows[6]["text"], rows[6]["like_count"], rows[6]["reply_count"], rows[6]["permalink"]) == ("What now?", 7, 213, None)
 
 
 def thread(*children):
@@ -129,10 +139,10 @@ def test_an_odd_item_costs_only_itself(pages):
     odd = [7, "text", None, [], {**MESSAGE, "id": "abc"}, {**MESSAGE, "user": 3}, {**MESSAGE, "likes": {"total": "x"}}, MESSAGE]
     rows = stocktwits.candidates(pages("stocktwits", {"messages": odd}), AS_OF).orderBy("pos").collect()
     assert [r["reason"] for r in rows] == ["missing_id"] * 5 + [None, None, None]
-    assert [r["like_count"] for r in rows[5:]] == [10, 0, 10]
+    assert [r["like_count"] for r in rows[5:]] == [46, 0, 46]
     tweets = [{**TWEET, "public_metrics": 5}, 3, TWEET]
     got = x.posts(pages("x", {"data": tweets, "includes": {"users": [3, USER]}}), AS_OF).orderBy("pos").collect()
-    assert [(r["like_count"], r["author_handle"]) for r in got] == [(None, "quietfox"), (10, "quietfox")]
+    assert [(r["like_count"], r["author_handle"]) for r in got] == [(None, "quietfox"), (731, "quietfox")]
     posts = [{"data": {**POST, "ups": "many"}}, "nothing", {"data": POST}]
     assert reddit.posts(pages("reddit", {"data": {"children": posts}}), AS_OF).count() == 2
 
@@ -181,6 +191,43 @@ def test_validation_and_quarantine(pages, spark):
     assert got == [("reddit", 0, "bad_json"), ("x", 0, "missing_id"), ("x", 1, "bad_json")]
 
 
+def test_outcomes_in_one_pass(pages, spark, tmp_path):
+    """Every item and page comes out once, as the parsers and the quarantine have it, from one scan."""
+    raw = pages("x", {"data": [TWEET, {}, 5], "includes": {"users": [USER, 3]}}, "{broken", {"data": []}).union(pages("reddit", "nonsense", listing(POST, {**POST, "author": "[deleted]"})))
+    raw = raw.union(pages("reddit", thread(*[comment(i, kind="more" if i == 2 else "t1") for i in range(13)]), "[{}, {", kind="comments", post_id="q8zt1"))
+    raw = raw.union(pages("reddit", thread(comment(50)), kind="comments", post_id="elsewhere"))
+    raw = raw.union(pages("stocktwits", {"messages": [MESSAGE, {**MESSAGE, "body": None}]}, "5")).union(pages("myspace", "{}")).union(pages("reddit", listing(POST), kind="wiki"))
+    path = str(tmp_path / "pages")
+    raw.write.parquet(path)
+    raw = spark.read.parquet(path)
+    found = outcomes.outcomes(raw, AS_OF, SINCE)
+    assert found._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    rows = found.collect()
+    refused = sorted(str((r["source"], r["page_no"], r["post_id"], r["pos"], r["reason"])) for r in rows if r["tag"] != "post")
+    assert refused == sorted(str((r["source"], r["page_no"], r["post_id"], r["pos"], r["reason"])) for r in landed.quarantine(raw, AS_OF, SINCE).collect())
+    assert all((r["body"] is not None) == (r["tag"] == "refused_page") and (r["item"] is not None) == (r["tag"] == "refused_item") for r in rows)
+    outcomes.create(spark, str(tmp_path / "o"))
+    outcomes.write_outcomes(raw, str(tmp_path / "o"), 0, AS_OF, SINCE)
+    fields = ["source", "platform_id", "author_handle", "created_at", "text", "lang", "like_count", "reply_to_id", "follower_count", "permalink"]
+    wanted = landed.collect_posts(raw.filter("source != 'myspace' and kind != 'wiki'"), AS_OF, SINCE).select(fields)
+    assert sorted(map(str, outcomes.accepted_posts(spark, str(tmp_path / "o")).select(fields).collect())) == sorted(map(str, wanted.collect()))
+
+
+def test_dead_letters_leave_when_replayed(pages, spark, tmp_path):
+    path = str(tmp_path)
+    outcomes.create(spark, path)
+    outcomes.write_outcomes(pages("x", "{broken", {"data": [TWEET]}, "{also broken"), path, 0, AS_OF, SINCE)
+    waiting = lambda: [(r["page_no"], r["batch"]) for r in outcomes.dead_letters(spark, path).orderBy("page_no", "batch").collect()]
+    posts = lambda: sorted(r["platform_id"] for r in outcomes.accepted_posts(spark, path).collect())
+    assert waiting() == [(0, 0), (2, 0)] and posts() == ["t3"]
+    # The first page is put right, the second was never refused, the third is still broken.
+    fixed = pages("x", {"data": [tweet(7, author_id="a"), {}]}, {"data": [tweet(8, author_id="a")]}, "{still broken")
+    for _ in range(2):  # a repeated batch replaces itself
+        outcomes.replay(fixed, path, 1, AS_OF, SINCE)
+        assert waiting() == [(2, 1)] and posts() == ["t3", "t7"]
+    assert outcomes.read_outcomes(spark, path).filter("tag = 'refused_item'").count() == 1
+
+
 def test_dedupe_keeps_first_by_term_page_place(spark):
     rows = [("reddit", "1", 1, 0, 0, "late term"), ("reddit", "1", 0, 2, 5, "late page"), ("reddit", "1", 0, 1, 3, "first"), ("reddit", "2", 4, 0, 0, "only")]
     df = spark.createDataFrame(rows, "source string, platform_id string, term_no int, page_no int, pos int, text string")
