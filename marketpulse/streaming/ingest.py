@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import logging
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from marketpulse.operators.aggregate import clean, scored, with_scores
 from marketpulse.operators.sizes import broadcast_if_small
 from marketpulse.schemas import LANDED_PAGE, POST_KEY
 from marketpulse.session import scratch, together
-from marketpulse.sources.landed import collect_posts
+from marketpulse.sources.landed import PARSERS, Parser, collect_posts, union_posts
 from marketpulse.sources.parsing import literal_time
 from marketpulse.store import compact, cube, log
 from marketpulse.store.tables import TABLES, bucket_of, latest
@@ -83,12 +84,29 @@ def _made(step: Step, todo: DataFrame, wanted: str, good: str, write: Callable[[
         return f"{type(error).__name__}"
 
 
+def _collected(pages: DataFrame, as_of: dt.datetime, since: dt.datetime | None, parsers: dict[str, Parser], keep) -> DataFrame:
+    """The cleaned posts of every source whose parser goes through, each written by a job of its own."""
+    def attempt(source: str, parser: Parser) -> DataFrame | None:
+        try:
+            return keep(clean(collect_posts(pages, as_of, since, {source: parser})), f"cleaned-{source}")
+        except Exception as error:  # noqa: BLE001 - one source must not stop the rest
+            _log.warning("source %s left out: %s", source, error)
+            return None
+
+    parts = together(pages.sparkSession, *[partial(attempt, *item) for item in parsers.items()])
+    if not any(part is not None for part in parts):
+        raise ValueError("no source could be parsed")
+    return union_posts(*[part for part in parts if part is not None])
+
+
 def write_batch(
     pages: DataFrame, batch_id: int, store: str, as_of: dt.datetime, since: dt.datetime | None = None,
-    embed: bool = True, scorer: Step = scored, embedder: Step = _embedded,
+    embed: bool = True, scorer: Step = scored, embedder: Step = _embedded, parsers: dict[str, Parser] | None = None,
 ) -> None:
     """Add one micro-batch: new posts, score and vector of every post seen, and what both change in the cube.
 
+    Sources are parsed apart from one another: one whose parser fails, on building its plan or on the data, adds nothing to this batch.
+
     A post's score and vector follow its latest text, its stored content the first one ever. Posts that an earlier batch could
     not score or embed are tried again. What is known of the batch's posts is read from the key folders they fall into only. Everything is
     written as a run that is committed at the end: a batch that is repeated after its commit does nothing, before it writes anew.
@@ -109,7 +127,7 @@ def write_batch(
 
     with scratch(spark, "batch") as keep:
         order = F.struct("fetched_at", "symbol", "term_no", "page_no", "pos")
-        cleaned = keep(clean(collect_posts(pages, as_of, since)), "cleaned")
+        cleaned = _collected(pages, as_of, since, PARSERS if parsers is None else parsers, keep)
         posts = cleaned.filter("outcome = 'processed'").groupBy(*key).agg(
             F.min_by(F.struct(*_CONTENT), order).alias("_first"), F.max_by("text", order).alias("latest_text"),
             F.max("fetched_at").alias("ingested_at")).select(*key, "_first.*", "latest_text", "ingested_at")

@@ -12,6 +12,7 @@ from marketpulse.operators import aggregate as A
 from marketpulse.operators import resolve as R
 from marketpulse.plans.report import report_from_store
 from marketpulse.schemas import LANDED_PAGE
+from marketpulse.sources import stocktwits, x
 from marketpulse.store import colocated, compact, cube, log
 from marketpulse.store.tables import TABLES
 from marketpulse.streaming import ingest
@@ -162,6 +163,18 @@ def test_failed_posts_are_tried_again(spark, tmp_path):
     assert log.snapshot(spark, store).read("pending").count() == 0 and set(TABLES) <= set(os.listdir(store))
 
 
+def test_a_parser_that_fails_on_the_data_costs_its_own_source(spark, tmp_path):
+    store = str(tmp_path / "store")
+    ingest.create_store(spark, store, buckets=2)
+    both = pages(spark, 0, [("1", GOOD, 1)]).unionByName(pages(spark, 0, [("2", GOOD, 1)], source="stocktwits"))
+    broken = lambda raw, as_of, since: stocktwits.posts(raw, as_of, since).withColumn("text", F.raise_error(F.lit("odd")).cast("string"))
+    ingest.write_batch(both, 0, store, NOW, embed=False, parsers={"x": x.posts, "stocktwits": broken})
+    assert [r["platform_id"] for r in ingest.stored_posts(spark, store).collect()] == ["1"]
+    with pytest.raises(ValueError):
+        ingest.write_batch(both, 1, store, NOW, embed=False, parsers={"stocktwits": broken})
+    assert log.snapshot(spark, store).runs == [(-1, -1), (0, 0)]
+
+
 def test_which_runs_are_read_and_put_together():
     assert log.live([(0, 0), (1, 1), (2, 2), (0, 1), (3, 3)]) == [(0, 1), (2, 2), (3, 3)]
     assert log.live([(0, 1), (0, 3), (2, 3), (2, 2), (4, 4)]) == [(0, 3), (4, 4)]
