@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,6 +18,8 @@ from marketpulse.operators.sizes import is_small
 from marketpulse.schemas import POST_KEY
 from marketpulse.sources.parsing import literal_time
 
+Find = Callable[..., DataFrame]
+
 # Up to this many needles stand in the plan as literals; more go through the distributed join.
 INLINE_NEEDLES = 256
 # Lengths of the text pieces the distributed join compares. A needle uses the longest that fits in it.
@@ -96,12 +99,15 @@ def _by_pieces(upper: DataFrame, needles: DataFrame, same: dict[str, str]) -> Da
     return tested.drop("_upper", "needle").distinct()
 
 
-def mention_join(posts: DataFrame, instruments: DataFrame, inline_limit: int = INLINE_NEEDLES) -> DataFrame:
-    """Post key and symbol for every instrument a post mentions, by symbol or by company name."""
+def mention_join(posts: DataFrame, instruments: DataFrame, inline_limit: int = INLINE_NEEDLES, find: Find | None = None) -> DataFrame:
+    """Post key and symbol for every instrument a post mentions, by symbol or by company name.
+
+    find: another way to join substrings, such as a stored index (`store.search.finder`).
+    """
     by_symbol = instruments.select("symbol", F.col("symbol").alias("needle"))
     by_company = instruments.select(F.coalesce("symbol", F.lit("")).alias("symbol"), F.upper("company_name").alias("needle"))
     needles = by_symbol.unionByName(by_company).filter(F.col("needle") != "").distinct()
-    return substring_join(posts, needles, inline_limit=inline_limit)
+    return (find or substring_join)(posts, needles, inline_limit=inline_limit)
 
 
 def _stream_symbol(symbol: Column) -> Column:
@@ -138,12 +144,12 @@ def search_terms(instruments: DataFrame) -> DataFrame:
 
 def search_match(
     posts: DataFrame, instruments: DataFrame, as_of: dt.datetime,
-    per_term: int = SEARCH_RESULTS_PER_TERM, inline_limit: int = INLINE_NEEDLES,
+    per_term: int = SEARCH_RESULTS_PER_TERM, inline_limit: int = INLINE_NEEDLES, find: Find | None = None,
 ) -> DataFrame:
     """Landed posts that the platforms' searches would return for each instrument, with the matching term.
 
     X takes English posts that are not reposts; Reddit the newest posts of a week per community and term; StockTwits
-    the posts tagged with the symbol. Matching ignores case.
+    the posts tagged with the symbol. Matching ignores case. find: another way to join substrings, such as a stored index.
     """
     symbol, company = F.coalesce("symbol", F.lit("")), F.coalesce("company_name", F.lit(""))
     differs = (company != "") & (F.upper(company) != symbol)
@@ -168,7 +174,7 @@ def search_match(
         | ((F.col("source") == "reddit") & F.col("subreddit").isin(*SUBREDDITS) & (F.col("created_at") >= week))
         | (F.col("source") == "stocktwits")
     )
-    found = substring_join(
+    found = (find or substring_join)(
         searchable, needles, carry=("subreddit", "created_at"), same={"term_source": "source"}, inline_limit=inline_limit)
     newest = Window.partitionBy("symbol", "term_no", "subreddit").orderBy(F.desc("created_at"), "platform_id")
     reddit = (

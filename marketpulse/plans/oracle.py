@@ -495,6 +495,7 @@ SELECTS["answers_sink"] = f"""SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 TH
     CASE WHEN posts_found > 0 THEN posts_found END AS total_input, no_symbols, probable_bots,
     CASE WHEN posts_found > 0 THEN posts_processed END AS passed, error FROM report"""
 SELECTS["stream_keep_first"] = SELECTS["dedupe_keep_first"]
+SELECTS["search_match_indexed"], SELECTS["mention_join_indexed"] = SELECTS["search_match"], SELECTS["mention_join"]
 SELECTS["ivf_exact"] = SELECTS["cosine_topk"]
 SELECTS["posts_sentiment_bucketed"] = SELECTS["posts_sentiment_join"]
 SELECTS["stream_compacted"] = SELECTS["stream_ingest"]

@@ -24,7 +24,7 @@ from marketpulse.session import configure, materialize, scratch_path
 from marketpulse.sources import landed, outcomes, reddit, stocktwits, x
 from marketpulse.sources.parsing import literal_time
 from marketpulse.sources.timestamps import stocktwits_created_at, x_created_at
-from marketpulse.store import answers, cache, colocated, cube, log
+from marketpulse.store import answers, cache, colocated, cube, log, search
 from marketpulse.store import vectors as stored_vectors
 from marketpulse.store.tables import COUNTS
 from marketpulse.streaming import first, ingest, rolling
@@ -175,6 +175,26 @@ def search_match(spark, sf):
     return mentions.search_match(v.posts(spark, sf), v.instruments(spark, sf), v.AS_OF)
 
 
+def _text_index(spark: SparkSession, sf: str) -> search.TextIndex:
+    """Postings of all posts, in two runs as two batches would leave them."""
+    path, posts = scratch_path(spark, "postings"), v.posts(spark, sf)
+    for run in (0, 1):
+        index = search.add(posts.filter(F.col("doc_id") % 2 == run), path, f"run={run}_{run}")
+    return index
+
+
+@query
+def search_match_indexed(spark, sf):
+    """The same searches by the stored index of text pieces."""
+    posts = v.posts(spark, sf)
+    return mentions.search_match(posts, v.instruments(spark, sf), v.AS_OF, find=search.finder(_text_index(spark, sf)))
+
+
+@query
+def mention_join_indexed(spark, sf):
+    return mentions.mention_join(v.posts(spark, sf), v.instruments(spark, sf), find=search.finder(_text_index(spark, sf)))
+
+
 @query
 def dedupe_keep_first(spark, sf):
     """Posts delivered by several terms: the first term counts."""
