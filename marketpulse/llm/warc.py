@@ -6,8 +6,8 @@ continuation records that name it as their origin. Payloads of some length that
 
 from __future__ import annotations
 
-import gzip
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -23,6 +23,9 @@ CHUNK_CHARS, SEGMENT_CHARS = 4096, 16_384
 RECORDS_PER_FILE = 1000
 DATE = "2024-01-01T00:00:00Z"
 END = "\r\n\r\n"
+VERSIONS = (b"WARC/1.0", b"WARC/1.1")
+#: Records that are no captured pages.
+NO_PAGES = ("warcinfo", "request", "metadata", "resource", "conversion")
 _RECORDS = "record_id string, page_id long, record_type string, refers_to long, payload_digest string, payload_bytes long, segment int, total long, block binary, problem string"
 _PAGES = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary, problem string"
 
@@ -81,57 +84,104 @@ def write_warc(pages: DataFrame, path: str) -> None:
 
 
 def decode_chunked(body: bytes) -> tuple[bytes, str | None]:
-    """Payload of a chunked body, and what is wrong with its framing, if anything."""
+    """Payload of a chunked body, and what is wrong with its framing, if anything. Fields after the last chunk are left out."""
     out, at = [], 0
     while True:
         end = body.find(b"\r\n", at)
-        try:
-            size = int(body[at:end].split(b";")[0], 16) if end > at else -1
-        except ValueError:
-            size = -1
-        if size < 0 or end + 4 + size > len(body) or body[end + 2 + size : end + 4 + size] != b"\r\n":
+        digits = body[at:end].split(b";")[0].strip(b" \t") if end > at else b""
+        if not digits or len(digits) > 15 or digits.strip(b"0123456789abcdefABCDEF"):
             return b"".join(out), "bad chunk"
+        size = int(digits, 16)
         if size == 0:
-            return b"".join(out), None if end + 4 == len(body) else "bytes after the last chunk"
+            fields = body[end:].removesuffix(b"\r\n").removeprefix(b"\r\n")
+            if not body.endswith(b"\r\n", end + 2) or any(b":" not in line for line in fields.split(b"\r\n")[:-1]) or fields and not fields.endswith(b"\r\n"):
+                return b"".join(out), "bytes after the last chunk" if body.startswith(b"\r\n", end + 2) else "bad chunk"
+            return b"".join(out), None
+        if end + 4 + size > len(body) or body[end + 2 + size : end + 4 + size] != b"\r\n":
+            return b"".join(out), "bad chunk"
         out.append(body[end + 2 : end + 2 + size])
         at = end + 4 + size
 
 
+def _whole_number(text: str) -> int | None:
+    return int(text) if text.isascii() and text.isdigit() and len(text) <= 18 else None
+
+
+def _fields(lines: list[bytes]) -> dict[str, str]:
+    return {k.strip().lower(): v.strip() for k, _, v in (line.decode(errors="replace").partition(":") for line in lines)}
+
+
+def unzipped(data: bytes) -> tuple[bytes, str | None]:
+    """What a gzipped file of one or more members holds, as far as it can be read, and what is wrong with it."""
+    out = []
+    while data:
+        member, at = zlib.decompressobj(wbits=31), 0
+        while at < len(data) and not member.eof:
+            before, piece = member.copy(), data[at : at + (1 << 16)]
+            try:
+                out.append(member.decompress(piece))
+            except zlib.error:  # what lies before the fault is good, such as all of it before a wrong checksum
+                try:
+                    for i in range(len(piece)):
+                        out.append(before.decompress(piece[i : i + 1]))
+                except zlib.error:
+                    pass
+                return b"".join(out), "bad gzip"
+            at += 1 << 16
+        if not member.eof:
+            return b"".join(out), "gzip breaks off"
+        data = (member.unused_data + data[at:]).lstrip(b"\0")
+    return b"".join(out), None
+
+
 def _page(name: str) -> int | None:
     number = name.removeprefix("<urn:page:").split(":")[0]
-    return int(number) if number.lstrip("-").isdigit() else None
+    size = _whole_number(number.removeprefix("-"))
+    return None if size is None else -size if number.startswith("-") else size
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Records of whole files. A file that breaks off gives a row with the problem."""
+    """Records of whole files. A file that breaks off, or is no archive, gives a row with the problem after those of what could be read."""
     schema = pa.schema([("record_id", pa.string()), ("page_id", pa.int64()), ("record_type", pa.string()), ("refers_to", pa.int64()),
                         ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("segment", pa.int32()), ("total", pa.int64()),
                         ("block", pa.binary()), ("problem", pa.string())])
     for batch in batches:
         for content in batch.column(0):
-            data, at, rows = content.as_py(), 0, []
+            data, at, rows, broken = content.as_py(), 0, [], None
             if data[:2] == b"\x1f\x8b":
-                data = gzip.decompress(data)
+                data, broken = unzipped(data)
             while at < len(data):
                 end = data.find(b"\r\n\r\n", at)
                 lines = data[at:end].split(b"\r\n") if end >= 0 else [b""]
-                fields = {k.lower(): v for k, _, v in (line.decode().partition(": ") for line in lines[1:])}
-                length = fields.get("content-length", "")
-                if lines[0] != b"WARC/1.1" or not length.isdigit() or end + 8 + int(length) > len(data):
-                    rows.append(dict(record_id=f"broken at {at}", problem="broken file"))
+                fields = _fields(lines[1:])
+                length = _whole_number(fields.get("content-length", ""))
+                if lines[0] not in VERSIONS or length is None or end + 8 + length > len(data):
+                    broken = broken or "broken file"
                     break
-                block = data[end + 4 : end + 4 + int(length)]
-                at = end + 8 + int(length)
+                block = data[end + 4 : end + 4 + length]
+                at = end + 8 + length
+                kind = fields.get("warc-type")
+                if kind in NO_PAGES:
+                    continue
                 origin = fields.get("warc-segment-origin-id", fields.get("warc-record-id", ""))
-                row = dict(record_id=origin, page_id=_page(origin), record_type=fields.get("warc-type"), block=block,
+                segment = _whole_number(fields.get("warc-segment-number", "0"))
+                row = dict(record_id=origin, page_id=_page(origin), record_type=kind, block=block,
                            payload_digest=fields.get("warc-payload-digest", "").removeprefix("sha256:") or None,
-                           segment=int(fields.get("warc-segment-number", 0)))
+                           segment=segment if segment is not None and segment < 1 << 31 else 0)
+                if segment is None or segment >= 1 << 31:
+                    row["problem"] = "bad segment number"
+                elif kind not in ("response", "revisit", "continuation"):
+                    row["problem"] = "unknown record type"
                 if "warc-segment-total-length" in fields:
-                    row["total"] = int(fields["warc-segment-total-length"])
-                if row["record_type"] == "revisit":
-                    head = {k.lower(): v for k, _, v in (line.partition(": ") for line in block.decode().split("\r\n"))}
-                    row |= dict(payload_bytes=int(head.get("content-length", 0)), refers_to=_page(fields.get("warc-refers-to", "")), block=None)
+                    row["total"] = _whole_number(fields["warc-segment-total-length"])
+                    if row["total"] is None:
+                        row["problem"] = "bad total length"
+                if kind == "revisit":
+                    head = _fields(block.split(b"\r\n"))
+                    row |= dict(payload_bytes=_whole_number(head.get("content-length", "0")), refers_to=_page(fields.get("warc-refers-to", "")), block=None)
                 rows.append(row)
+            if broken:
+                rows.append(dict(record_id=f"broken at {at}", segment=0, problem=broken))
             for i in range(0, len(rows), 500):
                 yield pa.RecordBatch.from_pylist(rows[i : i + 500], schema=schema)
 
@@ -139,6 +189,7 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _finish(parts: list[dict], keep_payload: bool) -> list[dict]:
     """Pages of the records of one origin, ordered by segment; more than one only if a record is there more than once."""
     first = next((p for p in parts if p["record_type"] != "continuation"), parts[0])
+    first = dict(first, problem=next((p["problem"] for p in parts if p["problem"]), None))
     out = dict(page_id=first["page_id"], payload_bytes=first["payload_bytes"], payload_digest=first["payload_digest"],
                record_type=first["record_type"], refers_to=first["refers_to"], payload=None, problem=first["problem"])
     copies = sum(p["segment"] == first["segment"] for p in parts)
@@ -187,7 +238,9 @@ def read_warc(spark: SparkSession, path: str, keep_payload: bool = False) -> Dat
     revisit), problem (null if the record is whole and its length, framing and digest are right).
 
     Continuation records are grouped by their origin, put in order by segment number, checked against the stated total length and
-    decoded from chunked framing. Only one page's segments meet in memory.
+    decoded from chunked framing. Only one page's segments meet in memory. Files are plain or gzipped, of one member or many. What cannot be read
+    does not stop the others: a file that breaks off or is damaged gives a row with the problem, and so does a record whose numbers or
+    type make no sense. Records of other types (requests, metadata, descriptions of the file) are no pages and give no row. No files: no rows.
     """
     files = configure(spark).read.format("binaryFile").load(path).select("content")
     records = files.mapInArrow(_parse, _RECORDS)
