@@ -80,7 +80,7 @@ def test_answers_of_the_edges(docs, labels):
     stays = [r["doc_id"] for r in minhash.drop_near_duplicates(docs).collect()]
     assert stays.count(1) == 1 and 2 not in stays and None in stays
     lm = {r["doc_id"]: r for r in lmscore.cross_entropy_difference(docs, labels.limit(0)).collect()}
-    assert lm[3]["difference"] is None and lm[4]["n_tokens"] == 0 and lm[6]["n_tokens"] == len(LONG)
+    assert lm[3]["difference"] is None and lm[4]["n_tokens"] == 0 and lm[6]["n_tokens"] == len(LONG.split())
     judged = {r["doc_id"]: r for r in thresholds.judge(docs, labels).collect()}
     assert judged[4]["base_failed"] and judged[6]["n_repeat_words"] == 60_000 and not judged[6]["kept"]
 
