@@ -22,6 +22,7 @@ HEADLINE = (
     "x_parse", "reddit_thread_comments", "stocktwits_parse", "mention_join", "search_match", "resolve_cached",
     "sentiment_by_source", "posts_sentiment_join", "upsert_posts", "upsert_sentiment", "interest_over_time",
     "trends_record", "embed_hash", "cosine_topk", "ivf_topk", "rolling_sentiment", "stream_dedupe", "stream_ingest",
+    "report_from_store", "posts_sentiment_bucketed", "ivf_exact", "dead_letters_replay",
 )
 
 
