@@ -13,10 +13,12 @@ from marketpulse.llm.common import fold, table
 
 
 def op1_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in a batch of its length bucket. Null and empty texts have length 0, a null doc_id is packed as any other; an empty table gives no row."""
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
 def op2_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every text, learned outside the held-out third. Texts without a letter, null or empty are `und`; repeated rows count each; an empty table gives no row."""
     docs = table(spark, sf_dir, "documents")
     langs, model = langid.learn(docs, fold("doc_id", 3) != 1)
     told = langid.identify(docs.withColumn("held_out", fold("doc_id", 3) == 1), langs, model, ["doc_id", "held_out"])
@@ -24,15 +26,18 @@ def op2_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_repair_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place, number and checksum of every document's ids, read back from the token files. Null texts are empty; rows without doc_id come first, ties by text; an empty table gives no row."""
     return tokenfile.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def op4_raked_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The calibrated rate of every document and whether it is drawn. Null sources and languages are values of their own; a text without words has rate 0; an empty table gives no row."""
     mixed = mixing.mix(table(spark, sf_dir, "documents"), ["doc_id"])
     return mixed.select("doc_id", "n_tokens", F.round("rate", 6).alias("rate"), "kept")
 
 
 def op5_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality score of every text, learned outside the held-out fifth. Null and empty texts are scored as empty ones; repeated rows each; an empty table gives no row."""
     docs = table(spark, sf_dir, "documents")
     ensemble = rules.fit(docs, table(spark, sf_dir, "labels"), fold("doc_id", 5) != 0)
     scored = rules.score(docs, ensemble, ["doc_id"])
@@ -40,31 +45,38 @@ def op5_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_segment_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty best inner products of every twentieth vector. Null vectors, and those with null or non-finite components, take no part; ties go to the smaller vec_id."""
     return topk.exact_topk(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
 def op7_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Loss of every text under the models of good documents and of all. Null and empty texts have 0 tokens and null losses; a null doc_id is never a good one; an empty table gives no row."""
     wanted = table(spark, sf_dir, "labels").where(lmscore.good_documents())
     return lmscore.cross_entropy_difference(table(spark, sf_dir, "documents"), wanted.select("doc_id"))
 
 
 def op8_risk_controlled_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict for every text. Null texts have no words and fail the base rules; a stratum without enough labels has no cutoff and keeps what passes them; an empty table gives no row."""
     return thresholds.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op9_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a reader finds in the archives written from all pages. Null html is empty; equal payloads of 100 bytes or more are written once, ties to the smaller page_id; an empty table gives no row."""
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
 def op10_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of near-duplicates over four-word shingles. Null and blank texts link with nothing; rows of one doc_id share a group; an empty table gives no row."""
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
 
 
 def op11_gray_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of fingerprints over three-word shingles. Null and blank texts have fingerprint zero, linked like any other; rows of one doc_id share a group; an empty table gives no row."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, most=3)
 
 
 def op12_multi_index_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector; labels of every seventh are moved on first. Null labels and vectors, and non-finite components, take no part; ties go to the smaller vec_id."""
     vectors = table(spark, sf_dir, "embeddings")
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hardnegatives.hard_negatives(vectors.withColumn("label", moved), F.col("vec_id") % 100 == 0)
