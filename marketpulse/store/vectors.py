@@ -24,6 +24,8 @@ from marketpulse.store.tables import latest
 TRAINING_ROWS = 200_000
 #: The lists are trained anew when new vectors lie this much farther from their centroids, in mean cosine, than those trained on did.
 DRIFT = 0.1
+#: Leading bits of a key's hash by which keys are counted to find the training rows.
+_HASH_BITS = 16
 _ROWS = "vec_id string, vector array<float>, batch_id bigint, list_id int"
 
 
@@ -98,13 +100,37 @@ def _add(index: VectorIndex, vectors: DataFrame, run: str) -> None:
     similarity.list_measures(written, index.centroids).write.mode("overwrite").parquet(f"{path}/sizes/{run}")
 
 
+def training_rows(store: Snapshot, rows: int | None = None) -> DataFrame:
+    """(vec_id, vector) of the posts that come first by the hash of their key.
+
+    The last of them is found among the keys alone, by counts per range of hashes, so vectors are neither sorted nor brought together.
+    """
+    rows = TRAINING_ROWS if rows is None else rows
+    number = F.xxhash64("vec_id")
+    part = F.shiftright(number, 64 - _HASH_BITS)  # ranges in the order of the hashes, negative ones first
+    vectors = _vectors(store).select("vec_id", "vector")
+    keys = store.read("embeddings").select(vector_id().alias("vec_id")).distinct()
+    before = 0
+    for r in keys.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).orderBy("part").toLocalIterator():
+        if before + r["n"] > rows:
+            break
+        before += r["n"]
+    else:
+        return vectors
+    if before == rows:
+        return vectors.filter(part < r["part"])
+    last = keys.filter(part == r["part"]).select(number.alias("number"), "vec_id").orderBy("number", "vec_id").limit(rows - before).collect()[-1]
+    return vectors.filter((number < last["number"]) | ((number == last["number"]) & (F.col("vec_id") <= last["vec_id"])))
+
+
 def build(spark: SparkSession, store: str, lists: int = 100) -> VectorIndex:
     """A new generation: lists trained on what is stored now, all stored vectors assigned."""
     now = snapshot(spark, store)
     vectors = _vectors(now)
     numbers = _generations(spark, store)
     path = f"{store}/ivf/generation={numbers[-1] + 1 if numbers else 0}"
-    some = vectors.select("vec_id", l2_normalize(F.col("vector").cast("array<double>")).alias("vector")).orderBy(F.xxhash64("vec_id"), "vec_id").limit(TRAINING_ROWS)
+    # In order within a task, as the first centroids are drawn by place.
+    some = training_rows(now).select("vec_id", l2_normalize(F.col("vector").cast("array<double>")).alias("vector")).sortWithinPartitions("vec_id")
     similarity.train_lists(some, lists).write.mode("overwrite").parquet(f"{path}/centroids")
     _add(VectorIndex(spark, path, []), vectors, f"run=-1_{now.runs[-1][1]}")
     for old in numbers[:-1]:  # the one before stays for those who search it

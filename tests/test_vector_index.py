@@ -48,3 +48,19 @@ def test_index_follows_the_store(spark, tmp_path):
     moved = vectors.current(spark, store)
     check(moved)
     assert min(np.array([m for _, m in moved.closeness()])) > 0.9 and moved.runs == ["run=-1_2"]
+
+
+def test_training_rows_are_not_brought_together(spark, tmp_path):
+    store = str(tmp_path / "store")
+    ingest.create_store(spark, store, buckets=2)
+    for batch_id, ids in enumerate((range(1, 40), range(20, 60))):
+        ingest.write_batch(pages(spark, batch_id, [(str(i), GOOD, 1) for i in ids]), batch_id, store, NOW, embedder=embedder(0))
+    now = log.snapshot(spark, store)
+    stored = ingest.latest_of(spark, store, "embeddings").select(vectors.vector_id().alias("vec_id"), F.col("emb").alias("vector"))
+    by_hash = [tuple(r) for r in stored.orderBy(F.xxhash64("vec_id"), "vec_id").collect()]
+    for n in (1, 7, len(by_hash) - 1, len(by_hash), len(by_hash) + 5):
+        some = vectors.training_rows(now, n)
+        assert sorted(tuple(r) for r in some.collect()) == sorted(by_hash[:n])
+        plan = some._jdf.queryExecution().executedPlan().toString()
+        assert "TakeOrdered" not in plan and "GlobalLimit" not in plan and "SinglePartition" not in plan
+    assert vectors.build(spark, store, 3).rows.count() == len(by_hash)
