@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -14,6 +15,10 @@ from marketpulse.constants import EMBEDDING_DIM
 from marketpulse.functions.binding import bind
 
 
+# Vectors drawn at a time: their digests and numbers in double precision are many times as large as what is kept.
+DRAWN_ROWS = 256
+
+
 def l2_norm(vector: Column) -> Column:
     return F.sqrt(F.aggregate(vector, F.lit(0.0), lambda total, x: total + x.cast("double") * x.cast("double")))
 
@@ -41,21 +46,29 @@ def _gaussian_rows(seeds: list[str], dim: int) -> np.ndarray:
     return np.stack([radius * np.cos(angle), radius * np.sin(angle)], axis=-1).reshape(len(seeds), -1)[:, :dim]
 
 
+def _units(batches: Iterator[pd.Series], dim: int) -> Iterator[pd.Series]:
+    """Unit vectors of the seeds in single precision, handed on a few at a time; none where the seed is null."""
+    for seeds in batches:
+        for start in range(0, len(seeds), DRAWN_ROWS):
+            some = seeds.iloc[start:start + DRAWN_ROWS]
+            known = some.notna().to_numpy()
+            out = pd.Series([None] * len(some), dtype=object)
+            if known.any():
+                rows = _gaussian_rows(some[known].tolist(), dim)
+                norms = np.linalg.norm(rows, axis=1, keepdims=True)
+                units = (rows / np.where(norms > 0, norms, 1.0)).astype(np.float32)
+                out[np.flatnonzero(known)] = list(units)
+            yield out
+
+
 def hash_embedding(text: Column, dim: int = EMBEDDING_DIM) -> Column:
     """Unit vector in single precision that depends on the text alone: the embedding used where no model is given.
 
-    The whole text is hashed in the JVM; only the digest goes to Python, where a batch of vectors is drawn at once.
+    The whole text is hashed in the JVM; only the digest goes to Python, where some hundred vectors are drawn at once.
     Nested array functions could do the same, but are interpreted per element.
     """
     @F.pandas_udf("array<float>")
-    def draw(seeds: pd.Series) -> pd.Series:
-        known = seeds.notna().to_numpy()
-        out = pd.Series([None] * len(seeds), dtype=object)
-        if known.any():
-            rows = _gaussian_rows(seeds[known].tolist(), dim)
-            norms = np.linalg.norm(rows, axis=1, keepdims=True)
-            units = (rows / np.where(norms > 0, norms, 1.0)).astype(np.float32)
-            out[np.flatnonzero(known)] = list(units)
-        return out
+    def draw(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        yield from _units(batches, dim)
 
     return draw(F.md5(text.cast("binary")))

@@ -1,6 +1,7 @@
 import sys
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
@@ -74,6 +75,23 @@ def test_hash_embedding(texts):
     assert abs(np.mean(a)) < 0.02 and np.std(a) == pytest.approx(1 / np.sqrt(384), rel=0.1)
 
 
+def test_vectors_are_drawn_a_few_at_a_time(spark, monkeypatch):
+    drawn = []
+    rows = V._gaussian_rows
+    monkeypatch.setattr(V, "_gaussian_rows", lambda seeds, dim: drawn.append(len(seeds)) or rows(seeds, dim))
+    seeds = pd.Series([None if i % 5 == 0 else f"{i}" for i in range(1000)])
+    parts = list(V._units(iter([seeds, seeds[:0], seeds[:3]]), 8))
+    assert max(map(len, parts)) <= V.DRAWN_ROWS and max(drawn) <= V.DRAWN_ROWS
+    out = pd.concat(parts, ignore_index=True)
+    assert len(out) == 1003 and out.isna().tolist() == [i % 5 == 0 for i in [*range(1000), 0, 1, 2]]
+    monkeypatch.undo()
+    # In one task, more rows than are drawn at a time: each keeps its own vector.
+    texts = spark.range(0, 1000, 1, 1).select("id", F.when(F.col("id") % 5 > 0, F.col("id").cast("string")).alias("text"))
+    got = {r["id"]: r["e"] for r in texts.select("id", V.hash_embedding(F.col("text"), 8).alias("e")).collect()}
+    one = {r["id"]: r["e"] for r in texts.filter("id = 999 or id = 256").select("id", V.hash_embedding(F.col("text"), 8).alias("e")).collect()}
+    assert len(got) == 1000 and got[0] is None and got[999] == one[999] and got[256] == one[256]
+
+
 def working():
     return lambda batch: np.array([[t.count("a"), t.count("b")] for t in batch], dtype=float)
 
