@@ -23,10 +23,10 @@ def _keep(delay_ms: int):
             return
         held = [state.get] if state.exists else []
         for batch in batches:
-            # Rows of one place are copies; the payload decides, so that arrival does not.
-            rows = batch.sort_values(["o0", "o1", "o2", "payload"])
-            o0, o1, o2, payload = rows[["o0", "o1", "o2", "payload"]].iloc[0]
-            held.append((int(o0), int(o1), int(o2), int(batch["at"].min()) + delay_ms, payload))
+            for row in batch["row"].tolist():
+                o0, o1, o2, at, payload = row.split(",", 4)
+                held.append((int(o0), int(o1), int(o2), int(at) + delay_ms, payload))
+        # Rows of one place are copies; the payload decides, so that arrival does not.
         first_row = min(held, key=lambda row: (*row[:3], row[4]))
         until = min(row[3] for row in held)
         state.update((*first_row[:3], until, first_row[4]))
@@ -45,9 +45,9 @@ def keep_first_stream(posts: DataFrame, *key: str, delay: str = "1 day", time: s
     names = posts.columns
     delay_ms = int(pd.Timedelta(delay).total_seconds() * 1000)
     order = [F.coalesce(F.col(c).cast("long"), F.lit(0).cast("long")) if c in names else F.lit(0).cast("long") for c in ORDER]
-    rows = posts.withWatermark(time, delay).select(
-        *[F.col(c).alias(f"k{i}") for i, c in enumerate(key)], time, *[c.alias(f"o{i}") for i, c in enumerate(order)],
-        F.unix_millis(time).alias("at"), F.to_json(F.struct(*names), _TIME).alias("payload"))
+    # One text per row: every column that goes to Python is converted anew for each key, which is most of the work.
+    packed = F.concat_ws(",", *order, F.unix_millis(time), F.to_json(F.struct(*names), _TIME))
+    rows = posts.withWatermark(time, delay).select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(key)], time, packed.alias("row"))
     kept = rows.groupBy(*[f"k{i}" for i in range(len(key))]).applyInPandasWithState(
         _keep(delay_ms), "payload string", "o0 long, o1 long, o2 long, until long, payload string", "append", GroupStateTimeout.EventTimeTimeout)
     return kept.select(F.from_json("payload", posts.schema, _TIME).alias("row")).select("row.*")

@@ -2,6 +2,7 @@ import datetime as dt
 import json
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -124,3 +125,24 @@ def test_first_by_place_whatever_the_arrival(spark, tmp_path):
         assert len(got) == 40 and {(r["platform_id"], r["term_no"], r["page_no"], r["pos"]) for r in got} == batch
         by = {r[5]: r[6] for r in rows}
         assert all(by[r["text"]] == r["fetched_at"] for r in got)
+
+
+def test_a_key_is_handed_to_python_as_one_text_per_row(spark):
+    class State:
+        exists, hasTimedOut, get = False, False, None
+
+        def update(self, row):
+            self.get, self.exists = row, True
+
+        def setTimeoutTimestamp(self, at):
+            self.until = at
+
+        def getCurrentWatermarkMs(self):
+            return 0
+
+    state, keep = State(), first._keep(1000)
+    for rows in (['2,0,1,50,{"t":"a,b"}', '1,3,0,90,{"t":"z"}', '1,3,0,70,{"t":"c,1"}'], ['1,2,9,60,{"t":"late"}'], ['10,0,0,5,{"t":"no"}']):
+        assert not list(keep((), iter([pd.DataFrame({"row": rows})]), state))
+        if len(rows) == 3:
+            assert state.get == (1, 3, 0, 1050, '{"t":"c,1"}')
+    assert state.get == (1, 2, 9, 1005, '{"t":"late"}') and state.until == 1005
