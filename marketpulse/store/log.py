@@ -87,8 +87,8 @@ def write_run(rows: DataFrame, store: str, table: str, first: int, last: int) ->
     rows = rows.select(*[c.split()[0] for c in TABLES[table].split(", ")], *folders)
     if folders:
         rows.hint("rebalance", *folders).write.mode("overwrite").partitionBy(*folders).parquet(path)
-    else:
-        rows.hint("rebalance").write.mode("overwrite").parquet(path)
+    else:  # written where the rows are: what comes from a shuffle has been put into few parts there
+        rows.write.mode("overwrite").parquet(path)
 
 
 def create_store(spark: SparkSession, store: str, buckets: int) -> None:

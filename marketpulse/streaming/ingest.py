@@ -130,7 +130,10 @@ def write_batch(
         cleaned = _collected(pages, as_of, since, PARSERS if parsers is None else parsers, keep)
         posts = cleaned.filter("outcome = 'processed'").groupBy(*key).agg(
             F.min_by(F.struct(*_CONTENT), order).alias("_first"), F.max_by("text", order).alias("latest_text"),
-            F.max("fetched_at").alias("ingested_at")).select(*key, "_first.*", "latest_text", "ingested_at")
+            F.max("fetched_at").alias("ingested_at"))
+        # A text that is first and latest is kept once.
+        same = F.col("latest_text").eqNullSafe(F.col("_first.text"))
+        posts = posts.select(*key, "_first.*", F.when(~same, F.col("latest_text")).alias("latest_text"), same.alias("same_text"), "ingested_at")
         met = cleaned.groupBy(*key, F.col("symbol")).agg(F.max_by(F.struct("created_at", "outcome"), order).alias("_row")).select(
             *key, "symbol", "_row.*", bucket_of(now.buckets).alias("bucket"), batch)
         # Posts to be scored and embedded: those of the batch, and what earlier batches have left.
@@ -139,7 +142,7 @@ def write_batch(
             spark, lambda: keep(posts, "posts"), lambda: keep(met, "met"), lambda: keep(left, "left"))
         yes = F.lit(True)
         todo = keep(
-            posts.select(*key, F.col("latest_text").alias("text"), yes.alias("no_score"), F.lit(embed).alias("no_vector"))
+            posts.select(*key, F.when(F.col("same_text"), F.col("text")).otherwise(F.col("latest_text")).alias("text"), yes.alias("no_score"), F.lit(embed).alias("no_vector"))
             .unionByName(left.join(posts.select(*key), key, "left_anti").select(*key, "text", "no_score", "no_vector")), "todo")
         scores_failed, vectors_failed, touched = together(
             spark, lambda: _made(scorer, todo, "no_score", "model is not null", lambda rows: write(rows, "sentiment")),

@@ -215,3 +215,11 @@ def test_published_tables_join_without_a_shuffle(spark, store):
     assert same()
     for part in colocated.PARTS:
         spark.sql(f"DROP TABLE {name}_{part}")
+
+
+def test_tables_without_folders_are_written_without_a_shuffle(spark, tmp_path):
+    key = [F.lit("x").alias("source"), F.col("id").cast("string").alias("platform_id")]
+    rows = spark.range(0, 90, 1, 3).select(*key, F.array(F.col("id").cast("float")).alias("emb"), F.lit(0).cast("bigint").alias("batch_id"))
+    log.write_run(rows, str(tmp_path), "embeddings", 0, 0)
+    files = list(tmp_path.glob("embeddings/run=0_0/part-*.parquet"))
+    assert len(files) == 3 and spark.read.parquet(*map(str, files)).count() == 90
