@@ -28,8 +28,17 @@ _TEXTS = "block long, number int, source string, platform_id string, upper strin
 
 
 def _pieces(upper: Column, length: int) -> Column:
-    """Every piece of that length, one at each place: a look-ahead takes them in one pass."""
-    return F.regexp_extract_all(upper, F.lit(rf"(?s)(?=(.{{{length}}}))"), F.lit(1))
+    """Every piece of that length, one at each place: a look-ahead takes them in one pass. The point after it goes on by a whole
+    character, never into one that Java keeps as two."""
+    return F.regexp_extract_all(upper, F.lit(rf"(?s)(?=(.{{{length}}}))."), F.lit(1))
+
+
+def _distinct_pieces(upper: Column) -> Column:
+    """The distinct pieces of one to LONGEST characters. The text is gone through once, for the longest piece at each place
+    (at its end: what is left); the shorter ones are how the distinct ones of these begin."""
+    heads = F.array_distinct(F.regexp_extract_all(upper, F.lit(rf"(?s)(?=(.{{1,{LONGEST}}}))."), F.lit(1)))
+    begins = F.transform(heads, lambda head: F.array(*[F.substring(head, 1, n) for n in range(1, LONGEST + 1)]))
+    return F.array_distinct(F.flatten(begins))
 
 
 def _folder(piece: Column) -> Column:
@@ -75,8 +84,7 @@ def add(posts: DataFrame, path: str, run: str) -> TextIndex:
     numbered.withColumn("number", number).select("block", "number", *POST_KEY, "upper").repartitionByRange("block").sortWithinPartitions(
         "block", "number").write.mode("overwrite").parquet(f"{path}/texts/{run}")
     texts = spark.read.schema(_TEXTS.removesuffix(", run string")).parquet(f"{path}/texts/{run}")
-    each = F.array_distinct(F.flatten(F.array(*[_pieces(F.col("upper"), n) for n in range(1, LONGEST + 1)])))
-    rows = texts.select("block", "number", F.explode(each).alias("piece"))
+    rows = texts.select("block", "number", F.explode(_distinct_pieces(F.col("upper"))).alias("piece"))
     rows.groupBy("piece", "block").agg(F.array_sort(F.collect_list("number")).alias("posts")).withColumn("folder", _folder(F.col("piece"))).hint(
         "rebalance", "folder").sortWithinPartitions("folder", "piece").write.mode("overwrite").partitionBy("folder").parquet(f"{path}/postings/{run}")
     return open_index(spark, path)

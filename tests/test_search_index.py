@@ -50,3 +50,12 @@ def test_index_of_a_store(spark, tmp_path):
     index = search.update(spark, store, path)
     assert found(search.search(index, needles)) == [("1", "m"), ("2", "t"), ("3", "m")]
     assert search.update(spark, store, path).runs == index.runs == ["run=0_0", "run=1_1"]
+
+
+def test_pieces_come_of_one_pass_over_a_text(spark, texts):
+    rows = texts([t for t in TEXTS if t is not None] + ["a\0b\0", "ab😀ab😀a"])
+    pieces = rows.select("text", search._distinct_pieces(F.col("text")).alias("pieces"))
+    for row in pieces.collect():
+        text = row["text"]
+        assert sorted(row["pieces"]) == sorted({text[i:i + n] for n in (1, 2, 3) for i in range(len(text) - n + 1)})
+    assert pieces._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
