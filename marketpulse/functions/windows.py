@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from marketpulse.constants import DEFAULT_WINDOW_HOURS
+from marketpulse.functions.binding import bind
 
 # Hours per unit.
 HOURS_PER_UNIT = {"h": 1, "d": 24, "w": 168}
@@ -32,14 +33,16 @@ def parse_window(window: str) -> dt.timedelta:
 
 def window_hours(window: Column) -> Column:
     """Column form of parse_window: hours, or null for a window that is invalid or too long."""
-    amount = F.substring(window, F.lit(1), F.length(window) - 1)
-    unit = F.lower(F.right(window, F.lit(1)))
-    number = F.replace(F.trim(amount), F.lit("_"), F.lit("")).try_cast("bigint")
-    per_unit = F.lit(None).cast("bigint")
-    for name, hours in HOURS_PER_UNIT.items():
-        per_unit = F.when(unit == name, F.lit(hours)).otherwise(per_unit)
-    hours = F.when(per_unit.isNull(), DEFAULT_WINDOW_HOURS).otherwise(F.try_multiply(number, per_unit)).cast("bigint")
-    return F.when(F.rlike(amount, F.lit(_NUMBER)) & hours.between(-MAX_HOURS, MAX_HOURS), hours)
+    per_unit = F.create_map(*[F.lit(part) for unit in HOURS_PER_UNIT.items() for part in unit])
+    parts = F.struct(F.substring(window, F.lit(1), F.length(window) - 1).alias("amount"), F.lower(F.right(window, F.lit(1))).alias("unit"))
+
+    def read(p: Column) -> Column:
+        number = F.replace(F.trim(p["amount"]), F.lit("_"), F.lit("")).try_cast("bigint")
+        by = F.try_element_at(per_unit, p["unit"])
+        hours = F.when(by.isNull(), DEFAULT_WINDOW_HOURS).otherwise(F.try_multiply(number, by)).cast("bigint")
+        return F.when(F.rlike(p["amount"], F.lit(_NUMBER)), hours)
+
+    return bind(bind(parts, read), lambda hours: F.when(hours.between(-MAX_HOURS, MAX_HOURS), hours))
 
 
 def age_hours(created_at: Column, as_of: Column) -> Column:

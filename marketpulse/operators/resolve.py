@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketpulse.constants import CACHE_TTL_DAYS, COMPANY_TICKERS
+from marketpulse.functions.binding import bind
 from marketpulse.functions.windows import request_reason, window_hours
 from marketpulse.operators.merge import merge_latest
 from marketpulse.operators.sizes import broadcast_if_small
@@ -17,9 +18,15 @@ _FIELDS = ("symbol", "cik", "isin", "figi", "company_name")
 
 
 def validate_requests(requests: DataFrame) -> DataFrame:
-    """Add the reason a request is refused (null where accepted) and the upper-cased symbol to look up."""
-    return requests.withColumn("reason", request_reason(F.col("symbol"), F.col("window"))).withColumn(
-        "query", F.when(F.col("reason").isNull(), F.upper("symbol")))
+    """Add the reason a request is refused (null where accepted) and the upper-cased symbol to look up.
+
+    Each check reads the symbol and the window as values: the expressions that make them are not repeated in every test.
+    """
+    reason = bind(F.struct("symbol", "window"), lambda r: F.struct(
+        request_reason(r["symbol"], r["window"]).alias("reason"), F.upper(r["symbol"]).alias("query")))
+    checked = bind(reason, lambda c: F.struct(c["reason"].alias("reason"), F.when(c["reason"].isNull(), c["query"]).alias("query")))
+    # Out of a generator, so that the filters and columns that follow do not check once for each use.
+    return requests.select(*[c for c in requests.columns if c not in ("reason", "query")], F.inline(F.array(checked)))
 
 
 def with_window(requests: DataFrame) -> DataFrame:
@@ -33,15 +40,21 @@ def normalize_query(query: Column) -> Column:
 
 def resolve_query(query: Column) -> Column:
     """Up to five letters are a ticker; then the company names count; anything else stands for itself."""
-    name = normalize_query(query)
     names = F.create_map(*[F.lit(part) for pair in COMPANY_TICKERS.items() for part in pair])
-    is_ticker = F.rlike(name, F.lit(r"^\p{L}{1,5}$"))
     unknown = F.lit(None).cast("string")
-    return F.struct(
-        F.when(is_ticker, name).otherwise(F.coalesce(F.try_element_at(names, name), name)).alias("symbol"),
-        unknown.alias("cik"), unknown.alias("isin"), unknown.alias("figi"),
-        F.when(is_ticker, name).otherwise(query).alias("company_name"),
-    )
+
+    def resolved(q: Column) -> Column:
+        name, is_ticker = q["name"], q["is_ticker"]
+        return F.struct(
+            F.when(is_ticker, name).otherwise(F.coalesce(F.try_element_at(names, name), name)).alias("symbol"),
+            unknown.alias("cik"), unknown.alias("isin"), unknown.alias("figi"),
+            F.when(is_ticker, name).otherwise(q["query"]).alias("company_name"),
+        )
+
+    named = F.struct(query.alias("query"), normalize_query(query).alias("name"))
+    told = bind(named, lambda q: F.struct(
+        q["query"].alias("query"), q["name"].alias("name"), F.rlike(q["name"], F.lit(r"^\p{L}{1,5}$")).alias("is_ticker")))
+    return bind(told, resolved)
 
 
 def resolve_symbols(requests: DataFrame, cache: DataFrame | None = None, as_of: dt.datetime | None = None) -> DataFrame:

@@ -648,15 +648,14 @@ def report_dry_run(spark, sf):
 
 @query
 def report_json_rows(spark, sf):
-    body = F.col("body")
-    return report_json(_report(spark, sf)).select(
-        "o_orderkey", "query", "window", F.get_json_object(body, "$.symbol").alias("symbol"),
-        F.get_json_object(body, "$.posts_found").cast("bigint").alias("posts_found"),
-        F.get_json_object(body, "$.sources.reddit").cast("bigint").alias("reddit"),
-        F.get_json_object(body, "$.weighted_sentiment").cast("double").alias("weighted_sentiment"),
-        F.get_json_object(body, "$.error").alias("error"),
-        F.get_json_object(body, "$.resolved_instrument.company_name").alias("company_name"),
-        F.array_join(F.array_sort(F.json_object_keys(body)), ",").alias("fields"))
+    # The body is parsed once for all fields that are shown, and once more for the names of all.
+    shown = ("symbol string, posts_found long, weighted_sentiment double, sources struct<reddit:long>, "
+             "resolved_instrument struct<company_name:string>, error string")
+    read = report_json(_report(spark, sf)).select(
+        "o_orderkey", "query", "window", F.from_json("body", shown).alias("b"), F.json_object_keys("body").alias("fields"))
+    return read.select(
+        "o_orderkey", "query", "window", "b.symbol", "b.posts_found", "b.sources.reddit", "b.weighted_sentiment", "b.error",
+        "b.resolved_instrument.company_name", F.array_join(F.array_sort("fields"), ",").alias("fields"))
 
 
 REGISTRY["report_json"] = REGISTRY.pop("report_json_rows")

@@ -97,3 +97,16 @@ def test_windows_beyond_any_time(spark):
             assert parse_window(w).total_seconds() == 3600 * hours
     refused = spark.sql("SELECT 'A' AS s, '9999999999h' AS w").select(request_reason(F.col("s"), F.col("w"))).first()[0]
     assert refused == "window_invalid"
+
+
+def test_checks_are_not_repeated_for_each_use(spark):
+    """What makes symbol and window is computed once per request, and the result of a check is a column for what follows."""
+    made = spark.range(40).select(
+        F.col("id").alias("o_orderkey"), F.concat(F.lit("$"), F.upper(F.char(F.col("id") % 26 + 97))).alias("symbol"),
+        F.concat((F.col("id") % 30).cast("string"), F.lit("h")).alias("window"))
+    accepted = R.with_window(R.validate_requests(made).filter("reason is null").select("o_orderkey", "query", "window"))
+    asked = R.resolve_symbols(accepted)
+    assert {(r["hours"], r["instrument"]["symbol"]) for r in asked.collect()} == {(i % 30, chr(65 + i % 26)) for i in range(40)}
+    plan = asked._jdf.queryExecution().optimizedPlan().toString()
+    # The accepted form, the number in the check and in the hours, and the ticker's form.
+    assert plan.count("RLIKE") == 4 and plan.count("regexp_replace") == 1
