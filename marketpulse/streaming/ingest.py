@@ -128,40 +128,48 @@ def write_batch(
     with scratch(spark, "batch") as keep:
         order = F.struct("fetched_at", "symbol", "term_no", "page_no", "pos")
         cleaned = _collected(pages, as_of, since, PARSERS if parsers is None else parsers, keep)
-        posts = cleaned.filter("outcome = 'processed'").groupBy(*key).agg(
-            F.min_by(F.struct(*_CONTENT), order).alias("_first"), F.max_by("text", order).alias("latest_text"),
-            F.max("fetched_at").alias("ingested_at"))
-        # A text that is first and latest is kept once.
-        same = F.col("latest_text").eqNullSafe(F.col("_first.text"))
-        posts = posts.select(*key, "_first.*", F.when(~same, F.col("latest_text")).alias("latest_text"), same.alias("same_text"), "ingested_at")
         met = cleaned.groupBy(*key, F.col("symbol")).agg(F.max_by(F.struct("created_at", "outcome"), order).alias("_row")).select(
             *key, "symbol", "_row.*", bucket_of(now.buckets).alias("bucket"), batch)
         # Posts to be scored and embedded: those of the batch, and what earlier batches have left.
         left = latest(earlier.read("pending"), "pending").filter("no_score or no_vector")
-        posts, met, left = together(
-            spark, lambda: keep(posts, "posts"), lambda: keep(met, "met"), lambda: keep(left, "left"))
-        yes = F.lit(True)
-        todo = keep(
-            posts.select(*key, F.when(F.col("same_text"), F.col("text")).otherwise(F.col("latest_text")).alias("text"), yes.alias("no_score"), F.lit(embed).alias("no_vector"))
-            .unionByName(left.join(posts.select(*key), key, "left_anti").select(*key, "text", "no_score", "no_vector")), "todo")
-        scores_failed, vectors_failed, touched = together(
-            spark, lambda: _made(scorer, todo, "no_score", "model is not null", lambda rows: write(rows, "sentiment")),
-            lambda: _made(embedder, todo, "no_vector", "emb is not null", lambda rows: write(rows, "embeddings")),
-            lambda: keep(met.select(*key).unionByName(todo.select(*key)).distinct(), "touched"))
-        own = log.Snapshot(spark, store, [(batch_id, batch_id)], now.buckets)
-        new_scores = own.read("sentiment").select(*key, F.col("polarity").alias("_polarity"), yes.alias("_scored"))
-        new_vectors = own.read("embeddings").select(*key, yes.alias("_embedded"))
+        met, left = together(spark, lambda: keep(met, "met"), lambda: keep(left, "left"))
 
         # What was known of these posts, from the folders they fall into.
+        touched = keep(met.select(*key).unionByName(left.select(*key)).distinct(), "touched")
         buckets = [r[0] for r in touched.select(bucket_of(now.buckets)).distinct().collect()]
         touched = broadcast_if_small(touched)
         known = lambda table: latest(earlier.read(table, buckets).join(touched, key, "left_semi"), table)
-        old_state, old_met = together(spark, lambda: keep(known("state"), "old-state"), lambda: keep(known("collected"), "old-collected"))
+        yes = F.lit(True)
+
+        def with_state() -> tuple[DataFrame, DataFrame]:
+            old_state = keep(known("state"), "old-state")
+            posts = cleaned.filter("outcome = 'processed'").groupBy(*key).agg(
+                F.min_by(F.struct(*_CONTENT), order).alias("_first"), F.max_by("text", order).alias("latest_text"),
+                F.max("fetched_at").alias("ingested_at"))
+            # Stored posts are told while the texts lie by key, so that they are not dealt out again to be told later.
+            posts = posts.join(old_state.select(*key, yes.alias("is_stored")), key, "left")
+            # A text that is first and latest is kept once.
+            same = F.col("latest_text").eqNullSafe(F.col("_first.text"))
+            return old_state, keep(posts.select(
+                *key, "_first.*", F.when(~same, F.col("latest_text")).alias("latest_text"), same.alias("same_text"), "ingested_at", "is_stored"), "posts")
+
+        (old_state, posts), old_met = together(spark, with_state, lambda: keep(known("collected"), "old-collected"))
+        rest = keep(left.join(posts.select(*key), key, "left_anti").select(*key, "text", "no_score", "no_vector"), "rest")
+        wants = [yes.alias("no_score"), F.lit(embed).alias("no_vector")]
+        todo = posts.select(*key, F.when(F.col("same_text"), F.col("text")).otherwise(F.col("latest_text")).alias("text"), *wants).unionByName(rest)
+        scores_failed, vectors_failed = together(
+            spark, lambda: _made(scorer, todo, "no_score", "model is not null", lambda rows: write(rows, "sentiment")),
+            lambda: _made(embedder, todo, "no_vector", "emb is not null", lambda rows: write(rows, "embeddings")))
+        own = log.Snapshot(spark, store, [(batch_id, batch_id)], now.buckets)
+        new_scores = own.read("sentiment").select(*key, F.col("polarity").alias("_polarity"), yes.alias("_scored"))
+        new_vectors = own.read("embeddings").select(*key, yes.alias("_embedded"))
 
-        first = posts.select(*key, F.col("created_at").alias("_created"), F.col("symbols").alias("_symbols"), F.col("ingested_at").alias("_ingested"))
         done = lambda wanted, made: F.coalesce(F.col(made), ~F.col(wanted), F.lit(False))
+        first = posts.select(
+            *key, *wants, F.col("created_at").alias("_created"), F.col("symbols").alias("_symbols"), F.col("ingested_at").alias("_ingested"))
         state = (
-            todo.drop("text").join(first, key, "left").join(old_state, key, "left").join(new_scores, key, "left").join(new_vectors, key, "left")
+            first.unionByName(rest.drop("text"), allowMissingColumns=True)
+            .join(old_state, key, "left").join(new_scores, key, "left").join(new_vectors, key, "left")
             .select(
                 *key, F.coalesce("created_at", "_created").alias("created_at"), F.coalesce("symbols", "_symbols").alias("symbols"),
                 F.when(F.col("_scored"), F.col("_polarity")).otherwise(F.col("polarity")).alias("polarity"),
@@ -174,12 +182,14 @@ def write_batch(
         now_state = old_state.join(state.select(*key), key, "left_anti").select(*key, "created_at", "symbols", "polarity", "scored", "embedded")
         now_state = now_state.unionByName(state.select(*now_state.columns))
         now_met = latest(old_met.drop("bucket").unionByName(met.drop("bucket")), "collected")
-        waiting = (
-            todo.select(*key, "text").join(state.select(*key, (~F.col("scored")).alias("no_score"), (~F.col("embedded")).alias("no_vector")), key)
+        # Which texts wait is told without them: they are few unless a model has failed, and the others stay where they are.
+        open_ = (
+            state.select(*key, (~F.col("scored")).alias("no_score"), (~F.col("embedded")).alias("no_vector"))
             .join(left.select(*key, yes.alias("_left")), key, "left").filter("no_score or no_vector or _left"))
+        waiting = todo.select(*key, "text").join(broadcast_if_small(keep(open_, "open")), key)
         waiting = waiting.withColumn("text", F.when(F.expr("no_score or no_vector"), F.col("text")))
         together(
-            spark, lambda: write(posts.join(old_state.select(*key), key, "left_anti"), "posts"), lambda: write(state, "state"),
+            spark, lambda: write(posts.filter("is_stored is null"), "posts"), lambda: write(state, "state"),
             lambda: write(met, "collected"), lambda: write(waiting, "pending"),
             lambda: write(cube.delta((old_state, old_met), (now_state, now_met)), "cube"))
         log.commit(spark, store, batch_id, batch_id, now.buckets)

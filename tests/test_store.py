@@ -223,3 +223,21 @@ def test_tables_without_folders_are_written_without_a_shuffle(spark, tmp_path):
     log.write_run(rows, str(tmp_path), "embeddings", 0, 0)
     files = list(tmp_path.glob("embeddings/run=0_0/part-*.parquet"))
     assert len(files) == 3 and spark.read.parquet(*map(str, files)).count() == 90
+
+
+def test_texts_are_not_dealt_out_again_to_tell_what_is_known(spark, tmp_path, monkeypatch):
+    """New posts are told where their texts lie by key; of the texts that wait only the keys are looked up."""
+    store, plans, write_run = str(tmp_path / "store"), {}, log.write_run
+
+    def seen(rows, where, table, *run):
+        plans[table] = rows._jdf.queryExecution().optimizedPlan().toString()
+        write_run(rows, where, table, *run)
+
+    ingest.create_store(spark, store, buckets=2)
+    monkeypatch.setattr(log, "write_run", seen)
+    for batch, posts in enumerate(([("1", GOOD, 1), ("2", PLAIN, 1)], [("1", PLAIN, 1), ("3", GOOD, 1)])):
+        ingest.write_batch(pages(spark, batch, posts), batch, store, NOW, embed=False)
+    assert "Join" not in plans["posts"] and "strategy=broadcast" in plans["pending"]
+    found = ingest.read_table(spark, store, "posts").select("platform_id", "batch_id").collect()
+    assert sorted(map(tuple, found)) == [("1", 0), ("2", 0), ("3", 1)]
+    assert ingest.read_table(spark, store, "pending").count() == 0
