@@ -12,12 +12,16 @@ import sys
 import types
 import zlib
 from collections.abc import Iterator
+from string import ascii_letters, ascii_lowercase
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import WhitespaceSplit
 
 from marketpulse.operators.sizes import broadcast_if_small
 from marketpulse.session import configure, materialize, scratch_path
@@ -32,102 +36,125 @@ LEAST_COUNT = 5
 SYMBOLS = 1 << 16
 #: Words whose ids a Python worker remembers.
 CACHE_WORDS = 1_000_000
-#: Texts whose new words go to the tokenizer at once.
-TOGETHER = 256
+#: Bytes of texts or so whose words are looked up together, each distinct one once (a text is never split).
+TOGETHER = 1 << 22
 _SHARDS = ("part int, shard int, base int, doc_ids array<long>, doc_ends binary, doc_tokens binary, rules binary, rule_tokens binary, "
            "symbols binary, n_ids long")
 
 
 #: ASCII marks that may follow a word's letters as one piece. Not the apostrophe, which joins letters after it.
-MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
+MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")
 
 
-class _Known(dict):
-    """Words and their ids; words that are looked up in vain are noted."""
+class _Letters(dict):
+    """Characters, and whether the tokenizer takes them for letters, in any word and alone."""
 
-    def __init__(self) -> None:
-        self.missed: list[bytes] = []
+    def __init__(self, tokenizer: Tokenizer) -> None:
+        self.tokenizer = tokenizer
 
-    def __missing__(self, word: bytes) -> None:
-        self.missed.append(word)
+    def __missing__(self, char: str) -> bool:
+        normal = self.tokenizer.normalizer.normalize_str(char)
+        self[char] = len(self.tokenizer.pre_tokenizer.pre_tokenize_str(f"a{normal}a")) == 1
+        return self[char]
 
 
 class WordEncoder:
-    """Ids of whole texts by a tokenizer whose pieces never span ASCII white space: each distinct word is encoded once.
+    """Ids of whole texts by a tokenizer whose pieces never span ASCII white space and which takes a run of letters, in lower case, as one.
 
-    Words of letters only, bare or before a run of marks, are a piece or two and go to the tokenizer many at a time; an end-of-word
-    token closes each. Any other word goes by itself.
+    Each distinct word of many texts is looked up once, without its case and the marks at its end if the rest is ASCII letters. Words
+    of letters only, bare or before a run of marks, are a piece or two and go to the tokenizer many at a time; an end-of-word token
+    closes each. Any other word goes by itself.
     """
 
-    def __init__(self, tokenizer) -> None:
+    def __init__(self, tokenizer: Tokenizer) -> None:
         self.tokenizer = tokenizer
         self.size = tokenizer.get_vocab_size()
         self.closes = np.zeros(self.size, bool)
         for token, i in tokenizer.get_vocab().items():
             self.closes[i] = token.endswith("</w>")
-        self.known = _Known()
-        self.marks: dict[bytes, bytes] = {b"": b""}
+        self.letters = _Letters(tokenizer)
+        self.plain = self._plain()
+        self.known: dict[bytes, bytes] = {b"": b""}
+
+    def _plain(self) -> Tokenizer:
+        """For ASCII letters in lower case: the model alone, if normalizing and cutting them changes nothing."""
+        plain = Tokenizer(self.tokenizer.model)
+        plain.pre_tokenizer = WhitespaceSplit()
+        probe = " ".join(a + b for a in ascii_lowercase for b in ["", *ascii_lowercase])
+        added = any(t.content.isalpha() for t in self.tokenizer.get_added_tokens_decoder().values())
+        same = plain.encode(probe, add_special_tokens=False).ids == self.tokenizer.encode(probe, add_special_tokens=False).ids
+        return plain if same and not added else self.tokenizer
 
     def encode(self, text: bytes) -> bytes:
         """The ids as little-endian unsigned 16-bit numbers."""
-        return self.encode_all([text])[0]
+        return self.encode_all(pa.array([text], pa.binary()))[0]
 
-    def encode_all(self, texts: list[bytes]) -> list[bytes]:
+    def encode_all(self, texts: pa.Array) -> list[bytes]:
         if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        missed, look = self.known.missed, self.known.__getitem__
-        pieces, holes = [], []
-        for i, text in enumerate(texts):
-            before, words = len(missed), text.split()
-            pieces.append(list(map(look, words)))
-            if len(missed) > before:
-                holes.append((i, words))
-        if missed:
-            self.learn(list(set(missed)))
-            missed.clear()
-            for i, words in holes:
-                row = pieces[i]
-                for at in [at for at, p in enumerate(row) if p is None]:
-                    row[at] = look(words[at])
-        return [b"".join(row) for row in pieces]
+            self.known = {b"": b""}
+        split = pc.ascii_split_whitespace(texts.cast(pa.string()).fill_null(""))
+        words = split.flatten().dictionary_encode()
+        ids = self._words(words.dictionary).take(words.indices)
+        sizes = np.append(0, np.cumsum(pc.binary_length(ids).to_numpy()))
+        ends = sizes[np.cumsum(split.value_lengths().to_numpy())].tolist()
+        buffer = ids.buffers()[2]
+        data = buffer.to_pybytes() if buffer else b""
+        return [data[b:e] for b, e in zip([0, *ends], ends)]
+
+    def _words(self, words: pa.Array) -> pa.Array:
+        stems = pc.ascii_rtrim(words, characters=MARKS)
+        simple = pc.ascii_is_alpha(stems)
+        stems = pc.if_else(simple, pc.ascii_lower(stems), words)
+        marks = pc.if_else(simple, pc.ascii_ltrim(words, characters=ascii_letters), "")
+        return pc.binary_join_element_wise(self._look(stems), self._look(marks), b"")
+
+    def _look(self, words: pa.Array) -> pa.Array:
+        found = words.dictionary_encode()
+        keys = found.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+        ids = list(map(self.known.get, keys))
+        if new := [k for k, i in zip(keys, ids) if i is None]:
+            self.learn(new)
+            ids = list(map(self.known.__getitem__, keys))
+        return pa.array(ids, pa.binary()).take(found.indices)
 
     def learn(self, new: list[bytes]) -> None:
-        known, stems, rest = self.known, set(), []
+        """new: distinct words not known yet; those of ASCII letters only are in lower case."""
+        known, letters, marked = self.known, self.letters.__getitem__, MARKS.encode()
+        plain, stems, rest = [], set(), []
         made: list[tuple[bytes, bytes, bytes]] = []  # word, stem, marks
         for word in new:
-            stem = word if word.isalpha() else word.rstrip(MARKS)
-            marks = word[len(stem):]
-            if stem.isalpha():
-                stem = stem.lower()
-            else:  # letters beyond ASCII, or more than letters
-                text = stem.decode()
-                if not (text.isalpha() and text.lower().isalpha()):
-                    rest.append(word)
-                    continue
-            if stem not in known:
+            if word.isalpha():
+                plain.append(word)
+                continue
+            stem = word.rstrip(marked)  # with letters beyond ASCII, or more than letters
+            if stem and all(map(letters, stem.decode())):
                 stems.add(stem)
-            if stem != word:
-                made.append((word, stem, marks))
-        if stems:
-            order = list(stems)
-            ids = self._ids([b" ".join(order).decode()])[0]
-            data, ends = ids.tobytes(), (2 * np.flatnonzero(self.closes[ids]) + 2).tolist()
-            known.update(zip(order, [data[b:e] for b, e in zip([0, *ends], ends)]))
-        if made:
-            marks = list({m for *_, m in made}.difference(self.marks))
-            self.marks.update(zip(marks, [ids.tobytes() for ids in self._ids([m.decode() for m in marks])]))
-            known.update([(word, known[stem] + self.marks[m]) for word, stem, m in made])
-        if rest:
-            known.update(zip(rest, [ids.tobytes() for ids in self._ids([w.decode() for w in rest])]))
-
-    def _ids(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint16) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+                made.append((word, stem, word[len(stem):]))
+            else:
+                rest.append(word)
+        self._learn_letters(self.plain, plain)
+        self._learn_letters(self.tokenizer, [s for s in stems if s not in known])
+        rest += {m for *_, m in made}.difference(known, rest)
+        known.update(zip(rest, self._ids(rest)))
+        known.update([(word, known[stem] + known[m]) for word, stem, m in made])
+
+    def _learn_letters(self, tokenizer: Tokenizer, words: list[bytes]) -> None:
+        """Words of letters only, at once; by themselves if they turn out not to be a piece each."""
+        if not words:
+            return
+        text = b" ".join(words).decode()
+        ids = np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint16)
+        data, ends = ids.tobytes(), (2 * np.flatnonzero(self.closes[ids]) + 2).tolist()
+        each = len(ends) == len(words)
+        self.known.update(zip(words, [data[b:e] for b, e in zip([0, *ends], ends)] if each else self._ids(words)))
+
+    def _ids(self, words: list[bytes]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
+        return [np.array(e.ids, np.uint16).tobytes() for e in found]
 
 
 def word_encoder(path: str) -> WordEncoder:
     """One encoder per Python worker and file, kept between tasks."""
-    from tokenizers import Tokenizer
-
     store = sys.modules.setdefault("marketpulse_worker_store", types.ModuleType("marketpulse_worker_store"))
     kept = store.__dict__.setdefault("encoders", {})
     if path not in kept:
@@ -217,10 +244,11 @@ def _encode(path: str):
             return batch
 
         for batch in batches:
-            for begin in range(0, batch.num_rows, TOGETHER):
-                some = batch.slice(begin, TOGETHER)
-                found = encoder.encode_all([t or b"" for t in some.column(1).to_pylist()])
-                for key, text in zip(some.column(0).to_pylist(), found):
+            upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(), dtype=np.int64)
+            cuts = [0, *(np.flatnonzero(np.diff(upto // TOGETHER)) + 1).tolist(), batch.num_rows]
+            for begin, stop in zip(cuts, cuts[1:]):
+                some = batch.slice(begin, stop - begin)
+                for key, text in zip(some.column(0).to_pylist(), encoder.encode_all(some.column(1))):
                     ids.append(key)
                     texts.append(text + end)
                     size += len(texts[-1]) // 2

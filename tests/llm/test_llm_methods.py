@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from compare import connect, differences
 from hypothesis import given, settings
@@ -131,6 +132,31 @@ def test_words_encode_as_whole_texts(parts):
     assert np.frombuffer(encoder.encode(text.encode()), np.uint16).tolist() == whole
 
 
+#: Letters that normalize to more than letters, or that tables of characters disagree about; words of one piece, and of more.
+WORDS = ["\u0958\u093e", "\u0958", "क", "x\u0301", "e\u0301", "İstanbul", "ΑΣ", "\U00010d4a", "\U00010d4a.", "\U00010d4a\u0061.", "ﬁn", "한국", "\u1112\u1161\u11ab", "ß!", "Ça.",
+         "don't!!", "'s", "it'S.", "'", "...", "a.b", "ABC,", "abc", "v2.", "2²", "x\x1cy", "x\u00a0y", "<|endoftext|>", "a<|endoftext|>b", "\x7f.", "a\x7f.", "é\u2026.", "ſ"]
+
+
+def test_words_learned_together_encode_as_alone():
+    """Many words go to the tokenizer at once; none shifts another, whatever is learned with it."""
+    whole = Tokenizer.from_file(TOKENIZER)
+    texts = [" ".join(WORDS), " ".join(reversed(WORDS)), None, "", " \t", "\n".join(f"{a}{b}" for a in WORDS for b in (".", "'", "s", "!?")), *WORDS]
+    wanted = [whole.encode(t or "", add_special_tokens=False).ids for t in texts]
+    for _ in range(2):
+        encoder = tokenfile.WordEncoder(whole)
+        for _ in range(2):  # new, then known
+            found = encoder.encode_all(pa.array([t if t is None else t.encode() for t in texts], pa.binary()))
+            assert [np.frombuffer(f, np.uint16).tolist() for f in found] == wanted
+        texts, wanted = texts[::-1], wanted[::-1]
+
+
+def test_distinct_words_are_looked_up_once():
+    """Copies of a word, its cases and the marks after it cost no further look at the known words."""
+    encoder = tokenfile.WordEncoder(Tokenizer.from_file(TOKENIZER))
+    encoder.encode_all(pa.array([b"alpha Alpha, ALPHA. beta " * 500] * 4, pa.binary()))
+    assert set(encoder.known) == {b"", b"alpha", b"beta", b",", b"."}
+
+
 def test_token_files_of_empty_and_repeated_rows(spark):
     rows = [(3, None), (1, ""), (2, "one two"), (2, "one two"), (2, "a"), (None, "no id"), (5, " \n"), (4, "x " * 3000)]
     tokenizer, start, wanted = Tokenizer.from_file(TOKENIZER), 0, []
