@@ -8,11 +8,12 @@ and how many ids it has are stored with the symbols, so any document is expanded
 
 from __future__ import annotations
 
+import codecs
 import sys
 import types
 import zlib
 from collections.abc import Iterator
-from string import ascii_letters, ascii_lowercase
+from string import ascii_letters
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ from marketpulse.session import configure, materialize, scratch_path
 END_ID = 1
 #: Ids of a shard or so (a document is never split).
 SHARD_IDS = 1 << 20
-#: Pairs that are replaced together before pairs are counted again; rounds go on until nothing is gained.
+#: Pairs that are replaced together before pairs are counted again (numbered in 16 bits); rounds go on until nothing is gained.
 ROUND_RULES = 4096
 #: A rule takes eight bytes (two symbols and a length), a replaced pair saves two: it must occur five times to be worth one.
 LEAST_COUNT = 5
@@ -44,6 +45,8 @@ _SHARDS = ("part int, shard int, base int, doc_ids array<long>, doc_ends binary,
 
 #: ASCII marks that may follow a word's letters as one piece. Not the apostrophe, which joins letters after it.
 MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")
+#: Letters beyond ASCII none of which is combined with its neighbours when normalized.
+LATIN = "".join(c for c in map(chr, range(0xAA, 0x250)) if c.isalpha())
 
 
 class _Letters(dict):
@@ -61,7 +64,7 @@ class _Letters(dict):
 class WordEncoder:
     """Ids of whole texts by a tokenizer whose pieces never span ASCII white space and which takes a run of letters, in lower case, as one.
 
-    Each distinct word of many texts is looked up once, without its case and the marks at its end if the rest is ASCII letters. Words
+    Each distinct word of many texts is looked up once, without its case and the marks at its end if the rest is Latin letters. Words
     of letters only, bare or before a run of marks, are a piece or two and go to the tokenizer many at a time; an end-of-word token
     closes each. Any other word goes by itself.
     """
@@ -73,17 +76,28 @@ class WordEncoder:
         for token, i in tokenizer.get_vocab().items():
             self.closes[i] = token.endswith("</w>")
         self.letters = _Letters(tokenizer)
-        self.plain = self._plain()
+        #: The model alone, the characters it has for bytes, and the letters of which words may go there; else the whole tokenizer.
+        self.plain, self.table, self.simple = self._plain(ascii_letters + LATIN) or self._plain(ascii_letters) or (tokenizer, None, ascii_letters)
+        self.pattern = f"^[{self.simple}]+$"
+        self.is_simple = frozenset(self.simple).issuperset
         self.known: dict[bytes, bytes] = {b"": b""}
 
-    def _plain(self) -> Tokenizer:
-        """For ASCII letters in lower case: the model alone, if normalizing and cutting them changes nothing."""
+    def _plain(self, letters: str) -> tuple[Tokenizer, str, str] | None:
+        """For words of these letters in lower case: the model alone, if normalizing and cutting change no more than case and bytes."""
+        lower = dict(zip(letters, pc.utf8_lower(pa.array(list(letters))).to_pylist()))
+        letters = "".join(c for c in letters if lower[c] in lower and self.tokenizer.normalizer.normalize_str(c) == lower[c] and self.letters[c])
+        small = [c for c in letters if lower[c] == c]
+        table = {ord(" "): " "}
+        for c in small:
+            table.update(zip(c.encode(), "".join(piece for piece, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(c))))
+        table = "".join(table.get(b, "\ufffe") for b in range(256))  # U+FFFE: no character
         plain = Tokenizer(self.tokenizer.model)
         plain.pre_tokenizer = WhitespaceSplit()
-        probe = " ".join(a + b for a in ascii_lowercase for b in ["", *ascii_lowercase])
+        probe = " ".join(a + b for a in small for b in ["", *small[:26], a, f"{a}a"])
         added = any(t.content.isalpha() for t in self.tokenizer.get_added_tokens_decoder().values())
-        same = plain.encode(probe, add_special_tokens=False).ids == self.tokenizer.encode(probe, add_special_tokens=False).ids
-        return plain if same and not added else self.tokenizer
+        given = codecs.charmap_decode(probe.encode(), "replace", table)[0]
+        same = plain.encode(given, add_special_tokens=False).ids == self.tokenizer.encode(probe, add_special_tokens=False).ids
+        return (plain, table, letters) if letters and same and not added else None
 
     def encode(self, text: bytes) -> bytes:
         """The ids as little-endian unsigned 16-bit numbers."""
@@ -103,9 +117,9 @@ class WordEncoder:
 
     def _words(self, words: pa.Array) -> pa.Array:
         stems = pc.ascii_rtrim(words, characters=MARKS)
-        simple = pc.ascii_is_alpha(stems)
-        stems = pc.if_else(simple, pc.ascii_lower(stems), words)
-        marks = pc.if_else(simple, pc.ascii_ltrim(words, characters=ascii_letters), "")
+        simple = pc.match_substring_regex(stems, self.pattern)
+        stems = pc.if_else(simple, pc.utf8_lower(stems), words)
+        marks = pc.if_else(simple, pc.utf8_ltrim(words, characters=self.simple), "")
         return pc.binary_join_element_wise(self._look(stems), self._look(marks), b"")
 
     def _look(self, words: pa.Array) -> pa.Array:
@@ -114,35 +128,36 @@ class WordEncoder:
         ids = list(map(self.known.get, keys))
         if new := [k for k, i in zip(keys, ids) if i is None]:
             self.learn(new)
-            ids = list(map(self.known.__getitem__, keys))
+            ids = [self.known[k] if i is None else i for k, i in zip(keys, ids)]
         return pa.array(ids, pa.binary()).take(found.indices)
 
     def learn(self, new: list[bytes]) -> None:
-        """new: distinct words not known yet; those of ASCII letters only are in lower case."""
+        """new: distinct words not known yet; those of Latin letters only are in lower case."""
         known, letters, marked = self.known, self.letters.__getitem__, MARKS.encode()
         plain, stems, rest = [], set(), []
         made: list[tuple[bytes, bytes, bytes]] = []  # word, stem, marks
         for word in new:
-            if word.isalpha():
+            if word.isalpha() or self.is_simple(word.decode()):
                 plain.append(word)
                 continue
-            stem = word.rstrip(marked)  # with letters beyond ASCII, or more than letters
+            stem = word.rstrip(marked)  # with letters beyond Latin, or more than letters
             if stem and all(map(letters, stem.decode())):
                 stems.add(stem)
                 made.append((word, stem, word[len(stem):]))
             else:
                 rest.append(word)
-        self._learn_letters(self.plain, plain)
+        self._learn_letters(self.plain, plain, self.table)
         self._learn_letters(self.tokenizer, [s for s in stems if s not in known])
         rest += {m for *_, m in made}.difference(known, rest)
         known.update(zip(rest, self._ids(rest)))
         known.update([(word, known[stem] + known[m]) for word, stem, m in made])
 
-    def _learn_letters(self, tokenizer: Tokenizer, words: list[bytes]) -> None:
+    def _learn_letters(self, tokenizer: Tokenizer, words: list[bytes], table: str | None = None) -> None:
         """Words of letters only, at once; by themselves if they turn out not to be a piece each."""
         if not words:
             return
-        text = b" ".join(words).decode()
+        text = b" ".join(words)
+        text = codecs.charmap_decode(text, "strict", table)[0] if table else text.decode()
         ids = np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint16)
         data, ends = ids.tobytes(), (2 * np.flatnonzero(self.closes[ids]) + 2).tolist()
         each = len(ends) == len(words)
@@ -163,60 +178,73 @@ def word_encoder(path: str) -> WordEncoder:
 
 
 def _hash(pairs: np.ndarray) -> np.ndarray:
-    return (pairs * np.uint32(2654435761)) >> np.uint32(12)
+    return (pairs * np.uint32(2654435761)) >> np.uint32(14)
 
 
 def compress(symbols: np.ndarray, ends: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Re-Pair: (symbols, ends, rules (n, 2), ids each rule stands for). ends: end of each document in the symbols."""
     symbols = symbols.astype(np.uint32)
-    last = np.zeros(len(symbols), bool)
-    last[ends[np.diff(ends, prepend=0) > 0] - 1] = True
     empty = np.diff(ends, prepend=0) == 0
+    last = np.uint32(SYMBOLS)  # the bit above a symbol: it is the last one of its document
+    symbols[ends[~empty] - 1] |= last
     rules, lengths = np.empty((0, 2), np.uint32), np.empty(0, np.uint32)
     while (room := min(ROUND_RULES, SYMBOLS - base - len(rules))) > 0 and len(symbols) > 1:
-        pairs = (symbols[:-1] << np.uint32(16)) | symbols[1:]
-        inside = ~last[:-1]
-        found, counts = np.unique(pairs[inside], return_counts=True)
-        often = np.flatnonzero(counts >= LEAST_COUNT)
-        if not len(often):
+        pairs = (symbols[:-1] << np.uint32(16)) | (symbols[1:] & np.uint32(SYMBOLS - 1))
+        inside = symbols[:-1] < last
+        found = np.sort(pairs[inside])
+        # A pair stays as often as it occurs, less LEAST_COUNT - 1.
+        upto = max(0, len(found) - LEAST_COUNT + 1)
+        found = found[:upto][found[:upto] == found[LEAST_COUNT - 1 :]]
+        if not len(found):
             break
-        chosen = found[np.sort(often[np.argsort(-counts[often], kind="stable")[:room]])]
-        # A table by hash tells most pairs that are not chosen; the rest are looked up.
-        likely = np.zeros(1 << 20, bool)
-        likely[_hash(chosen)] = True
-        at = np.flatnonzero(likely[_hash(pairs)] & inside)
-        place = np.minimum(np.searchsorted(chosen, pairs[at]), len(chosen) - 1)
-        right = chosen[place] == pairs[at]
+        first = np.flatnonzero(np.append(True, found[1:] != found[:-1]))
+        often = np.sort(np.argsort(-np.diff(first, append=len(found)), kind="stable")[:room])
+        chosen = found[first[often]]
+        # A table by hash has the place of a pair among those chosen; pairs that share its entry are looked up.
+        hashes, numbers = _hash(chosen), np.arange(len(chosen), dtype=np.int16)
+        entry = np.full(1 << 18, -1, np.int16)
+        entry[hashes] = numbers
+        likely = entry[_hash(pairs)]
+        at = np.flatnonzero((likely >= 0) & inside)
+        place, pair = likely[at], pairs[at]
+        right = chosen[place] == pair
+        if len(hidden := np.flatnonzero(entry[hashes] != numbers)):
+            shared = np.zeros(len(entry), bool)
+            shared[hashes[hidden]] = True
+            wrong = np.flatnonzero(~right)
+            wrong = wrong[shared[_hash(pair[wrong])]]
+            place[wrong] = np.minimum(np.searchsorted(chosen, pair[wrong]), len(chosen) - 1)
+            right[wrong] = chosen[place[wrong]] == pair[wrong]
         at, place = at[right], place[right]
         # Of pairs that overlap, every other one from the left.
         run = np.flatnonzero(np.diff(at, prepend=-2) != 1)
-        odd = (np.arange(len(at)) - np.repeat(run, np.diff(np.append(run, len(at))))) % 2 == 0
+        odd = (at ^ np.repeat(at[run], np.diff(run, append=len(at)))) & 1 == 0
         at, place = at[odd], place[odd]
-        symbols[at] = base + len(rules) + place
-        last[at] = last[at + 1]
+        symbols[at] = (place + np.uint32(base + len(rules))) | (symbols[at + 1] & last)
         stay = np.ones(len(symbols), bool)
         stay[at + 1] = False
-        symbols, last = symbols[stay], last[stay]
+        symbols = symbols[stay]
         of = np.concatenate([np.ones(base, np.uint32), lengths])
         left, right = chosen >> np.uint32(16), chosen & np.uint32(0xFFFF)
         lengths = np.append(lengths, of[left] + of[right])
         rules = np.concatenate([rules, np.stack([left, right], axis=1)])
     new_ends = np.zeros(len(ends), np.int64)
-    new_ends[~empty] = np.flatnonzero(last) + 1
+    new_ends[~empty] = np.flatnonzero(symbols >= last) + 1
     return symbols.astype(np.uint16), np.maximum.accumulate(new_ends) if len(ends) else new_ends, rules, lengths
 
 
 def expand(symbols: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
     """The ids that symbols stand for."""
     symbols = symbols.astype(np.uint32)
+    left, right = np.ascontiguousarray(rules[:, 0]), np.ascontiguousarray(rules[:, 1])
     while len(new := np.flatnonzero(symbols >= base)):
-        width = np.ones(len(symbols), np.int64)
-        width[new] = 2
-        at = np.cumsum(width) - width
-        out = np.empty(at[-1] + width[-1], np.uint32)
-        out[at] = symbols
-        pair = rules[symbols[new] - base]
-        out[at[new]], out[at[new] + 1] = pair[:, 0], pair[:, 1]
+        rule = symbols[new] - base
+        at = new + np.arange(len(new))  # each one before took a place more
+        stay = np.ones(len(symbols) + len(new), bool)
+        stay[at + 1] = False
+        out = np.empty(len(stay), np.uint32)
+        out[stay] = symbols
+        out[at], out[at + 1] = left[rule], right[rule]
         symbols = out
     return symbols
 

@@ -157,6 +157,39 @@ def test_distinct_words_are_looked_up_once():
     assert set(encoder.known) == {b"", b"alpha", b"beta", b",", b"."}
 
 
+def test_latin_words_are_looked_up_once():
+    """So do those of words with Latin letters beyond ASCII, which need no normalizing and cutting of their own."""
+    encoder = tokenfile.WordEncoder(Tokenizer.from_file(TOKENIZER))
+    encoder.encode_all(pa.array(["été Été, ÉTÉ. straße Straße. ÀB àb ".encode() * 500] * 4, pa.binary()))
+    assert set(encoder.known) == {w.encode() for w in ("", "été", "straße", "àb", ",", ".")}
+
+
+def test_latin_letters_encode_as_whole_texts():
+    """Each letter by itself, beside others, before marks and before accents that join it, learned with all others."""
+    whole, letters = Tokenizer.from_file(TOKENIZER), tokenfile.LATIN
+    texts = [" ".join(f"{a}{c}{b}" for c in letters) for a in ("", "x", "É", "'s") for b in ("", "e", "ßT.", "\u0301", "\u0327\u0301o", "'s", "2")]
+    texts += [" ".join(a + b for a in letters[::7] for b in letters), letters, letters[::-1]]
+    found = tokenfile.WordEncoder(whole).encode_all(pa.array([t.encode() for t in texts], pa.binary()))
+    for text, ids in zip(texts, found):
+        assert np.frombuffer(ids, np.uint16).tolist() == whole.encode(text, add_special_tokens=False).ids
+
+
+def test_pairs_of_one_hash_all_become_rules():
+    """Pairs that share an entry of the table by hash are told apart, whichever is written there last."""
+    pairs = np.arange(2, 700, dtype=np.uint32)
+    pairs = ((pairs[:, None] << np.uint32(16)) | pairs).ravel()
+    hashes = tokenfile._hash(pairs)
+    order = np.argsort(hashes, kind="stable")
+    same = np.flatnonzero(hashes[order][1:] == hashes[order][:-1])[:40]
+    chosen = np.unique(pairs[order[np.append(same, same + 1)]])
+    symbols = np.stack([chosen >> 16, chosen & 0xFFFF], axis=1).astype(np.uint16)
+    text = np.tile(symbols, (tokenfile.LEAST_COUNT, 1))
+    ends = np.arange(2, text.size + 1, 2)  # a document for each pair
+    packed, new_ends, rules, lengths = tokenfile.compress(text.ravel(), ends, 1000)
+    assert len(rules) == len(chosen) and len(packed) == len(text) and (packed >= 1000).all() and (lengths == 2).all()
+    assert np.array_equal(tokenfile.expand(packed, rules, 1000), text.ravel()) and np.array_equal(new_ends, np.arange(1, len(text) + 1))
+
+
 def test_token_files_of_empty_and_repeated_rows(spark):
     rows = [(3, None), (1, ""), (2, "one two"), (2, "one two"), (2, "a"), (None, "no id"), (5, " \n"), (4, "x " * 3000)]
     tokenizer, start, wanted = Tokenizer.from_file(TOKENIZER), 0, []
