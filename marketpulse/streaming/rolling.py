@@ -10,6 +10,9 @@ from pyspark.sql.streaming import StreamingQuery
 from marketpulse.operators.aggregate import per_symbol
 from marketpulse.schemas import POST_KEY
 
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
 def dedupe_stream(posts: DataFrame, delay: str = "7 days") -> DataFrame:
     """One row per key among deliveries that lie within the watermark; older state is dropped."""
@@ -39,8 +42,18 @@ def rolling_stream(scored_posts: DataFrame, delay: str = "1 hour", length: str =
 
 
 def write_available(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Append all results for the data available now to a table."""
-    return (
+    """Append all results for the data available now to a table. State that Spark keeps in RocksDB only is kept there, other state as the session has it."""
+    writer = (
         stream.writeStream.outputMode("append").format("parquet").option("path", path)
-        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        .option("checkpointLocation", checkpoint).trigger(availableNow=True)
     )
+    if "TransformWithState" not in stream._jdf.queryExecution().analyzed().toString():
+        return writer.start()
+    # A stream takes over the settings of its session when it starts.
+    conf = stream.sparkSession.conf
+    before = conf.get(STATE_STORE)
+    conf.set(STATE_STORE, ROCKSDB)
+    try:
+        return writer.start()
+    finally:
+        conf.set(STATE_STORE, before)

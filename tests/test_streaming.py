@@ -1,5 +1,6 @@
 import datetime as dt
 import json
+import os
 
 import numpy as np
 import pandas as pd
@@ -146,3 +147,68 @@ def test_a_key_is_handed_to_python_as_one_text_per_row(spark):
         if len(rows) == 3:
             assert state.get == (1, 3, 0, 1050, '{"t":"c,1"}')
     assert state.get == (1, 2, 9, 1005, '{"t":"late"}') and state.until == 1005
+
+
+def test_the_keys_of_a_bucket_are_handed_to_python_at_once():
+    class Store(dict):
+        get, update, clear = (lambda self: dict.get(self, 0)), (lambda self, value: self.__setitem__(0, value)), dict.clear
+        getValue, updateValue, removeKey = dict.__getitem__, dict.__setitem__, dict.__delitem__
+
+    class Handle:
+        def __init__(self):
+            self.index, self.rows, self.timers = Store(), Store(), set()
+            self.registerTimer, self.deleteTimer = self.timers.add, self.timers.remove
+
+        def getValueState(self, *_):
+            return self.index
+
+        def getMapState(self, *_):
+            return self.rows
+
+    class At(int):
+        getCurrentWatermarkInMs = getExpiryTimeInMs = int.__int__
+
+    handle, keep = Handle(), first._KeepInBuckets(1000)
+    keep.init(handle)
+
+    def arrive(now, **rows):
+        frame = pd.DataFrame([(k, row) for k, found in rows.items() for row in found], columns=["k", "row"])
+        assert not list(keep.handleInputRows((0,), iter([frame[:2], frame[2:]]), At(now)))
+        assert len(handle.timers) == 1
+
+    def expire(now):
+        at = handle.timers.pop()
+        return sorted(row for part in keep.handleExpiredTimer((0,), At(now), At(at)) for row in part["payload"])
+
+    arrive(0, a=['2,0,1,50,{"t":"a,b"}', '1,3,0,90,{"t":"z"}', '1,3,0,70,{"t":"c,1"}'], b=['1,0,0,400,{"t":"b"}'], c=['0,0,0,10,{"t":"c"}'])
+    assert list(handle.rows) == [(1,)] and handle.timers == {1010}
+    arrive(20, a=['1,2,9,60,{"t":"late"}', '10,0,0,30,{"t":"no"}'], b=['1,0,0,410,{"t":"a"}', '1,0,0,420,{"t":"c"}'])
+    # A row is written where it was better than what was held, and not again.
+    assert [v[0] for v in handle.rows.values()] == [b'{"t":"c,1"}\n{"t":"b"}\n{"t":"c"}', b'{"t":"late"}\n{"t":"a"}']
+    assert expire(1011) == ['{"t":"c"}'] and handle.timers == {1030} and list(handle.rows) == [(2,)]
+    # A row that comes when its key is due is waited for; the other key is not.
+    arrive(2000, a=['0,0,0,1990,{"t":"again"}'])
+    assert expire(2000) == ['{"t":"a"}'] and expire(2002) == ['{"t":"again"}']
+    assert not handle.rows and not handle.index and not handle.timers
+
+
+def test_buckets_give_what_a_state_per_key_gives(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(first, "PIECE", 40)
+    rng = np.random.default_rng(1)
+    schema = "source string, platform_id string, term_no int, page_no int, text string, fetched_at timestamp"
+    for b in range(6):
+        rows = [(str(rng.integers(0, 2)), None if i % 20 == 0 else str(rng.integers(0, 15)), None if i % 9 == 0 else int(rng.integers(0, 2)), int(rng.integers(0, 2)),
+                 f"{b} {i} ü\n", NOW + dt.timedelta(minutes=int(b * 40 + rng.integers(-150, 90)), microseconds=i)) for i in range(60)]
+        path = tmp_path / "in" / str(b)
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(path))
+        for file in path.glob("part*"):  # files are taken in the order of their times
+            os.utime(file, (1_700_000_000 + b,) * 2)
+    store, got = spark.conf.get(rolling.STATE_STORE), []
+    for buckets in (0, 3):
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
+        kept = first.keep_first_stream(stream, "source", "platform_id", delay="1 hour", buckets=buckets)
+        rolling.write_available(kept, str(tmp_path / f"out{buckets}"), str(tmp_path / f"check{buckets}")).awaitTermination()
+        assert spark.conf.get(rolling.STATE_STORE) == store
+        got.append(sorted(map(str, spark.read.schema(kept.schema).parquet(str(tmp_path / f"out{buckets}")).collect())))
+    keys = [row.split("term_no")[0] for row in got[0]]
+    assert got[0] == got[1] and len(set(keys)) < len(keys)
