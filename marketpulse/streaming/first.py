@@ -6,6 +6,7 @@ import pickle
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -13,8 +14,8 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 #: What comes first: by term, then page, then place on the page, as in a batch (`sources.landed.dedupe_keep_first`).
 ORDER = ("term_no", "page_no", "pos")
-#: Characters of rows that are stored as one value.
-PIECE = 4_000_000
+#: Characters of rows that are stored as one value, and how: every byte of state passes through several copies on its way to the disk and back.
+PIECE, CODEC = 4_000_000, "zstd"
 _TIME = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 
 
@@ -52,7 +53,7 @@ class _KeepInBuckets(StatefulProcessor):
     def init(self, handle) -> None:
         self.handle = handle
         self.index = handle.getValueState("index", "entries binary")
-        self.rows = handle.getMapState("rows", "piece long", "rows binary")
+        self.rows = handle.getMapState("rows", "piece long", "rows binary, size long")
 
     def close(self) -> None:
         pass
@@ -96,9 +97,16 @@ class _KeepInBuckets(StatefulProcessor):
                 due.setdefault(entry[3], []).append(entry[4])
             else:
                 rest[k] = entry
+        out, size = [], 0
         for piece, places in due.items():
             rows = self._piece(piece, {})
-            yield pd.DataFrame({"payload": [rows[i] for i in places]})
+            out += [rows[i] for i in places]
+            size += sum(map(len, rows))
+            if size > PIECE:
+                yield pd.DataFrame({"payload": out})
+                out, size = [], 0
+        if out:
+            yield pd.DataFrame({"payload": out})
         self._save(rest, pieces, None, expiredTimerInfo.getExpiryTimeInMs() + 1)
 
     @staticmethod
@@ -114,24 +122,27 @@ class _KeepInBuckets(StatefulProcessor):
         """`read` keeps the piece that was read last."""
         if piece not in read:
             read.clear()
-            read[piece] = self.rows.getValue((piece,))[0].decode().split("\n")
+            rows, size = self.rows.getValue((piece,))
+            read[piece] = pa.decompress(rows, decompressed_size=size, codec=CODEC, asbytes=True).decode().split("\n")
         return read[piece]
 
     def _write(self, piece: int, fresh: dict, held: dict) -> None:
         # As JSON a row holds no line break.
-        self.rows.updateValue((piece,), ("\n".join(fresh.values()).encode(),))
+        rows = "\n".join(fresh.values()).encode()
+        self.rows.updateValue((piece,), (pa.compress(rows, codec=CODEC, asbytes=True), len(rows)))
         for place, k in enumerate(fresh):
             held[k] = (*held[k][:3], piece, place)
         fresh.clear()
 
     def _save(self, held: dict, pieces: set, timer: int | None, least: int = 0) -> None:
         """One timer for the bucket: when its first key is due, or earlier."""
-        live = {entry[3] for entry in held.values()}
-        for piece in pieces - live:
-            self.rows.removeKey((piece,))
         if not held:
+            self.rows.clear()
             self.index.clear()
             return
+        live = {entry[3] for entry in held.values()}
+        for piece in pieces - live:
+            self.rows.removeKey((piece,))
         first_due = max(least, min(map(self._fires, held.values())))
         if timer is None or first_due < timer:
             if timer is not None:
