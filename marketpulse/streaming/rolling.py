@@ -11,7 +11,13 @@ from marketpulse.operators.aggregate import per_symbol
 from marketpulse.schemas import POST_KEY
 
 STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Of streams whose state Spark keeps in RocksDB only. A batch writes its changes to the checkpoint, not the files that compaction makes of old ones; the
+#: local files of a run that has ended go soon, not after a minute (the first stream of an executor decides this for all).
+ROCKSDB = {
+    STATE_STORE: "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.maintenanceInterval": "5s",
+}
 
 
 def dedupe_stream(posts: DataFrame, delay: str = "7 days") -> DataFrame:
@@ -51,9 +57,11 @@ def write_available(stream: DataFrame, path: str, checkpoint: str) -> StreamingQ
         return writer.start()
     # A stream takes over the settings of its session when it starts.
     conf = stream.sparkSession.conf
-    before = conf.get(STATE_STORE)
-    conf.set(STATE_STORE, ROCKSDB)
+    before = {k: conf.get(k, None) for k in ROCKSDB}
+    for k, value in ROCKSDB.items():
+        conf.set(k, value)
     try:
         return writer.start()
     finally:
-        conf.set(STATE_STORE, before)
+        for k, value in before.items():
+            conf.unset(k) if value is None else conf.set(k, value)
